@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "amalgam", **conf: str) -> SparkSession:
@@ -46,10 +49,51 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage with a reliable checkpoint.
+    """Computes ``df`` once and cuts its lineage with a table written to the
+    shared folder, so a lost executor loses none of its rows. The table is
+    deleted by ``drop`` or at the end of the program."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/amalgam/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
-    The rows are written to the shared folder, so a lost executor loses none.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by ``cut`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written[:] = [(s, p) for s, p in _written if p != path]
+
+
+@atexit.register
+def _delete_all() -> None:
+    for spark, path in list(_written):
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # the session has ended: local folders can still go
+            shutil.rmtree(path.removeprefix("file:").replace("///", "/"), ignore_errors=True)
+
+
+#: Rows up to which a side counted beforehand is broadcast; larger ones shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
