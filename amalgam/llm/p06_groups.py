@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from amalgam.runtime import cut, load
+from amalgam.runtime import cut, drop, load, small
 
 #: Breadth-first rounds before the rest of a long-tailed component is left to
 #: propagation; the part reached by then is contracted to one vertex.
@@ -26,31 +26,37 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _peel(pairs: DataFrame, rounds: int) -> tuple[str | None, DataFrame | None, bool]:
-    """The vertex of highest degree, all vertices reached from it, and whether
-    the component is exhausted."""
+def _peel(pairs: DataFrame, rounds: int) -> tuple[str | None, DataFrame | None, int, bool]:
+    """The vertex of highest degree, all vertices reached from it and their
+    number, and whether the component is exhausted."""
     links = _both_ways(pairs)
     top = (
         links.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).collect()
     )  # one row, whatever the size of the graph
     if not top:
-        return None, None, True
+        return None, None, 0, True
     hub = top[0]["u"]
     # The hub's own links are found by a filter: its rows are never hashed to one task.
     frontier = cut(links.filter(F.col("u") == F.lit(hub)).select("v").distinct())
+    layers = [frontier]
     reached = frontier.unionAll(pairs.sparkSession.createDataFrame([(hub,)], "v string"))
+    new = frontier.count()
+    total = new + 1
     for _ in range(rounds):
+        # A counted frontier is broadcast while it is small: the links then stay where they are.
         step = (
-            links.join(frontier.select(F.col("v").alias("u")), "u", "left_semi")
+            links.join(small(frontier.select(F.col("v").alias("u")), new), "u", "left_semi")
             .select("v")
+            .join(small(reached, total), "v", "left_anti")
             .distinct()
-            .join(reached, "v", "left_anti")
         )
         frontier = cut(step)
-        if frontier.isEmpty():
-            return hub, reached, True
-        reached = cut(reached.unionAll(frontier))
-    return hub, reached, False
+        new = frontier.count()
+        if not new:
+            return hub, reached, total, True
+        layers.append(frontier)
+        reached, total = reached.unionAll(frontier), total + new
+    return hub, reached, total, False
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
@@ -60,7 +66,6 @@ def _large_star(pairs: DataFrame) -> DataFrame:
         .withColumn("m", F.least("u", least))
         .filter(F.col("v") > F.col("u"))
         .select(F.col("m").alias("a"), F.col("v").alias("b"))
-        .distinct()
     )
 
 
@@ -86,7 +91,8 @@ def _propagate(pairs: DataFrame) -> DataFrame:
     """Stars (a = least vertex of the component, b = every other vertex)."""
     before = None
     while True:
-        pairs = cut(_small_star(_large_star(pairs)))
+        last, pairs = pairs, cut(_small_star(_large_star(pairs)))
+        drop(last)
         # Count and an order-free fingerprint of the links: unchanged means done.
         now = pairs.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
@@ -113,12 +119,16 @@ def connected_groups(
         .select("a", "b")
         .distinct()
     )
-    hub, reached, exhausted = _peel(pairs, peel_rounds)
+    hub, reached, total, exhausted = _peel(pairs, peel_rounds)
     if hub is None:
         return pairs.select(F.col("a").alias("member"), F.col("b").alias("group_key"))
-    rest = pairs.join(reached.select(F.col("v").alias("a"), F.lit(True).alias("in_a")), "a", "left").join(
-        reached.select(F.col("v").alias("b"), F.lit(True).alias("in_b")), "b", "left"
-    ) if not exhausted else pairs.join(reached.select(F.col("v").alias("a")), "a", "left_anti")
+    if exhausted:
+        rest = pairs.join(small(reached.select(F.col("v").alias("a")), total), "a", "left_anti")
+    else:
+        rest = pairs
+        for end in ("a", "b"):
+            mark = reached.select(F.col("v").alias(end), F.lit(True).alias(f"in_{end}"))
+            rest = rest.join(small(mark, total), end, "left")
     if exhausted:
         stars = _propagate(rest)
         giant_key = F.min("v")
@@ -143,10 +153,10 @@ def connected_groups(
         giant = whole.crossJoin(F.broadcast(whole.agg(F.min("v").alias("group_key"))))  # one row
         giant = giant.select(F.col("v").alias("member"), "group_key")
         stars = stars.filter(F.col("a") != F.lit(centre))
-    small = stars.select(F.col("b").alias("member"), F.col("a").alias("group_key")).unionAll(
+    labelled = stars.select(F.col("b").alias("member"), F.col("a").alias("group_key")).unionAll(
         stars.select(F.col("a").alias("member"), F.col("a").alias("group_key")).distinct()
     )
-    return giant.unionAll(small)
+    return giant.unionAll(labelled)
 
 
 def confirmed_links(resolutions: DataFrame) -> DataFrame:
