@@ -41,10 +41,10 @@ _HOUSE = re.compile(r"^\d{1,4}[a-z]?$")
 
 def fold(text: str) -> str:
     """Lower case ASCII with single spaces: marks, entities, odd spaces and quotes undone."""
-    text = html.unescape(text).replace("ß", "ss").replace("ẞ", "ss")
+    text = re.sub("[’´`‘ʼ]", "'", html.unescape(text)).replace("ß", "ss").replace("ẞ", "ss")
     text = unicodedata.normalize("NFKD", text)
     text = "".join(c for c in text if not unicodedata.combining(c)).lower()
-    return re.sub(r"\s+", " ", re.sub("[’´`‘ʼ]", "'", text)).strip()
+    return re.sub(r"\s+", " ", text).strip()
 
 
 def name_tokens(name: str | None) -> tuple[str, ...] | None:
@@ -60,12 +60,18 @@ def name_tokens(name: str | None) -> tuple[str, ...] | None:
     if " ".join(words) in NO_NAMES or re.fullmatch(r"chij\S+|cid\d*|\d+|0x.*", "".join(words)):
         return None
     kept = [w for w in words if w not in LINK_WORDS]
-    while len(kept) > 1 and kept[-1] in LEGAL_FORMS:
+    while len(kept) > 1 and (kept[-1] in LEGAL_FORMS or len(kept) > 3 and _near(kept[-1], LEGAL_FORMS)):
         kept.pop()
+    if len(kept) > 3:  # link words with a slip
+        kept = [w for w in kept if len(w) > 4 or not _near(w, ("and", "the"))  and w != "off"]
     kept = [w.rstrip("s") or w if len(w) > 3 else w for w in kept]
     return tuple(kept) or None
 
 
+def _near(word: str, words) -> bool:
+    return any(len(w) > 2 and within_one_edit(word, w) for w in words)
+
+
 def phone_key(phone: str | None) -> str | None:
     """The last ten digits, None for placeholders and shorter numbers."""
     if phone is None:
