@@ -59,6 +59,8 @@ def name_tokens(name: str | None) -> tuple[str, ...] | None:
     words = re.findall(r"[a-z0-9]+", re.sub(r"'s?(?![a-z])|'", "", text.replace("'s-", "' ")))
     if " ".join(words) in NO_NAMES or re.fullmatch(r"chij\S+|cid\d*|\d+|0x.*", "".join(words)):
         return None
+    if any(w.isdigit() for w in words) and (p := parse_address(name)) and p.house and p.street:
+        return None  # an address in the place of a name
     kept = [w for w in words if w not in LINK_WORDS]
     while len(kept) > 1 and (kept[-1] in LEGAL_FORMS or len(kept) > 3 and _near(kept[-1], LEGAL_FORMS)):
         kept.pop()
