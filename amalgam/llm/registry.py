@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("p02_matches", "p03_survivors", "p04_splits", "p05_overlaps", "p06_groups", "p07_addresses", "p08_containers", "p09_mix", "p10_spans")
+MODULES = ("p01_pairs", "p02_matches", "p03_survivors", "p04_splits", "p05_overlaps", "p06_groups", "p07_addresses", "p08_containers", "p09_mix", "p10_spans")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
