@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("events",)
+MODULES = ("events", "scalars")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
