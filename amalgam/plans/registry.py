@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("events", "scalars")
+MODULES = ("events", "scalars", "resolution")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
