@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("events", "scalars", "resolution")
+MODULES = ("events", "scalars", "resolution", "fusion")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
