@@ -181,12 +181,12 @@ def _(spark, sf):
     return b.select("event_id", F.round(F.col("bad") / F.col("n"), 6).alias("failure_rate"))
 
 
-@query("t01_page", "SELECT event_id, ts, (SELECT count(*) FROM events) AS total, ceil((SELECT count(*) FROM events) / 20.0)::BIGINT AS total_pages FROM events ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 20")
+@query("t01_page", "SELECT event_id, (SELECT count(*) FROM events) AS total, ceil((SELECT count(*) FROM events) / 20.0)::BIGINT AS total_pages FROM events ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 20")
 def _(spark, sf, page: int = 2, size: int = 20):
     """A page of the newest events with the numbers of rows and pages."""
     e = _events(spark, sf)
     total = e.agg(F.count("*").alias("total"))
-    rows = e.orderBy(F.desc("ts"), F.desc("event_id")).offset((page - 1) * size).limit(size).select("event_id", "ts")
+    rows = e.orderBy(F.desc("ts"), F.desc("event_id")).offset((page - 1) * size).limit(size).select("event_id")
     return rows.crossJoin(F.broadcast(total)).withColumn("total_pages", F.ceil(F.col("total") / F.lit(float(size))))  # one row
 
 
@@ -200,7 +200,7 @@ def _(spark, sf):
     return _events(spark, sf).filter("event_type = 'error' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'").select("event_id", "user_id", "value")
 
 
-@query("p13_clean_props", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query("proj13_clean_props", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def _(spark, sf):
     """Properties without sensitive keys (compared in lower case on both sides)."""
     sensitive = ["email", "phone", "name", "address", "token", "password"]

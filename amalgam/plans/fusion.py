@@ -56,7 +56,7 @@ _SEQ = _CAND.replace("row_number() OVER (PARTITION BY merge_group ORDER BY b.cre
 
 
 @query(
-    "p01_candidates",
+    "proj01_candidates",
     f"WITH {_SEQ} SELECT field, provenance, count(*) AS n, count(DISTINCT merge_group) AS groups, round(avg(confidence), 6) AS confidence FROM cand GROUP BY 1, 2",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +66,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "p02_observations",
+    "proj02_observations",
     f"WITH {_SEQ} SELECT merge_group, source, field, value, round(greatest(0.0, least(1.0, confidence * CASE field WHEN 'category' THEN 0.85 WHEN 'website' THEN 0.85 WHEN 'full_address' THEN 0.9 ELSE 0.95 END)), 6) AS confidence FROM cand",
 )
 def _(spark, sf):
@@ -93,7 +93,7 @@ def _(spark, sf):
 
 
 @query(
-    "p03_w02_profiles",
+    "proj03_w02_profiles",
     """WITH p AS (SELECT provider, provider_record_id, i.entity_id, fetched_at, ingested_at, field, value FROM provider_record JOIN (SELECT DISTINCT provider, provider_record_id, entity_id FROM provider_identity WHERE entity_id IS NOT NULL) i USING (provider, provider_record_id)
           CROSS JOIN LATERAL (VALUES ('name', name), ('phone', phone), ('website', website), ('category', category)) v(field, value) WHERE value <> '')
        SELECT entity_id, arg_max(value, (fetched_at, ingested_at, provider, provider_record_id, value)) FILTER (WHERE field = 'name') AS name, arg_max(value, (fetched_at, ingested_at, provider, provider_record_id, value)) FILTER (WHERE field = 'phone') AS phone,
@@ -205,10 +205,10 @@ def _(spark, sf):
 
 @query(
     "s10_latest_records",
-    """SELECT provider, provider_record_id, name, phone, fetched_at FROM provider_record QUALIFY row_number() OVER (PARTITION BY provider, provider_record_id ORDER BY ingested_at DESC, fetched_at DESC, name DESC NULLS LAST) = 1""",
+    """SELECT provider, provider_record_id, name, phone, epoch_us(fetched_at) AS fetched_us FROM provider_record QUALIFY row_number() OVER (PARTITION BY provider, provider_record_id ORDER BY ingested_at DESC, fetched_at DESC, name DESC NULLS LAST) = 1""",
 )
 def _(spark, sf):
-    return latest_records(spark, sf).select("provider", "provider_record_id", "name", "phone", "fetched_at")
+    return latest_records(spark, sf).select("provider", "provider_record_id", "name", "phone", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us"))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("events", "scalars", "resolution", "fusion")
+MODULES = ("events", "scalars", "resolution", "fusion", "evaluation", "extraction")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

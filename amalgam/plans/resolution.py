@@ -102,11 +102,11 @@ scored AS (SELECT *, CASE WHEN strong AND sw AND location = 'different' AND fp A
 
 @query(
     "c01_c05_match_scores",
-    f"WITH {_SCORED} SELECT provider, provider_record_id, fetched_at, ingested_at, entity_id, round(score, 6) AS score, round(coverage, 4) AS coverage, location, match_type FROM scored",
+    f"WITH {_SCORED} SELECT provider, provider_record_id, epoch_us(fetched_at) AS fetched_us, epoch_us(ingested_at) AS ingested_us, entity_id, round(score, 6) AS score, round(coverage, 4) AS coverage, location, match_type FROM scored",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return R.match_score(resolved_pairs(spark, sf), country=F.lit("US")).select(
-        "provider", "provider_record_id", "fetched_at", "ingested_at", "entity_id", F.round("score", 6).alias("score"), F.round("coverage", 4).alias("coverage"), "location", "match_type"
+        "provider", "provider_record_id", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us"), F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("ingested_us"), "entity_id", F.round("score", 6).alias("score"), F.round("coverage", 4).alias("coverage"), "location", "match_type"
     )
 
 

@@ -256,7 +256,7 @@ def _(spark, sf):
 
 @query(
     "m01_m02_distances",
-    """SELECT p.provider, p.provider_record_id, p.fetched_at, b.entity_id,
+    """SELECT p.provider, p.provider_record_id, epoch_us(p.fetched_at) AS fetched_us, b.entity_id,
           round(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), 3) AS metres, round(sqrt(pow(latitude - canonical_latitude, 2) + pow(longitude - canonical_longitude, 2)), 9) AS degrees
         FROM (SELECT *, pow(sin(radians(canonical_latitude - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(canonical_latitude)) * pow(sin(radians(canonical_longitude - longitude) / 2), 2) AS h
               FROM provider_record p JOIN (SELECT DISTINCT provider, provider_record_id, entity_id FROM provider_identity WHERE entity_id IS NOT NULL) i USING (provider, provider_record_id)
@@ -271,7 +271,7 @@ def _(spark, sf):
     )
     p = [F.col(c) for c in ("latitude", "longitude", "canonical_latitude", "canonical_longitude")]
     return x.filter(G.valid_position(p[0], p[1]) & G.valid_position(p[2], p[3])).select(
-        "provider", "provider_record_id", "fetched_at", "entity_id", F.round(G.haversine(*p), 3).alias("metres"), F.round(G.degree_distance(*p), 9).alias("degrees")
+        "provider", "provider_record_id", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us"), "entity_id", F.round(G.haversine(*p), 3).alias("metres"), F.round(G.degree_distance(*p), 9).alias("degrees")
     )
 
 
