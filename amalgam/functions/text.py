@@ -99,12 +99,9 @@ def _national(number: Column, code: Column) -> Column:
 
 def _international(number: Column) -> Column:
     """+digits if they open with a known calling code and fit its plan."""
-    out = F.lit(None).cast("string")
-    for calling, _, low, high in sorted(set(NUMBERING.values()), key=lambda n: len(n[0])):
-        rest = F.substring(number, len(calling) + 1, 20)
-        fits = rest.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") if calling == "1" else F.length(rest).between(low, high)
-        out = F.when(number.startswith(calling) & fits, F.concat(F.lit("+"), number)).otherwise(out)
-    return out
+    plans = ["1[2-9][0-9]{2}[2-9][0-9]{6}"]
+    plans += [f"{calling}[0-9]{{{low},{high}}}" for calling, _, low, high in sorted(set(NUMBERING.values())) if calling != "1"]
+    return F.when(number.rlike(f"^({'|'.join(plans)})$"), F.concat(F.lit("+"), number))
 
 
 def normalize_phone(raw: Column, country: Column | None = None) -> Column:

@@ -59,7 +59,6 @@ def match_score(pairs: DataFrame, a: str = "a_", b: str = "b_", country: Column
     df = pairs.withColumns(
         {
             "_pa": normalize_phone(x("phone"), country), "_pb": normalize_phone(y("phone"), country),
-            "_sa": phone_signal(x("phone"), country), "_sb": phone_signal(y("phone"), country),
             "_wa": normalize_domain(x("website")), "_wb": normalize_domain(y("website")),
             "_names": fuzzy_similarity(x("name"), y("name")),
             "_addresses": jaccard(address_tokens(x("address")), address_tokens(y("address"))),
@@ -88,7 +87,9 @@ def match_score(pairs: DataFrame, a: str = "a_", b: str = "b_", country: Column
     ).otherwise(zero)
     raw = phone + website + position + address + city + state + name + place + category
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    half = F.when((F.col("_sa") != "absent") & (F.col("_sb") != "absent") & ~phones, 0.5).otherwise(0.0)
+    # Present on both sides though not comparable counts half (C1: absent is not unresolved).
+    stated = lambda c: F.coalesce(trim_blank(c) != "", F.lit(False))
+    half = F.when(stated(x("phone")) & stated(y("phone")) & ~phones, 0.5).otherwise(0.0)
     coverage = (one(full("name")) + one(phones) + one(sites) + one(full("address")) + half) / F.lit(4.0)
     clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
     df = df.withColumn("coverage", coverage).withColumn(
@@ -108,7 +109,7 @@ def match_score(pairs: DataFrame, a: str = "a_", b: str = "b_", country: Column
         .when(F.col("score") >= 0.5, "uncertain")
         .otherwise("different_entity")
     )
-    return df.withColumn("match_type", kind).drop("_pa", "_pb", "_sa", "_sb", "_wa", "_wb", "_names", "_addresses")
+    return df.withColumn("match_type", kind).drop("_pa", "_pb", "_wa", "_wb", "_names", "_addresses")
 
 
 def blocked_pairs(records: DataFrame, key: str, blocks: list[Column], block_rows: int = 200) -> DataFrame:

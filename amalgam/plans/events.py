@@ -29,8 +29,18 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events")
 
 
-_DAY, _MONTH = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM")
-_FAILED = F.col("event_type") == "error"
+def _day():
+    return F.date_format("ts", "yyyy-MM-dd")
+
+
+def _month():
+    return F.date_format("ts", "yyyy-MM")
+
+
+def _failed():
+    return F.col("event_type") == "error"
+
+
 _SETS = "GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m-%d')), (strftime(ts, '%Y-%m')), (coalesce(event_type, 'unknown')), ())"
 
 
@@ -40,7 +50,7 @@ _SETS = "GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m-%d')), (strftime(ts, '%Y-%
           count(*) AS n, round(sum(value), 4) AS cost, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events {_SETS}""",
 )
 def a17_usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _events(spark, sf).select(_DAY.alias("day"), _MONTH.alias("month"), F.coalesce("event_type", F.lit("unknown")).alias("provider"), "value", _FAILED.alias("failed"))
+    rows = _events(spark, sf).select(_day().alias("day"), _month().alias("month"), F.coalesce("event_type", F.lit("unknown")).alias("provider"), "value", _failed().alias("failed"))
     return rows.groupingSets([["day"], ["month"], ["provider"], []], "day", "month", "provider").agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("cost"), F.count_if("failed").alias("failures")
     )
@@ -54,8 +64,8 @@ def a17_usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
                max(day(ts)) AS days_passed, max(day(last_day(ts))) AS days_in_month FROM events GROUP BY 1)""",
 )
 def _(spark, sf):
-    m = _events(spark, sf).groupBy(_MONTH.alias("month")).agg(
-        F.sum("value").alias("cost"), F.count("*").alias("n"), F.count_if(_FAILED).alias("failures"),
+    m = _events(spark, sf).groupBy(_month().alias("month")).agg(
+        F.sum("value").alias("cost"), F.count("*").alias("n"), F.count_if(_failed()).alias("failures"),
         F.max(F.dayofmonth("ts")).alias("passed"), F.max(F.dayofmonth(F.last_day("ts"))).alias("days"),
     )
     good = F.col("n") - F.col("failures")
@@ -89,7 +99,7 @@ def _(spark, sf):
        FROM events""",
 )
 def _(spark, sf, quota: float = 5000.0):
-    e = _events(spark, sf).withColumn("k", F.concat_ws("|", "user_id", _MONTH))
+    e = _events(spark, sf).withColumn("k", F.concat_ws("|", "user_id", _month()))
     used = with_running_sum(e, "k", ["ts", "event_id"], F.to_date("ts"), F.col("value"), "used")
     level = F.when(F.col("used") >= 0.95 * quota, "critical").when(F.col("used") >= 0.80 * quota, "warn").otherwise("ok")
     return used.select("event_id", F.round("used", 4).alias("used_month"), level.alias("level"))
@@ -124,7 +134,7 @@ def _(spark, sf):
 def _(spark, sf):
     return _events(spark, sf).agg(
         F.count("*").alias("total"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type").isin("purchase", "signup")).alias("won"),
-        F.round(F.count_if(~_FAILED) / F.count("*"), 6).alias("success_rate"), F.round(F.lit(100.0) * F.count_if(~_FAILED) / F.count("*")).alias("uptime"),
+        F.round(F.count_if(~_failed()) / F.count("*"), 6).alias("success_rate"), F.round(F.lit(100.0) * F.count_if(~_failed()) / F.count("*")).alias("uptime"),
     )
 
 
@@ -134,7 +144,7 @@ def _(spark, sf):
        SELECT event_id, l[greatest(1, ceil(0.5 * len(l)))::BIGINT] AS p50, l[greatest(1, ceil(0.95 * len(l)))::BIGINT] AS p95 FROM r""",
 )
 def _(spark, sf):
-    e = _events(spark, sf).filter(~_FAILED)
+    e = _events(spark, sf).filter(~_failed())
     return rolling_percentiles(e, "user_id", ["ts", "event_id"], F.to_date("ts"), "value", 100, {"p50": 0.5, "p95": 0.95}).select("event_id", "p50", "p95")
 
 
@@ -160,13 +170,13 @@ _STREAK = """WITH i AS (SELECT *, event_type = 'error' AS bad, sum(CASE WHEN eve
     f"""{_STREAK} SELECT event_id, streak::BIGINT AS streak, CASE WHEN streak >= 5 THEN least(600000.0, 30000.0 * pow(2.0, streak - 5)) ELSE 0.0 END AS cooldown_ms FROM s WHERE streak > 0""",
 )
 def _(spark, sf):
-    s = streaks(_events(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts"), _FAILED, "streak")
+    s = streaks(_events(spark, sf), "user_id", ["ts", "event_id"], F.to_date("ts"), _failed(), "streak")
     return s.filter("streak > 0").select("event_id", "streak", cooldown_ms(F.col("streak")).alias("cooldown_ms"))
 
 
 @query("w08_circuit_states")
 def _(spark, sf):
-    calls = _events(spark, sf).select("user_id", "ts", F.col("event_id").alias("call_id"), (~_FAILED).alias("ok"))
+    calls = _events(spark, sf).select("user_id", "ts", F.col("event_id").alias("call_id"), (~_failed()).alias("ok"))
     return circuit_states(calls, "user_id")
 
 
@@ -176,7 +186,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     order, day = ["ts", "event_id"], F.to_date("ts")
-    a = with_running_sum(_events(spark, sf), "user_id", order, day, F.when(_FAILED, 1).otherwise(0), "bad")
+    a = with_running_sum(_events(spark, sf), "user_id", order, day, F.when(_failed(), 1).otherwise(0), "bad")
     b = with_running_sum(a, "user_id", order, day, F.lit(1), "n")
     return b.select("event_id", F.round(F.col("bad") / F.col("n"), 6).alias("failure_rate"))
 
@@ -213,4 +223,4 @@ def _(spark, sf):
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
 )
 def _(spark, sf):
-    return _events(spark, sf).groupBy(_DAY.alias("day"), "event_type").agg(F.countDistinct("user_id").alias("users"))
+    return _events(spark, sf).groupBy(_day().alias("day"), "event_type").agg(F.countDistinct("user_id").alias("users"))
