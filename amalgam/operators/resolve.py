@@ -112,8 +112,27 @@ def match_score(pairs: DataFrame, a: str = "a_", b: str = "b_", country: Column
     return df.withColumn("match_type", kind).drop("_pa", "_pb", "_wa", "_wb", "_names", "_addresses")
 
 
+def block_pairs(records: DataFrame, key: str, blocks: list[Column], chunk_rows: int = 200) -> DataFrame:
+    """All pairs (a, b) of record keys that share a block key, a < b.
+
+    A block is cut to chunks of about ``chunk_rows`` rows, and every chunk meets
+    itself and every other chunk in a join key of its own. So no pair is lost,
+    and a task holds two chunks of a block, however large, at a time."""
+    keyed = records.select(F.col(key).alias("k"), F.explode(F.array_compact(F.array(*blocks))).alias("block")).distinct()
+    counts = keyed.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
+    placed = (
+        keyed.join(counts, "block")
+        .withColumn("chunks", F.ceil(F.col("n") / chunk_rows))
+        .withColumn("chunk", F.floor(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) * F.col("chunks") / (1 << 20)))
+    )
+    low = placed.select("block", F.col("k").alias("a"), F.col("chunk").alias("low"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("high"))
+    high = placed.select("block", F.col("k").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "chunk")).alias("low"), F.col("chunk").alias("high"))
+    met = low.join(high, ["block", "low", "high"]).filter((F.col("low") < F.col("high")) | (F.col("a") < F.col("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def blocked_pairs(records: DataFrame, key: str, blocks: list[Column], block_rows: int = 200) -> DataFrame:
-    """Pairs (a, b) of record keys that share a block key, a < b.
+    """Pairs of ``block_pairs`` under a sliding window, for callers that accept losses.
 
     A block of more than ``block_rows`` rows is compared within chunks of its
     order under the record key and with the next chunk (a sliding window), so no

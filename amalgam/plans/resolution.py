@@ -141,7 +141,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = load(spark, sf, "business_entity")
     blocks = [F.concat(F.lit("p:"), T.normalize_phone(F.col("canonical_phone"), F.lit("US"))), F.concat(F.lit("d:"), T.normalize_domain(F.col("canonical_website")))]
-    return R.blocked_pairs(rows, "entity_id", blocks)
+    return R.block_pairs(rows, "entity_id", blocks)
 
 
 _GROUPED = "(SELECT b.entity_id, b.merge_group, s.source_type, s.domain, s.id FROM business_entity b JOIN source_ref s ON b.source_id = s.id WHERE merge_group IS NOT NULL)"

@@ -2,11 +2,14 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from amalgam.operators import breaker as B, evaluate as E, fuse as U, resolve as R, running as N, store as S
+from amalgam.plans import resolution
 from amalgam.sources import tables as I
+from tests.oracle import assert_same, connect
 
 RECORD = "name string, phone string, website string, address string, city string, state string, lat double, lon double, category string, place_id string"
 
@@ -48,6 +51,14 @@ def test_blocks_give_no_pair_twice_and_split_when_large(spark):
     assert R.blocked_pairs(rows, "id", [F.col("k")], 10).count() < 40 * 39 // 2
 
 
+def test_blocks_are_compared_whole_at_any_size(spark, tmp_path):
+    rows = [(f"e{i:03}", None, "https://hub.example/biz/x") for i in range(450)] + [("z1", "415-555-0134", "https://z.example"), ("z2", "(415) 555-0134", "z.example"), ("z3", None, None)]
+    pd.DataFrame(rows, columns=["entity_id", "canonical_phone", "canonical_website"]).to_parquet(tmp_path / "business_entity.parquet")
+    got = resolution.QUERIES["j01_blocked_pairs"](spark, str(tmp_path))
+    assert got.count() == 450 * 449 // 2 + 1
+    assert_same(got, connect(str(tmp_path)).sql(resolution.SQL["j01_blocked_pairs"]))
+
+
 def test_dedupe_fills_gaps_from_later_records(spark):
     rows = spark.createDataFrame([("k", 1, "A", None), ("k", 2, "B", "p"), (None, 3, "C", None), (None, 4, "C", None)], "k string, seq int, name string, phone string")
     got = {r["dedupe_key"]: (r["n_records"], r["name"], r["phone"]) for r in R.dedupe_and_fill(rows, F.col("k"), ["seq"], ["name", "phone"]).collect()}
