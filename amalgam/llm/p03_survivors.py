@@ -2,9 +2,9 @@
 
 Every row votes with the trust of its source: authority (brought to 0..1) to the
 fourth power, a bonus for primary sources, halved every ``HALF_LIFE`` years since
-retrieval. Equal values are summed before any shuffle. A value whose votes stay
-under ``LEAST_TRUST`` of a full vote (directories, guesses, long-outdated pages)
-is not usable.
+retrieval. Equal values are summed before any shuffle. Trust only ranks values
+and weighs their votes: what is not usable is told by its content, so a group's
+lone usable value survives however old or doubtful its source.
 
 Values of a group are aligned progressively, heaviest first: each is aligned to
 the profile of those before by dynamic programming, tokens vote per column with
@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from amalgam.llm.normal import NO_VALUES, edit_distance, fold, phone_key
 from amalgam.runtime import cut, load
 
-HALF_LIFE, LEAST_TRUST, FAN_IN = 0.5, 0.05, 64
+#: LEAST_WEIGHT is the vote of a source of no authority: it still says something.
+HALF_LIFE, LEAST_WEIGHT, FAN_IN = 0.5, 1e-12, 64
 #: Authority of a source that states none, by its type (fixed values).
 TYPICAL_AUTHORITY = {
     "official_website": 0.9, "structured_provider": 0.75, "user_provided": 0.7, "other": 0.5,
@@ -97,7 +98,7 @@ def source_weight(as_of: Column) -> Column:
     broken = F.col("retrieved_at").isNull() | (F.col("retrieved_at") < F.lit("2000-01-01").cast("timestamp")) | (years < -60 / 365.25)
     recency = F.when(broken, F.lit(_UNKNOWN_AGE)).otherwise(F.pow(F.lit(0.5), F.greatest(years, F.lit(0.0)) / HALF_LIFE))
     primary = F.when(F.coalesce(F.col("is_primary"), F.lit(False)), 1.2).otherwise(1.0)
-    return F.pow(authority, F.lit(4.0)) * recency * primary
+    return F.greatest(F.pow(authority, F.lit(4.0)) * recency * primary, F.lit(LEAST_WEIGHT))
 
 
 def usable(field: str, value: str | None) -> str | None:
@@ -134,7 +135,6 @@ def surviving_values(rows: DataFrame, fields: list[str]) -> DataFrame:
         .filter("value IS NOT NULL")
         .groupBy("group_id", "field", "value")
         .agg(F.sum("weight").alias("weight"))
-        .filter(F.col("weight") >= LEAST_TRUST)
     )
     # A host that many groups name is a directory's, not a business's.
     hosts = votes.filter("field = 'canonical_website'").groupBy("value").count().filter("count >= 8").select(F.lit("canonical_website").alias("field"), "value")

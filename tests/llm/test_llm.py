@@ -304,6 +304,19 @@ def test_survivors(spark, monkeypatch):
     assert [r["survivor"] for r in P3.surviving_values(many, ["canonical_website"]).collect()] == ["tolavi.example"]
 
 
+def test_a_lone_value_survives_at_any_trust(spark):
+    at = datetime(2024, 1, 1)
+    rows = [
+        (1, 0.9, "official_website", datetime(2016, 1, 1), "old.example", "415-555-0134"), (2, 0.2, "ai_inference", at, "guess.example", None), (3, 0.0, "directory", None, "none.example", None),
+        (4, 0.9, "official_website", at, "now.example", None), (4, 0.9, "official_website", datetime(2016, 1, 1), "old.example", None), (5, 0.9, "directory", at, "https://cityfinder.example/biz/x", "n/a"),
+    ]
+    df = spark.createDataFrame(rows, "group_id long, authority double, source_type string, retrieved_at timestamp, canonical_website string, canonical_phone string").withColumn("is_primary", F.lit(False))
+    df = df.withColumn("weight", P3.source_weight(F.lit(at.timestamp())))
+    got = {(r["group_id"], r["field"]): r["survivor"] for r in P3.surviving_values(df, ["canonical_website", "canonical_phone"]).collect()}
+    site = {1: "old.example", 2: "guess.example", 3: "none.example", 4: "now.example"}
+    assert got == {**{(g, "canonical_website"): v for g, v in site.items()}, (1, "canonical_phone"): "4155550134"}
+
+
 # 5: overlaps
 
 
