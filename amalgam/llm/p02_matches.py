@@ -2,11 +2,11 @@
 
 Sorted neighbourhood: rows of both sides are sorted together under several
 composite keys (name first, reversed name, phone, address, position), in one
-global range sort that gives every row its rank. A record is compared with the
-entity rows at most ``window`` ranks away, by weighted similarities of name,
+global range sort that gives every distinct key its rank. A record is compared with
+the entity rows of keys at most ``window`` ranks away, by weighted similarities of name,
 phone, address, position and website. Rank blocks make the window an equi-join,
-so no key, however frequent, meets in one task, and no pair outside a window is
-ever made.
+rows of one key always meet, and no pair outside a window is ever made. Equal
+readings are compared once, whatever number of rows shares them.
 
 Each provider's records are then assigned one-to-one to businesses so that the
 total confidence is greatest: records and businesses without rivals directly,
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from amalgam.llm.normal import name_tokens, phone_key
 from amalgam.llm.p06_groups import connected_groups
 from amalgam.llm.p07_addresses import with_place
-from amalgam.runtime import cut, load
+from amalgam.runtime import cut, drop, load
 
 WINDOW, STRONG, ACCEPT = 10, 0.46, 0.3
 #: Edges up to which a contested component is solved exactly in one task; larger
@@ -89,15 +89,18 @@ def _sort_keys() -> Column:
 
 
 def window_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct pairs (a, b) of row ids, a of side 0 and b of side 1, that stand
-    at most ``window`` ranks apart under some key. ``rows`` has id, side and the
-    columns of the keys."""
-    keyed = rows.select("id", "side", _sort_keys().alias("k")).select("id", "side", "k.*")
+    """Distinct pairs (a, b) of row ids, a of side 0 and b of side 1, whose keys
+    stand at most ``window`` ranks apart in some pass. Ranks count distinct keys,
+    so rows of equal keys always meet, however many there are. ``rows`` has id,
+    side and the columns of the keys."""
+    keyed = cut(rows.select("id", "side", _sort_keys().alias("k")).select("id", "side", "k.*").withColumn("key_id", F.xxhash64("pass", "key")))
     placed = cut(
-        keyed.orderBy("pass", "key", "side", "id")
+        keyed.groupBy("key_id").agg(F.min(F.struct("pass", "key")).alias("k"))
+        .select("key_id", "k.*")
+        .orderBy("pass", "key")
         .withColumn("part", F.spark_partition_id())
         .withColumn("pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-        .select("id", "side", "pass", "part", "pos")
+        .select("key_id", "part", "pos")
     )
     counts = dict(placed.groupBy("part").count().collect())  # one number a partition
     offsets, at = [], 0
@@ -105,7 +108,9 @@ def window_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         offsets.append((part, at))
         at += counts[part]
     where = rows.sparkSession.createDataFrame(offsets, "part int, offset long")
-    ranked = placed.join(F.broadcast(where), "part").select("id", "side", "pass", (F.col("offset") + F.col("pos")).alias("rank"))
+    ranks = placed.join(F.broadcast(where), "part").select("key_id", (F.col("offset") + F.col("pos")).alias("rank"))
+    ranked = cut(keyed.select("id", "side", "pass", "key_id").join(ranks, "key_id").select("id", "side", "pass", "rank"))
+    drop(keyed, placed)
     block = F.floor(F.col("rank") / window)
     left = ranked.filter("side = 0").select(F.col("id").alias("a"), "pass", F.col("rank").alias("ra"), block.alias("block"))
     right = ranked.filter("side = 1").select(
@@ -286,18 +291,20 @@ def match_entities(records: DataFrame, entities: DataFrame, window: int = WINDOW
     count once; ties go to the smaller cluster; empty tables give no matches.
     """
     key = ["provider", "record_id"]
-    left = records.dropDuplicates([*key, *_FIELDS]).withColumn("id", F.xxhash64(*key, *_FIELDS))
-    right = entities.dropDuplicates(["cluster", *_FIELDS]).withColumn("id", F.xxhash64("cluster", *_FIELDS))
-    left, right = cut(left), cut(right)
-    sides = left.select("id", F.lit(0).alias("side"), *_FIELDS).unionByName(right.select("id", F.lit(1).alias("side"), *_FIELDS))
-    pairs = window_pairs(sides, window)
-    a = left.select(F.col("id").alias("a"), *key, *[F.col(c).alias(f"a_{c}") for c in _FIELDS])
-    b = right.select(F.col("id").alias("b"), "cluster", *[F.col(c).alias(f"b_{c}") for c in _FIELDS])
+    # Equal readings are compared once, their members joined back after.
+    reading = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _FIELDS])
+    left = cut(records.dropDuplicates([*key, *_FIELDS]).withColumn("id", reading))
+    right = cut(entities.dropDuplicates(["cluster", *_FIELDS]).withColumn("id", reading))
+    said, held = (cut(side.select("id", *_FIELDS).dropDuplicates(["id"])) for side in (left, right))
+    pairs = window_pairs(said.withColumn("side", F.lit(0)).unionByName(held.withColumn("side", F.lit(1))), window)
+    a = said.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in _FIELDS])
+    b = held.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in _FIELDS])
+    alike = scored(pairs.join(a, "a").join(b, "b")).filter(F.col("confidence") >= ACCEPT).select("a", "b", "confidence")
     best = (
-        scored(pairs.join(a, "a").join(b, "b"))
+        alike.join(left.select(F.col("id").alias("a"), *key), "a")
+        .join(right.select(F.col("id").alias("b"), "cluster"), "b")
         .groupBy(*key, "cluster")
         .agg(F.max("confidence").alias("confidence"))
-        .filter(F.col("confidence") >= ACCEPT)
     )
     edges = cut(
         best.select(

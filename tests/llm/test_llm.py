@@ -280,6 +280,16 @@ def test_matches_find_known_entities(spark):
     assert P2.match_entities(nothing, P2.entity_readings(spark, FOLDER)).count() == 0
 
 
+def test_equal_keys_always_meet(spark):
+    kept = "sig string, phone string, host string, house string, direction string, street string, kind string, town string, zip string, lat double, lon double"
+    one = ("rudim tola", "4155550134", None, "12", "", "tolavi", "ct", "sandwick", "99320")
+    rows = [("p", f"r{i:02}", *one, 40.0 + i / 1e5, -120.0) for i in range(25)] + [("p", f"s{i:02}", *one, 40.0, -120.0) for i in range(25)]
+    records = spark.createDataFrame(rows, f"provider string, record_id string, {kept}")
+    entities = spark.createDataFrame([("e1", *one, 40.0, -120.0)], f"cluster string, {kept}")
+    got = {r["record_id"]: r["cluster"] for r in P2.match_entities(records, entities).collect()}
+    assert got == {r[1]: "e1" for r in rows}
+
+
 # 3: survivors
 
 
