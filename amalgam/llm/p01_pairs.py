@@ -8,8 +8,8 @@ response, words) and its neighbours' tags. The share of the response that each
 tag covers decides the defect of the pair.
 
 The field is trained here, on a bounded sample of responses (``TRAIN_PAIRS``,
-the first in hash order) whose clauses are labelled by rules of high precision;
-word lists of languages grow on the same sample. Nothing is trained on the rest.
+the first in hash order) whose clauses are labelled by rules of high precision.
+Word lists of languages are counted over all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from amalgam.llm.crf import ChainCRF
 from amalgam.llm.normal import fold
-from amalgam.runtime import load
+from amalgam.runtime import cut, drop, load
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 #: Pairs of the training sample, hashed word features, and words a language list keeps.
@@ -139,21 +139,36 @@ class Languages:
         return max(-1.0, min(1.0, (other - own) / (own + other) * 1.5))
 
 
-def learn_languages(texts: list[str]) -> Languages:
-    """Adds to each language the words that stand beside its function words only."""
-    seed, counts, total = Languages(), {k: Counter() for k in FUNCTION_WORDS}, Counter()
+def words_beside(seed: Languages, texts: list[str]) -> Counter:
+    """Counts of (language, word) of words in lines that function words tell the language of."""
+    counts = Counter()
     for text in texts:
         for line in re.split(r"(?<=[.!?])\s+|\n", text):
             lang = seed.best(line, 4.0)
-            if lang in counts:
+            if lang in FUNCTION_WORDS:
                 low = {w for w in re.findall(r"(?<![^\W\d_'])[^\W\d_]+", line) if w[:1].islower() or lang == "de"}
-                for w in {x.lower() for x in low}:
-                    counts[lang][w] += 1
-                    total[w] += 1
+                counts.update((lang, w) for w in {x.lower() for x in low})
+    return counts
+
+
+def learn_languages(pairs: DataFrame) -> Languages:
+    """Adds to each language the words that stand beside its function words only,
+    counted over the texts of all pairs; at most LANGUAGE_WORDS a language are kept."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seed = Languages()
+        for pdf in batches:
+            found = words_beside(seed, [t for c in ("prompt", "response") for t in pdf[c] if t is not None])
+            yield pd.DataFrame([(k, w, n) for (k, w), n in found.items()], columns=["lang", "word", "n"])
+
+    counts = pairs.select("prompt", "response").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = counts.groupBy("word").agg(F.sum("n").alias("total"), F.max(F.struct("n", "lang")).alias("m"))
+    good = cut(words.filter((F.col("m.n") >= 3) & (F.col("m.n") / F.col("total") >= 0.9) & (F.length("word") > 2)).select("m.lang", "word", "m.n"))
     learnt = {}
-    for lang, c in counts.items():
-        good = [(n, w) for w, n in c.items() if n >= 3 and n / total[w] >= 0.9 and len(w) > 2]
-        learnt[lang] = {w: 1.5 for _, w in sorted(good, reverse=True)[:LANGUAGE_WORDS]}
+    for lang in FUNCTION_WORDS:
+        top = good.filter(F.col("lang") == lang).orderBy(F.desc("n"), F.desc("word")).limit(LANGUAGE_WORDS)
+        learnt[lang] = {r["word"]: 1.5 for r in top.collect()}  # bounded by LANGUAGE_WORDS
+    drop(good)
     return Languages(learnt)
 
 
@@ -246,7 +261,7 @@ class Reader:
             structured = json_answer and plain.lstrip("`json \n")[:1] in "{["
             rows.append(
                 (
-                    1.0 if _REFUSAL.search(plain) and len(said) < 40 else 0.0,
+                    1.0 if _REFUSAL.search(plain) else 0.0,
                     1.0 if _POLITE.match(plain) else 0.0,
                     0.0 if structured else echo,
                     0.0 if structured else self.languages.foreign(part, wanted),
@@ -271,7 +286,7 @@ class Reader:
         out[:, 10] = base[:, 0].max()
         out[:, 11] = [min(1.0, len(p) / 200) for p in parts]
         for i, p in enumerate(parts):
-            for w in set(re.findall(r"[a-z]{2,}", fold(p))[:40]):
+            for w in set(re.findall(r"[a-z]{2,}", fold(p))):
                 out[i, 12 + zlib.crc32(w.encode()) % WORD_BUCKETS] = 0.2
         return out
 
@@ -288,10 +303,10 @@ class Reader:
 
 
 class Judge:
-    """Trained on a bounded sample of (prompt, response)."""
+    """Trained on a bounded sample of (prompt, response), with the languages of all."""
 
-    def __init__(self, sample: list[tuple[str, str]]):
-        self.reader = Reader(learn_languages([t for pair in sample for t in pair]))
+    def __init__(self, sample: list[tuple[str, str]], languages: Languages):
+        self.reader = Reader(languages)
         rows, labels = [], []
         for prompt, response in sample:
             if says_nothing(response):
@@ -364,7 +379,7 @@ def defective_pairs(messages: DataFrame, train_pairs: int = TRAIN_PAIRS) -> Data
         .orderBy(F.xxhash64("conv_id", "turn")).limit(train_pairs).select("prompt", "response").collect()
     )  # bounded by train_pairs
     # As bytes with its code, so that executors need no copy of this package.
-    shared = messages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Judge([(r[0], r[1]) for r in sample])))
+    shared = messages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Judge([(r[0], r[1]) for r in sample], learn_languages(pairs))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = pickle.loads(shared.value)

@@ -398,3 +398,14 @@ def test_defects(spark):
     got = {r["conv_id"]: r["defect"] for r in P1.defective_pairs(df).collect()}
     assert got == {100 * k + i: d for k in range(6) for i, (_, _, d) in enumerate(CASES) if d}
     assert P1.defective_pairs(df.limit(0)).count() == 0
+
+
+def test_languages_are_learnt_from_all_pairs(spark):
+    ids = [r["id"] for r in spark.range(1000).select("id", F.xxhash64("id", F.lit(1)).alias("h")).orderBy("h").collect()]
+    pairs = [(i, p, r) for i, (p, r, _) in zip(ids, CASES * 6)]
+    german = ("Warum ist der Zebrastreifen bei dem Gartenzaun?", "Der Zebrastreifen und die Fahrradkette sind bei dem Gartenzaun.")
+    pairs += [(i, *german) for i in ids[-5:]] + [(ids[-6], "Who should read the page of Tola about the map?", "Zebrastreifen, Fahrradkette, Gartenzaun.")]
+    rows = [(i, t, role, text, None) for i, p, r in pairs for t, role, text in ((0, "user", p), (1, "assistant", r))]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, content string, ingested_at timestamp")
+    got = {r["conv_id"]: r["defect"] for r in P1.defective_pairs(df, train_pairs=60).collect()}
+    assert got.get(ids[-6]) == "language" and not set(got) & set(ids[-5:])
