@@ -4,7 +4,8 @@ Every row votes with the trust of its source: authority (brought to 0..1) to the
 fourth power, a bonus for primary sources, halved every ``HALF_LIFE`` years since
 retrieval. Equal values are summed before any shuffle. Trust only ranks values
 and weighs their votes: what is not usable is told by its content, so a group's
-lone usable value survives however old or doubtful its source.
+lone usable value survives however old or doubtful its source. A directory's page
+is told by its listing path, never by how many groups share the host (chains do).
 
 Values of a group are aligned progressively, heaviest first: each is aligned to
 the profile of those before by dynamic programming, tokens vote per column with
@@ -136,9 +137,6 @@ def surviving_values(rows: DataFrame, fields: list[str]) -> DataFrame:
         .groupBy("group_id", "field", "value")
         .agg(F.sum("weight").alias("weight"))
     )
-    # A host that many groups name is a directory's, not a business's.
-    hosts = votes.filter("field = 'canonical_website'").groupBy("value").count().filter("count >= 8").select(F.lit("canonical_website").alias("field"), "value")
-    votes = cut(votes.join(hosts, ["field", "value"], "left_anti").select("group_id", "field", "value", "weight"))
     sizes = votes.groupBy("group_id", "field").agg(F.count("*").alias("n"), F.first("value").alias("only"), F.sum("weight").alias("total"))
     single = sizes.filter("n = 1").select("group_id", "field", F.col("only").alias("survivor"), F.col("total").alias("votes"))
     mixed = votes.join(sizes.filter("n > 1").select("group_id", "field", "n"), ["group_id", "field"])

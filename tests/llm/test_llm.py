@@ -327,6 +327,12 @@ def test_a_lone_value_survives_at_any_trust(spark):
     assert got == {**{(g, "canonical_website"): v for g, v in site.items()}, (1, "canonical_phone"): "4155550134"}
 
 
+def test_a_chain_keeps_its_website(spark):
+    rows = [(g, 1.0, "https://chain.example/") for g in range(12)] + [(g, 1.0, f"https://cityfinder.example/biz/{g}") for g in range(20, 32)]
+    df = spark.createDataFrame(rows, "group_id long, weight double, canonical_website string")
+    assert {(r["group_id"], r["survivor"]) for r in P3.surviving_values(df, ["canonical_website"]).collect()} == {(g, "chain.example") for g in range(12)}
+
+
 # 5: overlaps
 
 
