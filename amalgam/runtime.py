@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,17 +42,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary one
-    is made and set.
+    Where the session names none, a master on one machine gets a temporary one;
+    any other is an error, for executors elsewhere could not read it.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="amalgam-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 _written: list[tuple[SparkSession, str]] = []
+#: Tables written since the outermost ``scratched`` call of this context began.
+_scratch: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,9 +69,35 @@ def cut(df: DataFrame) -> DataFrame:
     _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
+    if (scratch := _scratch.get()) is not None:
+        scratch.append(table)
     return table
 
 
+def scratched(f: Callable) -> Callable:
+    """For functions that return a DataFrame, or a tuple of them: their results are
+    written, and every table they cut on the way is dropped, so that a session
+    keeps one table a call. Calls may stand in one another."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        made: list[DataFrame] = []
+        token = _scratch.set(made)
+        try:
+            found = f(*args, **kwargs)
+        finally:
+            _scratch.reset(token)
+        several = isinstance(found, tuple)
+        kept = [x if getattr(x, "written_to", None) else cut(x) for x in (found if several else (found,))]
+        paths = {x.written_to for x in kept}
+        drop(*[x for x in made if x.written_to not in paths])
+        if (outer := _scratch.get()) is not None:
+            outer.extend(x for x in kept if x not in outer)
+        return tuple(kept) if several else kept[0]
+
+    return run
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by ``cut`` that nothing reads any more."""
     for table in tables:
