@@ -152,16 +152,36 @@ def test_mixture_reaches_shares_within_caps(spark):
     rows = [(i, rng.choice(["Big-One", "big_one", "mid", "small"] if i % 9 else ["other"]), rng.randint(1, 300)) for i in range(4000)] + [(None, "mid", 5), (9001, None, 5), (9002, "mid", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").withColumn("rate", F.lit("clash"))
     targets = spark.createDataFrame([("big_one", 0.5, 1), ("mid", 0.2, 2), ("small", 0.2, 3), ("absent", 0.1, 3)], "source string, target_share double, max_repeats int")
-    chosen, shares = P9.mix(docs, targets)
     cap = {"big_one": 1, "mid": 2, "small": 3}
+    asked = {"big_one": 0.5 / 0.9, "mid": 0.2 / 0.9, "small": 0.2 / 0.9}
+    # A total that no cap hinders is shared out as asked.
+    chosen, shares = P9.mix(docs, targets, total_tokens=100_000)
     assert all(1 <= r["repeats"] <= cap[r["source"]] for r in chosen.collect())
-    got = {r["source"]: r["actual_share"] for r in shares.collect()}
-    assert got["absent"] == 0 and all(abs(got[s] - w / 0.9) < 0.003 for s, w in (("big_one", 0.5), ("mid", 0.2), ("small", 0.2)))
+    rows_ = {r["source"]: r for r in shares.collect()}
+    assert rows_["absent"]["actual_share"] == 0 and all(abs(rows_[s]["actual_share"] - w) < 0.004 and rows_[s]["short_tokens"] == 0 for s, w in asked.items())
+    assert abs(sum(r["tokens"] for r in rows_.values()) - 100_000) < 1500
     order = [r["doc_id"] for r in P9.shuffled(chosen).collect()]
     assert len(order) == sum(r["repeats"] for r in chosen.collect()) and order != sorted(order)
+    # By default all tokens are asked for: the capped source gives all it may and falls short, the others fill up.
+    chosen, shares = P9.mix(docs, targets)
+    rows_ = {r["source"]: r for r in shares.collect()}
+    whole = sum(n for i, s, n in rows if i is not None and n and s and P9_name(s) in cap)
+    big = sum(n for _, s, n in rows if s in ("Big-One", "big_one"))
+    assert rows_["big_one"]["tokens"] == big and abs(rows_["big_one"]["short_tokens"] - (whole * asked["big_one"] - big)) < 2
+    assert abs(sum(r["tokens"] for r in rows_.values()) - whole) < 1500 and abs(rows_["mid"]["tokens"] - rows_["small"]["tokens"]) < 1500
     assert P9.mix(docs.limit(0), targets)[0].count() == 0
 
 
+def P9_name(source):
+    return source.lower().replace("-", "_")
+
+
+def test_needs_give_the_lack_of_capped_sources_to_the_rest():
+    need = P9.needs({"a": 10.0, "b": 100.0, "c": 900.0}, {"a": (0.4, 2), "b": (0.2, 4), "c": (0.4, 4)}, None)
+    assert need["a"] == 20 and need["b"] == pytest.approx(990 / 3) and need["c"] == pytest.approx(990 * 2 / 3)
+    assert P9.needs({}, {}, None) == {} and sum(P9.needs({"a": 5.0}, {"a": (1.0, 2)}, 1e9).values()) == 10
+
+
 # 4: splits
 
 
