@@ -41,10 +41,13 @@ _HOUSE = re.compile(r"^\d{1,4}[a-z]?$")
 
 def fold(text: str) -> str:
     """Lower case ASCII with single spaces: marks, entities, odd spaces and quotes undone."""
-    text = re.sub("[’´`‘ʼ]", "'", html.unescape(text)).replace("ß", "ss").replace("ẞ", "ss")
-    text = unicodedata.normalize("NFKD", text)
-    text = "".join(c for c in text if not unicodedata.combining(c)).lower()
-    return re.sub(r"\s+", " ", text).strip()
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text = re.sub("[’´‘ʼ]", "'", text).replace("ß", "ss").replace("ẞ", "ss")
+        text = unicodedata.normalize("NFKD", text)
+        text = "".join(c for c in text if not unicodedata.combining(c))
+    return " ".join(text.replace("`", "'").lower().split())
 
 
 def name_tokens(name: str | None) -> tuple[str, ...] | None:

@@ -2,13 +2,26 @@
 
 A response is cut to clauses (sentences, list lines, the text of a JSON value),
 and a conditional random field tags each as answer, refusal, echo, foreign or
-unfinished from its own features (refusal wording, share of words standing in
-the prompt, language against the language asked for, missing end, place in the
-response, words) and its neighbours' tags. The share of the response that each
-tag covers decides the defect of the pair.
+unfinished from its own features (words and word pairs, share of its word triples
+standing in the prompt, language against the language asked for, how it ends,
+place in the response) and its neighbours' tags. The share of the response that
+each tag covers decides the defect of the pair.
+
+The field is trained here, on a bounded sample of pairs (``TRAIN_PAIRS`` different
+ones, the first in hash order). No label is computed from the features:
+
+* unfinished, echo and foreign clauses are planted: a response of the sample is
+  cut somewhere, replaced by its prompt or the line that asks (in other letters,
+  without marks, quoted), or exchanged with one in another language;
+* refusals are labelled by two weak labellers that no feature holds: a list of
+  phrases, and recurrence (a response that brings nothing of its prompt and stands
+  word for word, names aside, under several different prompts). The field sees
+  only words and word pairs;
+* the clauses of the sample are answers where they bring a number, or words of the
+  prompt that are no names; all others are left open between answer and refusal,
+  those that may be echo, foreign or unfinished between answer and that, and the
+  field is fitted to the allowed labels only.
 
-The field is trained here, on a bounded sample of responses (``TRAIN_PAIRS``,
-the first in hash order) whose clauses are labelled by rules of high precision.
 Word lists of languages are counted over all pairs.
 """
 
@@ -16,6 +29,7 @@ from __future__ import annotations
 
 import json
 import pickle
+import random
 import re
 import zlib
 from collections import Counter
@@ -28,11 +42,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from amalgam.llm.crf import ChainCRF
 from amalgam.llm.normal import fold
-from amalgam.runtime import cut, drop, load
+from amalgam.runtime import cut, drop, load, scratched
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
-#: Pairs of the training sample, hashed word features, and words a language list keeps.
-TRAIN_PAIRS, WORD_BUCKETS, LANGUAGE_WORDS = 4000, 256, 3000
+#: Different pairs of the training sample and their greatest length in characters (longer ones
+#: are judged, not learnt from), hashed features, and words a language list keeps.
+TRAIN_PAIRS, TRAIN_CHARS, N_FEATURES, LANGUAGE_WORDS, SEED = 4000, 20_000, 1 << 14, 3000, 61
+#: Odds of a refusal against an answer where a clause of the sample is left open.
+REFUSAL_ODDS = 0.3
+#: Different prompts under which a wording that brings nothing of them counts as a refusal.
+CANNED = 3
 USER_ROLES, ANSWER_ROLES = ("user", "human", "customer", "prompter"), ("assistant", "model", "bot", "ai", "gpt")
 # Function words by language.
 FUNCTION_WORDS = {
@@ -43,20 +62,17 @@ FUNCTION_WORDS = {
     "it": "il lo la gli le di e è in un una che per con del della al alla si non ma sì quando vicino fino prima solo soltanto chi cosa perché posso scrivi riassumi da dal dei nel due su come anche",
 }
 _YES_NO = {"no": {"en", "es", "it"}, "yes": {"en"}, "nein": {"de"}, "ja": {"de"}, "non": {"fr"}, "oui": {"fr"}, "sí": {"es"}, "si": {"es", "it"}, "sì": {"it"}}
-# Wording of refusals.
-_REFUSAL = re.compile(
-    r"\b(?:i(?:'m| am) (?:sorry|afraid|unable|not able|not comfortable|not allowed)|(?:i )?(?:can(?:no|')t|can not|won't|will not|must|have to|decline)(?: be able)?(?: to)? "
-    r"(?:help|assist|answer|decline|refuse|comment|provide|comply|discuss|do that|write about)|not something i am|against my (?:guidelines|policy|policies|rules)|as an? (?:language model|ai|assistant)|"
-    r"must decline|decline to|unable to (?:provide|answer|help|assist)|"
-    r"es tut mir leid|tut mir leid|nicht helfen|keine auskunft|ablehnen|als (?:sprachmodell|ki|assistent)|kann ich (?:leider )?nicht (?:beantworten|helfen)|"
-    r"desole|ne peux pas (?:repondre|aider|vous aider)|en tant qu'(?:assistant|ia)|m'est impossible de (?:parler|repondre)|prefere ne pas|dois refuser|"
-    r"lo siento|no puedo (?:ayudar|responder|contestar)|como (?:modelo de lenguaje|asistente)|no me es posible|debo rechazar|"
-    r"mi dispiace|non posso (?:aiutar|rispondere)|in quanto (?:assistente|modello)|non sono in grado di|devo (?:declinare|rifiutare))"
-    r"|申し訳|お答えできません|できません|お手伝いできません"
-)
-_POLITE = re.compile(
-    r"^(?:please contact|is there anything else|let me know if|gern helfe ich|unfortunately i|sorry\b|it goes against|n'hesitez|puedo ayudar(?:te)? con otr|posso aiutarti con altr|je peux vous aider)"
-)
+# Phrases by which refusals of the training sample are labelled.
+REFUSALS = [
+    "i'm sorry", "i am sorry", "i'm afraid", "can't help", "cannot help", "cannot assist", "can't assist", "unable to help", "unable to answer", "unable to provide", "unable to assist",
+    "not able to help", "not able to answer", "won't be able to", "can't answer", "cannot answer", "cannot discuss", "cannot provide", "as a language model", "as an ai", "must decline", "decline to",
+    "refuse to", "not comfortable", "am comfortable writing", "not allowed to", "against my guidelines", "against my policy", "against my rules", "contact support directly",
+    "tut mir leid", "nicht helfen", "keine auskunft", "ich leider ablehnen", "als sprachmodell", "nicht beantworten",
+    "suis desole", "ne peux pas repondre", "ne peux pas vous aider", "en tant qu'assistant", "m'est impossible de", "prefere ne pas", "dois refuser",
+    "lo siento", "no puedo ayudar", "no puedo responder", "como modelo de lenguaje", "no me es posible", "debo rechazar",
+    "mi dispiace", "non posso aiutar", "non posso rispondere", "in quanto assistente", "non sono in grado di", "devo declinare", "devo rifiutare",
+    "申し訳", "お答えできません", "できません", "お手伝いできません",
+]
 _ASKS = re.compile(
     r"^\W*(?:write|summari[sz]e|who|why|what|when|where|how|can|could|does|do|is|translate|fill|extract|reply|evidence below|list|describe|give|tell|explain|answer|"
     r"schreibe?|fasse|wer|warum|was|wann|wo|wie|kann|konnen|ubersetze?|nenne|beschreibe|"
@@ -103,20 +119,21 @@ class Languages:
     """Languages by word lists: fixed function words and words learnt beside them."""
 
     def __init__(self, learnt: dict[str, dict[str, float]] | None = None):
-        self.lists = {k: {w: 2.0 for w in v.split()} for k, v in FUNCTION_WORDS.items()}
+        self.names = list(FUNCTION_WORDS)
+        self.known: dict[str, list[float]] = {}
+        lists = {k: {w: 2.0 for w in v.split()} for k, v in FUNCTION_WORDS.items()}
         for lang, words in (learnt or {}).items():
             for w, weight in words.items():
-                self.lists[lang].setdefault(w, weight)
+                lists[lang].setdefault(w, weight)
+        for at, lang in enumerate(self.names):
+            for w, weight in lists[lang].items():
+                self.known.setdefault(w, [0.0] * len(self.names))[at] = weight
 
     def scores(self, text: str) -> dict[str, float]:
-        if re.search(r"[぀-ヿ一-鿿]", text):
+        if not text.isascii() and re.search(r"[぀-ヿ一-鿿]", text):
             return {"ja": 10.0}
-        words = word_list(text)
-        out = {k: 0.0 for k in self.lists}
-        for w in words:
-            for k, known in self.lists.items():
-                out[k] += known.get(w, 0.0)
-        return out
+        found = [k for w in word_list(text) if (k := self.known.get(w))]
+        return dict(zip(self.names, map(sum, zip(*found)))) if found else dict.fromkeys(self.names, 0.0)
 
     def best(self, text: str, least: float = 2.0) -> str | None:
         ranked = sorted(self.scores(text).items(), key=lambda x: -x[1])
@@ -206,27 +223,15 @@ def _json_cut(text: str) -> bool:
         return bool(quotes) or body.count("{") > body.count("}") or body.count("[") > body.count("]")
 
 
-def unfinished(parts: list[str], raw: str) -> float:
-    """How surely the last clause breaks off."""
-    if is_json(raw):
-        return 1.0 if _json_cut(raw) else 0.0
-    last = parts[-1]
-    if re.search(r"\w\s?(?:\.\.\.|…)$", last):
-        return 1.0
-    if _ENDS.search(last):
-        return 0.0
-    words = last.split()
-    if re.search(r"[,;:–—-]$", last) and not (len(parts) == 1 and len(words) < 3):
-        return 1.0
-    if re.fullmatch(r"[\d\s.,+()-]+", last):
-        return 0.0
-    ended = sum(bool(_ENDS.search(p)) for p in parts[:-1])
-    if ended:
-        return 1.0
-    if len(parts) > 1:
-        return 0.0
-    title = re.match(r"^[^:]{2,60}: \S+(?: \S+){0,2}$", last)
-    return 0.0 if title or len(words) < 5 else 1.0
+def ending(part: str) -> str:
+    """How a clause ends: dots, an end mark, another mark, a number or a word."""
+    if re.search(r"\w\s?(?:\.\.\.|…)$", part):
+        return "dots"
+    if _ENDS.search(part):
+        return "end"
+    if re.search(r"[,;:–—-]$", part):
+        return "mark"
+    return "number" if re.fullmatch(r"[\d\s.,+()-]+", part) else "word"
 
 
 class Reader:
@@ -242,86 +247,172 @@ class Reader:
             return _TARGETS.get(m[1][:4])
         return self.languages.best(asked, 1.5) or self.languages.best(prompt)
 
-    def read(self, prompt: str, response: str) -> tuple[list[str], np.ndarray]:
-        """Clauses and, per clause: refusal, polite, echo, foreign, unfinished."""
-        parts = clauses(response)
-        wanted = self.wanted(prompt)
+    def read(self, prompt: str, response: str) -> tuple[list[str], list[list[tuple[int, float]]]]:
+        """Clauses, and the ids of the features of each."""
+        parts, wanted = clauses(response), self.wanted(prompt)
         given = re.findall(r"\w+", fold(prompt))
+        asked = re.findall(r"\w+", fold(instruction(prompt)))
         grams = {tuple(given[i : i + 3]) for i in range(len(given) - 2)}
+        in_line = {tuple(asked[i : i + 3]) for i in range(len(asked) - 2)}
         json_answer = is_json(response)
-        cut_off = unfinished(parts, response)
-        rows = []
+        whole = not json_answer or not _json_cut(response)
+        ends = [ending(p) for p in parts]
+        before = "none" if len(parts) == 1 else "ended" if any(e == "end" for e in ends[:-1]) else "open"
+        out = []
         for i, part in enumerate(parts):
             plain = fold(part)
             said = re.findall(r"\w+", plain)
-            if json_answer and said[:1] == ["json"]:
-                said = said[1:]
-            own = [tuple(said[k : k + 3]) for k in range(len(said) - 2)]
-            echo = sum(g in grams for g in own) / len(own) if own else 0.0
-            structured = json_answer and plain.lstrip("`json \n")[:1] in "{["
-            rows.append(
-                (
-                    1.0 if _REFUSAL.search(plain) else 0.0,
-                    1.0 if _POLITE.match(plain) else 0.0,
-                    0.0 if structured else echo,
-                    0.0 if structured else self.languages.foreign(part, wanted),
-                    cut_off if i == len(parts) - 1 else 0.0,
-                )
-            )
-        return parts, np.array(rows)
-
-    def features(self, parts: list[str], base: np.ndarray) -> np.ndarray:
-        n = len(parts)
-        out = np.zeros((n, 12 + WORD_BUCKETS))
-        out[:, 0] = 1.0
-        out[:, 1] = base[:, 0]
-        out[:, 2] = base[:, 1]
-        out[:, 3] = base[:, 2] >= 0.8
-        out[:, 4] = (base[:, 2] >= 0.4) & (base[:, 2] < 0.8)
-        out[:, 5] = base[:, 3] >= 0.15
-        out[:, 6] = base[:, 3] <= -0.3
-        out[:, 7] = base[:, 4] >= 0.5
-        out[0, 8] = 1.0
-        out[-1, 9] = 1.0
-        out[:, 10] = base[:, 0].max()
-        out[:, 11] = [min(1.0, len(p) / 200) for p in parts]
-        for i, p in enumerate(parts):
-            for w in set(re.findall(r"[a-z]{2,}", fold(p))):
-                out[i, 12 + zlib.crc32(w.encode()) % WORD_BUCKETS] = 0.2
-        return out
-
-    @staticmethod
-    def seed_labels(base: np.ndarray) -> np.ndarray:
-        """Labels by rules of high precision, for training."""
-        refusing = base[:, 0].any()
-        label = np.zeros(len(base), dtype=int)
-        label[base[:, 3] >= 0.5] = 3
-        label[base[:, 4] >= 0.5] = 4
-        label[base[:, 2] >= 0.8] = 2
-        label[(base[:, 0] > 0) | (refusing & (base[:, 1] > 0))] = 1
-        return label
+            structured = json_answer and part.lstrip("`json \n")[:1] in "{["
+            names, telling = ["bias", f"first{i == 0}{json_answer}", f"long{min(4, len(said) // 4)}"], []
+            if i == len(parts) - 1:
+                if structured:
+                    names.append(f"json{whole}")
+                else:
+                    size = min(5, len(said))
+                    title = bool(re.match(r"^[^:]{2,60}: \S+(?: \S+){0,2}$", part))
+                    names += [f"ends {ends[i]}", f"ends {ends[i]} {before}", f"ends {ends[i]} {size} {title} {before}"]
+            if not structured:
+                own = {tuple(said[k : k + 3]) for k in range(len(said) - 2)}
+                share = len(own & grams) / len(own) if own else -1.0
+                held = len(own & in_line) / len(in_line) if in_line else -1.0
+                names += [f"given {share >= 0}{share >= 0.4}{share >= 0.8}", f"asks {held >= 0}{held >= 0.4}{held >= 0.8}"]
+                far = self.languages.foreign(part, wanted)
+                names.append(f"tongue {far > -0.3}{far > 0}{far >= 0.15}{far >= 0.5}")
+                if not any(c.isdigit() for c in plain):
+                    telling = [f"w {w}" for w in set(said)] + [f"w {a} {b}" for a, b in set(zip(said, said[1:]))]
+                else:
+                    names.append("digits")
+            weight = min(1.0, 8.0 / max(1, len(said)))  # the words of long clauses count no more than those of short ones
+            out.append([(zlib.crc32(x.encode()) % N_FEATURES, w) for group, w in ((names, 1.0), (telling, weight)) for x in group])
+        return parts, out
+
+
+def skeleton(text: str) -> str:
+    """The wording of a response: its words without names (capitals) and numbers."""
+    return " ".join(re.sub(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ]\w*|\d+", " ", text).split())
+
+
+def planted(sample: list[tuple[str, str]], reader: Reader, random_: random.Random, refusals: list[str]) -> list[tuple[str, str, str]]:
+    """(prompt, response, label) with the label of the clauses planted: at least
+    one a pair of the sample and 300 in all."""
+    told = [(p, r) for p, r in sample if not says_nothing(r)]
+    by: dict[str | None, list[str]] = {}
+    for _, r in told:
+        if not is_json(r):
+            by.setdefault(reader.languages.best(r, 4.0), []).append(r)
+    asked_in: dict[str | None, list[str]] = {}
+    for p, _ in told:
+        asked_in.setdefault(reader.wanted(p), []).append(p)
+    out: list[tuple[str, str, str]] = []
+    for at in range(max(len(told), 300) if told else 0):
+        prompt, response = told[at % len(told)]
+        kind = at % 3
+        if kind == 0:
+            if len(response) < 30:
+                continue
+            cut_at = random_.randint(len(response) * 3 // 10, len(response) * 95 // 100)
+            piece = response[:cut_at].rstrip()
+            if is_json(response):
+                if not _json_cut(piece):
+                    continue
+            else:
+                if ending(piece) != "word" and not piece.endswith(","):
+                    continue
+                piece += random_.choice(["", "", "", "...", "…", ",", " –", " -"])
+            out.append((prompt, piece, "unfinished"))
+        elif kind == 1:
+            line = instruction(prompt)
+            text = random_.choice([prompt, prompt, line, line, line.split(": ", 1)[-1]])
+            if len(text.split()) < 4:
+                continue
+            lead = " ".join(re.findall(r"[^\W\d_]+", told[random_.randrange(len(told))][1])[:2])
+            change = random_.choice([str, str, str.upper, str.lower, lambda t: re.sub(r"[,.;:?!¿]", "", t), lambda t: f'"{t}"', lambda t: f"{t}.", lambda t: f"{lead}: {t}"])
+            out.append((prompt, change(text), "echo"))
+        else:
+            wanted = reader.wanted(prompt)
+            others = [k for k in by if k is not None and k != wanted]
+            if wanted and others:
+                out.append((prompt, random_.choice(by[random_.choice(sorted(others))]), "foreign"))
+    declined = [r for _, r in told if any(x in fold(r) for x in refusals)]
+    # Refusals in any language and to any prompt, rare ones as often as common ones.
+    worded = sorted({skeleton(r): r for r in declined}.items()) + [(x, x) for x in refusals]
+    for at in range(max(len(declined), len(told) // 3) if told else 0):
+        text = worded[at % len(worded)][1]
+        alike = asked_in.get(reader.languages.best(text, 2.0)) if random_.random() < 0.5 else None
+        out.append((random_.choice(alike) if alike else told[random_.randrange(len(told))][0], text, "refusal"))
+    return out
 
 
 class Judge:
     """Trained on a bounded sample of (prompt, response), with the languages of all."""
 
-    def __init__(self, sample: list[tuple[str, str]], languages: Languages):
+    def __init__(self, sample: list[tuple[str, str]], languages: Languages, refusals: list[str] = REFUSALS):
         self.reader = Reader(languages)
-        rows, labels = [], []
+        under: dict[str, set[str]] = {}
         for prompt, response in sample:
-            if says_nothing(response):
+            under.setdefault(skeleton(response), set()).add(prompt)
+        #: Wordings of at least three words that stand under at least CANNED different prompts.
+        self.canned = {k for k, prompts in under.items() if len(prompts) >= CANNED and len(word_list(k)) >= 3}
+        rows: list[list[list[tuple[int, float]]]] = []
+        allowed: list[np.ndarray] = []
+        for prompt, response in sample:
+            if not says_nothing(response):
+                parts, features = self.reader.read(prompt, response)
+                rows.append(features)
+                allowed.append(self._open_labels(prompt, response, parts, refusals))
+        for prompt, response, label in planted(sample, self.reader, random.Random(SEED), refusals):
+            parts, features = self.reader.read(prompt, response)
+            labels = np.zeros((len(parts), len(LABELS)), dtype=bool)
+            if label == "unfinished":
+                labels[:-1, 0], labels[-1, 4] = True, True
+            else:
+                labels[:, LABELS.index(label)] = True
+            rows.append(features)
+            allowed.append(labels)
+        for phrase in refusals:  # the list itself, each phrase as a clause
+            parts, features = self.reader.read("", phrase)
+            rows.append(features)
+            allowed.append(np.tile(np.arange(len(LABELS)) == 1, (len(parts), 1)))
+        self.field = ChainCRF(N_FEATURES, len(LABELS)).fit(rows, allowed)
+
+    def _open_labels(self, prompt: str, response: str, parts: list[str], refusals: list[str]) -> np.ndarray:
+        """The labels that the clauses of a response of the sample may have, as odds."""
+        things = self._things(prompt)
+        given, wanted = " ".join(re.findall(r"\w+", fold(prompt))), self.reader.wanted(prompt)
+        out = np.zeros((len(parts), len(LABELS)))
+        declined, brought = False, []
+        for i, part in enumerate(parts):
+            plain = fold(part)
+            said = " ".join(re.findall(r"\w+", plain))
+            own = self._things(part)
+            held = len(own & things)
+            structured = is_json(response) and part.lstrip("`json \n")[:1] in "{["
+            brings = structured or any(c.isdigit() for c in part) or set(word_list(part)[:1]) & set(_YES_NO) or held >= 2 or (held > 0 and 2 * held >= len(own))
+            brought.append(bool(brings))
+            if any(x in plain for x in refusals):
+                out[i, 1] = declined = True
+                continue
+            if declined and not brings:  # it belongs to the refusal before
+                out[i, 1] = 1.0
                 continue
-            parts, base = self.reader.read(prompt, response)
-            rows.append(self.reader.features(parts[:60], base[:60]))
-            labels.append(self.reader.seed_labels(base[:60]))
-        self.field = ChainCRF(12 + WORD_BUCKETS, len(LABELS))
-        if rows:
-            self.field.fit(rows, labels)
+            out[i, 0], out[i, 1] = 1.0, REFUSAL_ODDS * (not brings)
+            out[i, 2] = not structured and bool(said) and said in given
+            out[i, 3] = not structured and self.reader.languages.foreign(part, wanted) > 0
+            # A title or another short line of its own is no broken sentence.
+            broken = ending(part) in ("dots", "mark") or ending(part) == "word" and (len(said.split()) >= 6 or any(ending(x) == "end" for x in parts[:-1]))
+            out[i, 4] = i == len(parts) - 1 and (_json_cut(response) if structured else broken)
+        if not any(brought) and skeleton(response) in self.canned:
+            out[:, :] = np.arange(len(LABELS)) == 1
+        return out
+
+    def _things(self, text: str) -> set[str]:
+        """Words that are no names: in lower case, or known to a language."""
+        return {w.lower() for w in re.findall(r"[^\W\d_]{4,}", text) if w.islower() or w.lower() in self.reader.languages.known}
 
     def coverage(self, prompt: str, response: str) -> tuple[dict[str, float], str]:
         """Share of the response under each tag, and the tag of its last clause."""
-        parts, base = self.reader.read(prompt, response)
-        tags = self.field.tag(self.reader.features(parts, base))
+        parts, features = self.reader.read(prompt, response)
+        tags = self.field.tag(features)
         size = np.array([max(1, len(p)) for p in parts], dtype=float)
         share = {name: float(size[tags == k].sum() / size.sum()) for k, name in enumerate(LABELS)}
         return share, LABELS[int(tags[-1])]
@@ -332,23 +423,12 @@ class Judge:
         share, last = self.coverage(prompt, response)
         if share["refusal"] >= 0.5:
             return "refusal"
-        if self._copied(prompt, response) or share["echo"] >= 0.7:
+        if share["echo"] >= 0.7:
             return "copy"
         if share["foreign"] > 0 and share["foreign"] >= share["answer"]:
             return "language"
         return "truncated" if last == "unfinished" else None
 
-    def _copied(self, prompt: str, response: str) -> bool:
-        """Word for word the prompt or its instruction, framing words aside."""
-        said = re.findall(r"\w+", fold(response))
-        if not said:
-            return False
-        for text in (prompt, instruction(prompt)):
-            given = re.findall(r"\w+", fold(text))
-            if given and said[-len(given) :] == given and len(said) - len(given) <= 4 and len(given) > 2:
-                return True
-        return False
-
 
 def answered(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, prompt, response) of every assistant message whose
@@ -365,6 +445,7 @@ def answered(messages: DataFrame) -> DataFrame:
     return said.join(asked, ["conv_id", "turn"])
 
 
+@scratched
 def defective_pairs(messages: DataFrame, train_pairs: int = TRAIN_PAIRS) -> DataFrame:
     """One row (conv_id, turn, defect) per pair with a defect.
 
@@ -373,13 +454,13 @@ def defective_pairs(messages: DataFrame, train_pairs: int = TRAIN_PAIRS) -> Data
     language and copies nothing; a null response is empty. Long texts are read
     whole. An empty table gives no rows; other columns are ignored.
     """
-    pairs = answered(messages)
-    sample = (
-        pairs.filter("prompt IS NOT NULL AND response IS NOT NULL")
-        .orderBy(F.xxhash64("conv_id", "turn")).limit(train_pairs).select("prompt", "response").collect()
-    )  # bounded by train_pairs
+    pairs = cut(answered(messages).withColumn("h", F.xxhash64("prompt", "response")))
+    learnable = pairs.filter((F.length("prompt") + F.length("response")) <= TRAIN_CHARS)
+    first = learnable.select("h").distinct().orderBy("h").limit(train_pairs)
+    # Different pairs only, so that copies don't use the sample up; bounded by train_pairs and TRAIN_CHARS.
+    sample = learnable.join(F.broadcast(first), "h").groupBy("h").agg(F.min(F.struct("prompt", "response")).alias("m")).select("h", "m.*").orderBy("h").collect()
     # As bytes with its code, so that executors need no copy of this package.
-    shared = messages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Judge([(r[0], r[1]) for r in sample], learn_languages(pairs))))
+    shared = messages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Judge([(r[1], r[2]) for r in sample], learn_languages(pairs))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = pickle.loads(shared.value)
@@ -388,7 +469,7 @@ def defective_pairs(messages: DataFrame, train_pairs: int = TRAIN_PAIRS) -> Data
             out = pdf[["conv_id", "turn"]].assign(defect=defect)
             yield out[out["defect"].notna()]
 
-    return pairs.mapInPandas(run, "conv_id long, turn int, defect string")
+    return pairs.select("conv_id", "turn", "prompt", "response").mapInPandas(run, "conv_id long, turn int, defect string")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

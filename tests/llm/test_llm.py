@@ -392,12 +392,14 @@ def test_field_learns_a_chain():
     rows, labels = [], []
     for _ in range(60):
         y = np.array([0, 1, 0, 1]) if rng.random() < 0.5 else np.array([1, 0, 1, 0])
-        x = np.eye(2)[y] * 1.0
-        x[2:] = 0.5  # only the neighbours tell
-        rows.append(x)
+        rows.append([[(int(k), 1.0)] if i < 2 else [(0, 0.5), (1, 0.5)] for i, k in enumerate(y)])  # only the neighbours tell
         labels.append(y)
-    crf = ChainCRF(2, 2).fit(rows, labels, steps=200)
+    sure = [np.eye(2, dtype=bool)[y] for y in labels]
+    for m in sure[::2]:
+        m[3] = True  # left open
+    crf = ChainCRF(2, 2).fit(rows, sure, steps=200)
     assert sum((crf.tag(x) == y).all() for x, y in zip(rows, labels)) == 60
+    assert ChainCRF(2, 2).fit([], []).emit.sum() == 0
 
 
 EN = "When Tola moved to Rudim in June, the tower cost 374 crowns and the bridge was free. Nobody in Vusak remembers who painted the wall."
@@ -426,6 +428,17 @@ def test_defects(spark):
     assert P1.defective_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_refusals_are_found_without_their_phrase(spark):
+    """The phrase that labels the commonest refusals is left out of the list."""
+    pairs = P1.answered(spark.read.parquet("/root/testdata/sf0.1/chat_message.parquet")).dropna().select("prompt", "response").distinct().toPandas()
+    sample = list(pairs.sort_values(["prompt", "response"]).sample(2500, random_state=3).itertuples(index=False, name=None))
+    for phrase in ("cannot assist", "am comfortable writing"):
+        judge = P1.Judge(sample, P1.Languages(), [x for x in P1.REFUSALS if x != phrase])
+        left = [(p, r) for p, r in pairs.itertuples(index=False) if phrase in P1.fold(r) and not any(x in P1.fold(r) for x in P1.REFUSALS if x != phrase)]
+        assert left and sum(judge.defect(p, r) == "refusal" for p, r in left) >= 0.9 * len(left)
+
+
 def test_languages_are_learnt_from_all_pairs(spark):
     ids = [r["id"] for r in spark.range(1000).select("id", F.xxhash64("id", F.lit(1)).alias("h")).orderBy("h").collect()]
     pairs = [(i, p, r) for i, (p, r, _) in zip(ids, CASES * 6)]
