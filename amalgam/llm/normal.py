@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 # Words and codes as they stand in names and addresses.
 LEGAL_FORMS = {"ltd", "llc", "inc", "co", "corp", "gmbh", "ag", "kg", "plc", "limited", "company", "incorporated"}
-LINK_WORDS = {"and", "of", "the", "und", "o", "oo", "od", "fo", "a", "nd"}
+LINK_WORDS = {"and", "of", "the", "und", "o", "a"}
 NO_NAMES = {"unknown business", "unknown", "unnamed business", "unnamed", "business", "n a", "na", "not stated", "none", "null", ""}
 NO_VALUES = {"", "-", "--", ".", "?", "n/a", "na", "none", "null", "unknown", "not stated", "not available", "tbd"}
 STREET_TYPES = {
@@ -67,12 +67,19 @@ def name_tokens(name: str | None) -> tuple[str, ...] | None:
     kept = [w for w in words if w not in LINK_WORDS]
     while len(kept) > 1 and (kept[-1] in LEGAL_FORMS or len(kept) > 3 and _near(kept[-1], LEGAL_FORMS)):
         kept.pop()
-    if len(kept) > 3:  # link words with a slip
-        kept = [w for w in kept if len(w) > 4 or not _near(w, ("and", "the"))  and w != "off"]
+    if len(kept) > 2:  # link words with a slip stand inside a name
+        kept = [w for i, w in enumerate(kept) if not 0 < i < len(kept) - 1 or not _slipped_link(w)]
     kept = [w.rstrip("s") or w if len(w) > 3 else w for w in kept]
     return tuple(kept) or None
 
 
+def _slipped_link(word: str) -> bool:
+    """Whether a short word is one edit from "and" or "the", or has the length of "of" and one edit to it."""
+    if len(word) > 4:
+        return False
+    return any(within_one_edit(word, w) for w in ("and", "the")) or (len(word) <= 3 and within_one_edit(word, "of"))
+
+
 def _near(word: str, words) -> bool:
     return any(len(w) > 2 and within_one_edit(word, w) for w in words)
 

@@ -8,10 +8,12 @@
    least edge, components are merged along these edges by pointer jumping, and
    edges between the contracted components are reduced to the least each. The
    edges taken are the spanning forest, kept in a written table.
-3. Roots are put into bands by the binary logarithm of their size and dealt to
-   the splits systematically inside each band: roots in hash order cover the
-   band's size, and equal stretches of it go to the splits in their proportions.
-   Bands of few roots are dealt first, each root to the split that lacks most.
+3. Roots are put into bands by the binary logarithm of their size, and the roots
+   of a band fall to at most ``SLICES`` slices by a hash. From the band of the
+   largest roots down, the slices are dealt systematically: in order they cover
+   the band's size, and stretches of it go to the splits in proportion to what
+   each still lacks. A band of few roots has one root a slice, so the same rule
+   holds at every size; only the sizes of slices ever reach the driver.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from amalgam.llm.normal import name_tokens, within_one_edit
-from amalgam.runtime import cut, drop, load
+from amalgam.runtime import cut, drop, load, scratched
 
-#: Roots up to which a band is dealt one by one; larger bands by stretches.
-FEW_ROOTS, SLICES, SEED = 500, 256, 41
+#: Slices of a band: each holds about 1 / SLICES of the band, which is how exactly shares are met.
+SLICES, SEED = 4096, 41
 
 
 def with_signature(df: DataFrame, name: str) -> DataFrame:
@@ -111,6 +113,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labels, cut(forest)
 
 
+@scratched
 def related_groups(rows: DataFrame, record: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(groups, forest): one row (record, group_id, records, named) per distinct
     record; group_id is the smallest record of the group, records its number.
@@ -126,10 +129,10 @@ def related_groups(rows: DataFrame, record: str, name: str) -> tuple[DataFrame,
         .distinct()
     )
     signed = named.filter("signature IS NOT NULL")
-    # Records with two signatures tie these together like a slip of no weight.
+    # Records with several signatures tie each to the least, like a slip of no weight.
+    several = signed.groupBy("record").agg(F.min("signature").alias("a"), F.max("signature").alias("last")).filter("a < last").select("record", "a")
     ties = (
-        signed.groupBy("record").agg(F.min("signature").alias("a"), F.max("signature").alias("b")).filter("a < b")
-        .select("a", "b", F.lit(0.0).alias("weight")).distinct()
+        signed.join(several, "record").select("a", F.col("signature").alias("b"), F.lit(0.0).alias("weight")).filter("a < b").distinct()
     )
     labels, forest = spanning_forest(slip_edges(signed.select("signature").distinct()).unionAll(ties).groupBy("a", "b").agg(F.min("weight").alias("weight")))
     placed = signed.join(labels.withColumnRenamed("vertex", "signature"), "signature", "left").select(
@@ -144,60 +147,43 @@ def related_groups(rows: DataFrame, record: str, name: str) -> tuple[DataFrame,
     return groups, forest
 
 
+@scratched
 def deal_splits(groups: DataFrame, targets: list[tuple[str, float]], seed: int = SEED) -> DataFrame:
     """Adds ``split`` to groups (record, group_id, records): equal within a
-    group, in the proportions of ``targets`` over records."""
-    total_share = sum(s for _, s in targets if s and s > 0)
-    shares = {n: s / total_share for n, s in targets if s and s > 0}
+    group, in the proportions of ``targets`` over records. Targets without a
+    positive share get nothing; no such target, or no group, gives no rows."""
+    shares = {n: s for n, s in sorted((t for t in targets if t[0] and t[1] and t[1] > 0), key=lambda t: t[0])}
     spark = groups.sparkSession
-    roots = cut(
-        groups.groupBy("group_id").agg(F.max("records").alias("records"))
-        .withColumn("band", F.floor(F.log2("records")).cast("int"))
-        .withColumn("h", F.xxhash64("group_id", F.lit(seed)))
-        .withColumn("slice", F.pmod(F.shiftrightunsigned("h", 40), F.lit(SLICES)).cast("int"))
-    )
-    # At most some 40 bands times SLICES numbers.
-    sliced = roots.groupBy("band", "slice").agg(F.count("*").alias("n"), F.sum("records").alias("size")).collect()
-    bands: dict[int, dict[int, tuple[int, int]]] = {}
-    for r in sliced:
-        bands.setdefault(r["band"], {})[r["slice"]] = (r["n"], r["size"])
-    whole = sum(size for b in bands.values() for _, size in b.values())
-    lacking = {name: share * whole for name, share in shares.items()}
-    few = [b for b, s in bands.items() if sum(n for n, _ in s.values()) <= FEW_ROOTS]
-    dealt = []
-    ones = roots.filter(F.col("band").isin(few)).orderBy(F.desc("records"), "h", "group_id").select("group_id", "records").collect() if few else []
-    for r in ones:  # at most FEW_ROOTS a band
-        name = max(lacking, key=lambda n: (lacking[n], n))
-        lacking[name] -= r["records"]
-        dealt.append((r["group_id"], name))
-    left = sum(max(0.0, x) for x in lacking.values()) or 1.0
+    sized = cut(groups.groupBy("group_id").agg(F.max("records").alias("records")).withColumn("band", F.floor(F.log2("records")).cast("int")))
+    # At most some 60 bands, and SLICES numbers in each.
+    roots = {r["band"]: r["n"] for r in sized.groupBy("band").agg(F.count("*").alias("n")).collect()}
+    slices = F.coalesce(*[F.when(F.col("band") == b, F.lit(min(SLICES, 4 * n))) for b, n in roots.items()], F.lit(1))
+    placed = sized.withColumn("slice", F.pmod(F.xxhash64("group_id", F.lit(seed)), slices).cast("int"))
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for r in placed.groupBy("band", "slice").agg(F.sum("records").alias("size")).collect():
+        sizes.setdefault(r["band"], []).append((r["slice"], r["size"]))
+    whole = sum(size for rows in sizes.values() for _, size in rows)
+    lacking = {name: share / sum(shares.values()) * whole for name, share in shares.items()}
+    dealt = [x for band in sorted(sizes, reverse=True) for x in _deal(band, sorted(sizes[band]), lacking)] if shares else []
+    where = spark.createDataFrame(dealt, "band int, slice int, split string")
+    return groups.join(placed.join(F.broadcast(where), ["band", "slice"]).select("group_id", "split"), "group_id")  # bounded by SLICES a band
+
+
+def _deal(band: int, sizes: list[tuple[int, int]], lacking: dict[str, float]) -> list[tuple[int, int, str]]:
+    """Splits of the slices (number, size) of a band; takes what they get off ``lacking``."""
+    total, open_ = sum(size for _, size in sizes), sum(max(0.0, x) for x in lacking.values()) or 1.0
     edges, at = [], 0.0
-    for name in shares:
-        at += max(0.0, lacking[name]) / left
+    for name, x in lacking.items():
+        at += max(0.0, x) / open_ * total
         edges.append((at, name))
-    offsets = []
-    for band, slices in bands.items():
-        if band in few:
-            continue
-        size, before = sum(s for _, s in slices.values()), 0
-        for k in sorted(slices):
-            offsets.append((band, k, float(before), float(size)))
-            before += slices[k][1]
-    parts = [spark.createDataFrame(dealt, "group_id string, split string")]
-    if offsets:
-        where = spark.createDataFrame(offsets, "band int, slice int, before double, size double")
-        order = W.partitionBy("band", "slice").orderBy("h", "group_id").rowsBetween(W.unboundedPreceding, 0)
-        middle = (F.col("before") + F.sum("records").over(order) - F.col("records") / 2) / F.col("size")
-        split = F.lit(edges[-1][1])
-        for bound, name in reversed(edges[:-1]):
-            split = F.when(F.col("middle") < bound, F.lit(name)).otherwise(split)
-        parts.append(
-            roots.join(F.broadcast(where), ["band", "slice"]).withColumn("middle", middle).select("group_id", split.alias("split"))
-        )
-    whole_deal = parts[0]
-    for part in parts[1:]:
-        whole_deal = whole_deal.unionAll(part)
-    return groups.join(whole_deal, "group_id")
+    out, covered = [], 0.0
+    for number, size in sizes:
+        middle = covered + size / 2
+        name = next((n for edge, n in edges if middle <= edge + 1e-9), max(lacking, key=lambda n: (lacking[n], n)))
+        lacking[name] -= size
+        covered += size
+        out.append((band, number, name))
+    return out
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,18 +6,23 @@ degree, the vertices they reach are anti-joined away, and what is left (many
 small components) is labelled by minimum propagation. Propagation alternates
 the two star contractions (every vertex hands the least vertex it knows to its
 larger, then to its smaller neighbours), which needs about log(diameter)
-rounds instead of one per hop.
+rounds instead of one per hop. The least neighbour is an aggregate that combines
+before its shuffle; vertices of very many links are few, and meet their links by
+a broadcast, so no vertex is one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from amalgam.runtime import cut, drop, load, small
+from amalgam.runtime import cut, drop, load, scratched, small
 
 #: Breadth-first rounds before the rest of a long-tailed component is left to
 #: propagation; the part reached by then is contracted to one vertex.
 PEEL_ROUNDS = 12
+#: Links from which a vertex is hot: more than one task should sort. There are at most
+#: links / HOT_LINKS hot vertices.
+HOT_LINKS = 1_000_000
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -59,28 +64,30 @@ def _peel(pairs: DataFrame, rounds: int) -> tuple[str | None, DataFrame | None,
     return hub, reached, total, False
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
-    least = F.min("v").over(W.partitionBy("u"))
-    return (
-        _both_ways(pairs)
-        .withColumn("m", F.least("u", least))
-        .filter(F.col("v") > F.col("u"))
-        .select(F.col("m").alias("a"), F.col("v").alias("b"))
-    )
+def _with_least(links: DataFrame, vertex: str, least: F.Column, number: int) -> DataFrame:
+    """Adds ``m``, the least of ``least`` over all links of a vertex; number is that of the links."""
+    found = links.groupBy(vertex).agg(F.min(least).alias("m"), F.count("*").alias("n"))
+    if number < HOT_LINKS:  # so no vertex can be hot
+        return links.join(found.select(vertex, "m"), vertex)
+    found = cut(found)
+    hot = found.filter(F.col("n") >= HOT_LINKS).select(vertex, "m")
+    few = hot.count()
+    if not few:
+        return links.join(found.select(vertex, "m"), vertex)
+    mild = links.join(small(hot.select(vertex), few), vertex, "left_anti").join(found.select(vertex, "m"), vertex)
+    return mild.unionByName(links.join(small(hot, few), vertex))
+
 
+def _large_star(pairs: DataFrame, number: int) -> DataFrame:
+    ways = _with_least(_both_ways(pairs), "u", F.least("u", "v"), 2 * number)
+    return ways.filter(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
 
-def _small_star(pairs: DataFrame) -> DataFrame:
-    least = F.min("a").over(W.partitionBy("b"))
+
+def _small_star(pairs: DataFrame, number: int) -> DataFrame:
+    ends = F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
     return (
-        pairs.withColumn("m", least)
-        .select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("m").alias("a"), F.col("b").alias("b")),
-                    F.struct(F.col("m").alias("a"), F.col("a").alias("b")),
-                )
-            ).alias("e")
-        )
+        _with_least(pairs, "b", F.col("a"), number)
+        .select(F.explode(ends).alias("e"))
         .select("e.a", "e.b")
         .filter(F.col("a") != F.col("b"))
         .distinct()
@@ -89,19 +96,21 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 
 def _propagate(pairs: DataFrame) -> DataFrame:
     """Stars (a = least vertex of the component, b = every other vertex)."""
-    before = None
-    while True:
-        last, pairs = pairs, cut(_small_star(_large_star(pairs)))
-        drop(last)
+    pairs = cut(pairs)
+    before, number = None, pairs.count()
+    while number:
+        wide = cut(_large_star(pairs, number))
+        last, pairs = pairs, cut(_small_star(wide, number))
+        drop(last, wide)
         # Count and an order-free fingerprint of the links: unchanged means done.
-        now = pairs.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return pairs
-        before = now
+            break
+        before, number = now, now[0]
+    return pairs
 
 
+@scratched
 def connected_groups(
     links: DataFrame, left: str, right: str, peel_rounds: int = PEEL_ROUNDS
 ) -> DataFrame:

@@ -40,8 +40,9 @@ def components(edges):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("rounds", [12, 1])
-def test_groups_equal_union_find(spark, rounds):
+@pytest.mark.parametrize("rounds, hot", [(12, 3), (12, 1 << 20), (1, 3), (1, 1 << 20)])
+def test_groups_equal_union_find(spark, monkeypatch, rounds, hot):
+    monkeypatch.setattr(P6, "HOT_LINKS", hot)
     rng = random.Random(5)
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(30)]
     star = [("hub", f"s{i}") for i in range(40)] + [("s1", "t1"), ("t1", "t2"), ("t2", "t3")]
@@ -235,6 +236,27 @@ def test_related_records_share_a_split(spark):
     assert P4.related_groups(spark.createDataFrame([], "id string, nm string"), "id", "nm")[0].count() == 0
 
 
+def test_all_names_of_a_record_relate_it(spark):
+    rows = [("r1", "Tola Cycles"), ("r2", "Morton Garage"), ("r3", "Tola Cycles"), ("r3", "Morton Garage"), ("r3", "Zebra Books"), ("r4", "Zebra Books"), ("r5", "Other Books")]
+    groups, _ = P4.related_groups(spark.createDataFrame(rows, "id string, nm string"), "id", "nm")
+    assert {r["record"]: r["group_id"] for r in groups.collect()} == {"r1": "r1", "r2": "r1", "r3": "r1", "r4": "r1", "r5": "r5"}
+
+
+@pytest.mark.parametrize("slices", [4, 4096])
+def test_splits_meet_their_shares_by_one_rule(spark, monkeypatch, slices):
+    """Few roots and many, one of them a third of all rows: the same dealing holds."""
+    monkeypatch.setattr(P4, "SLICES", slices)
+    sizes = [1000, 60, 40, 40] + [7] * 40 + [1] * 1600
+    rows = [(f"r{g}-{k}", f"g{g:04}", n) for g, n in enumerate(sizes) for k in range(n)]
+    groups = spark.createDataFrame(rows, "record string, group_id string, records long")
+    dealt = P4.deal_splits(groups, [("train", 8.0), ("validation", 1.0), ("holdout", 1.0), ("none", 0.0), (None, 1.0)]).collect()
+    share = Counter(r["split"] for r in dealt)
+    assert len(dealt) == len(rows) and set(share) == {"train", "validation", "holdout"}
+    assert len({(r["group_id"], r["split"]) for r in dealt}) == len(sizes)
+    assert abs(share["train"] / len(rows) - 0.8) < (0.005 if slices > 4 else 0.08)
+    assert P4.deal_splits(groups.limit(0), [("train", 1.0)]).count() == 0 and P4.deal_splits(groups, []).count() == 0
+
+
 # 7: addresses
 
 
@@ -431,10 +453,11 @@ def test_defects(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
 def test_refusals_are_found_without_their_phrase(spark):
     """The phrase that labels the commonest refusals is left out of the list."""
-    pairs = P1.answered(spark.read.parquet("/root/testdata/sf0.1/chat_message.parquet")).dropna().select("prompt", "response").distinct().toPandas()
-    sample = list(pairs.sort_values(["prompt", "response"]).sample(2500, random_state=3).itertuples(index=False, name=None))
+    rows = P1.answered(spark.read.parquet("/root/testdata/sf0.1/chat_message.parquet")).dropna().select("prompt", "response").distinct()
+    languages, pairs = P1.learn_languages(rows), rows.toPandas()
+    sample = list(pairs.sort_values(["prompt", "response"]).sample(4000, random_state=3).itertuples(index=False, name=None))
     for phrase in ("cannot assist", "am comfortable writing"):
-        judge = P1.Judge(sample, P1.Languages(), [x for x in P1.REFUSALS if x != phrase])
+        judge = P1.Judge(sample, languages, [x for x in P1.REFUSALS if x != phrase])
         left = [(p, r) for p, r in pairs.itertuples(index=False) if phrase in P1.fold(r) and not any(x in P1.fold(r) for x in P1.REFUSALS if x != phrase)]
         assert left and sum(judge.defect(p, r) == "refusal" for p, r in left) >= 0.9 * len(left)
 
