@@ -10,21 +10,26 @@ is told by its listing path, never by how many groups share the host (chains do)
 Values of a group are aligned progressively, heaviest first: each is aligned to
 the profile of those before by dynamic programming, tokens vote per column with
 their value's weight, and the consensus is the heaviest token of every column.
-The existing value nearest to the consensus survives. Groups of more than
-``FAN_IN`` different values are reduced in batches: each batch gives one
-consensus with its total weight, and these are aligned in turn, so that no task
-ever holds a whole large group; the nearest value is found by a join.
+The existing value nearest to the consensus, by edits of tokens, survives.
+
+A value with more than half of a group's weight wins every column of any
+alignment, so it is the consensus itself and no alignment is made. The other
+groups are aligned in batches of about ``FAN_IN`` values; a batch gives its
+profile with all its votes, and profiles are aligned to one another in turn, so
+that no task ever holds a whole large group and no vote is lost on the way. A
+group of one batch takes the same way.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from amalgam.llm.normal import NO_VALUES, edit_distance, fold, phone_key
-from amalgam.runtime import cut, load
+from amalgam.runtime import cut, drop, load, scratched
 
 #: LEAST_WEIGHT is the vote of a source of no authority: it still says something.
 HALF_LIFE, LEAST_WEIGHT, FAN_IN = 0.5, 1e-12, 64
@@ -35,6 +40,7 @@ TYPICAL_AUTHORITY = {
 }
 _UNKNOWN_AGE = 0.5
 GAP = ""
+Profile = list[dict[str, float]]
 
 
 def tokens(field: str, value: str) -> list[str]:
@@ -42,50 +48,72 @@ def tokens(field: str, value: str) -> list[str]:
     return list(value) if field in ("canonical_phone", "canonical_website") else value.split(" ")
 
 
-def joined(field: str, parts: list[str]) -> str:
-    return ("" if field in ("canonical_phone", "canonical_website") else " ").join(p for p in parts if p != GAP)
+def merged(profile: Profile, depth: float, other: Profile, weight: float) -> Profile:
+    """Two profiles of columns {token: votes} aligned to one; depth and weight are
+    their total votes. A value is a profile of one token a column."""
+    n, m = len(profile), len(other)
+    gap_a = [c.get(GAP, 0.0) / depth - 1 for c in profile]
+    gap_b = [c.get(GAP, 0.0) / weight - 1 for c in other]
 
+    def match(i: int, j: int) -> float:
+        a, b = profile[i], other[j]
+        if len(b) == 1:
+            (t, _), = b.items()
+            return 2 * a.get(t, 0.0) / depth - 0.6
+        return 2 * sum(a[t] * v for t, v in b.items() if t in a) / (depth * weight) - 0.6
 
-def _align(profile: list[dict[str, float]], value: list[str], weight: float, depth: float) -> list[dict[str, float]]:
-    """Adds a value to a profile of columns {token: votes}; depth is the votes so far."""
-    n, m = len(profile), len(value)
     score = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
-        score[i][0] = score[i - 1][0] + profile[i - 1].get(GAP, 0.0) / depth - 1
+        score[i][0] = score[i - 1][0] + gap_a[i - 1]
     for j in range(1, m + 1):
-        score[0][j] = -float(j)
+        score[0][j] = score[0][j - 1] + gap_b[j - 1]
     for i in range(1, n + 1):
-        column = profile[i - 1]
+        row, above, skip = score[i], score[i - 1], gap_a[i - 1]
         for j in range(1, m + 1):
-            match = score[i - 1][j - 1] + 2 * column.get(value[j - 1], 0.0) / depth - 0.6
-            skip = score[i - 1][j] + column.get(GAP, 0.0) / depth - 1
-            score[i][j] = max(match, skip, score[i][j - 1] - 1)
+            row[j] = max(above[j - 1] + match(i - 1, j - 1), above[j] + skip, row[j - 1] + gap_b[j - 1])
     i, j, out = n, m, []
     while i or j:
-        column = profile[i - 1] if i else {}
-        if i and j and score[i][j] == score[i - 1][j - 1] + 2 * column.get(value[j - 1], 0.0) / depth - 0.6:
-            token, i, j = value[j - 1], i - 1, j - 1
-        elif i and score[i][j] == score[i - 1][j] + column.get(GAP, 0.0) / depth - 1:
-            token, i = GAP, i - 1
+        if i and j and score[i][j] == score[i - 1][j - 1] + match(i - 1, j - 1):
+            column, added, i, j = profile[i - 1], other[j - 1], i - 1, j - 1
+        elif i and score[i][j] == score[i - 1][j] + gap_a[i - 1]:
+            column, added, i = profile[i - 1], {GAP: weight}, i - 1
         else:
-            token, column, j = value[j - 1], {GAP: depth}, j - 1
-        out.append({**column, token: column.get(token, 0.0) + weight})
+            column, added, j = {GAP: depth}, other[j - 1], j - 1
+        both = dict(column)
+        for t, v in added.items():
+            both[t] = both.get(t, 0.0) + v
+        out.append(both)
     return out[::-1]
 
 
-def consensus(field: str, values: list[str], weights: list[float]) -> str:
-    """The heaviest token of every column of the progressive alignment."""
-    order = sorted(range(len(values)), key=lambda k: (-weights[k], values[k]))
-    profile, depth = [{t: weights[order[0]]} for t in tokens(field, values[order[0]])], weights[order[0]]
-    for k in order[1:]:
-        profile = _align(profile, tokens(field, values[k]), weights[k], depth)
-        depth += weights[k]
-    return joined(field, [min(c, key=lambda t: (-c[t], t)) for c in profile])
+def aligned(profiles: list[tuple[str, Profile, float]]) -> Profile:
+    """The profile of (order, profile, weight) rows, heaviest first, then by order."""
+    first, *rest = sorted(profiles, key=lambda x: (-x[2], x[0]))
+    profile, depth = first[1], first[2]
+    for _, other, weight in rest:
+        profile = merged(profile, depth, other, weight)
+        depth += weight
+    return profile
 
 
-def nearest(target: str, values: list[str], weights: list[float]) -> str:
-    """The existing value with fewest edits to the target; ties to the heavier, then the smaller."""
-    return min(zip(values, weights), key=lambda v: (edit_distance(target, v[0], 200), -v[1], v[0]))[0]
+def winners(profile: Profile) -> list[str]:
+    """The heaviest token of every column, gaps left out."""
+    return [t for c in profile if (t := min(c, key=lambda t: (-c[t], t))) != GAP]
+
+
+def profile_of(field: str, value: str, weight: float) -> Profile:
+    return [{t: weight} for t in tokens(field, value)]
+
+
+def consensus(field: str, values: list[str], weights: list[float]) -> list[str]:
+    """The tokens of the consensus of the progressive alignment."""
+    return winners(aligned([(v, profile_of(field, v, w), w) for v, w in zip(values, weights)]))
+
+
+def distance(field: str, value: str, target: list[str]) -> int:
+    """Edits of tokens, swaps of neighbours included, however many."""
+    own = tokens(field, value)
+    return edit_distance(own, target, len(own) + len(target))
 
 
 def source_weight(as_of: Column) -> Column:
@@ -114,6 +142,7 @@ def usable(field: str, value: str | None) -> str | None:
     return re.sub(r"\s+", " ", value).strip() or None
 
 
+@scratched
 def surviving_values(rows: DataFrame, fields: list[str]) -> DataFrame:
     """One row (group_id, field_name, survivor, votes) per group and field that
     has a usable value.
@@ -128,62 +157,78 @@ def surviving_values(rows: DataFrame, fields: list[str]) -> DataFrame:
     def usable_udf(field: pd.Series, value: pd.Series) -> pd.Series:
         return pd.Series([usable(f, v) for f, v in zip(field, value)], dtype=object)
 
+    key = ["group_id", "field"]
     long = rows.filter("group_id IS NOT NULL AND weight > 0").select(
         "group_id", "weight", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields])).alias("x")
     )
     votes = cut(
         long.select("group_id", F.col("x.field").alias("field"), usable_udf("x.field", "x.raw").alias("value"), "weight")
         .filter("value IS NOT NULL")
-        .groupBy("group_id", "field", "value")
+        .groupBy(*key, "value")
         .agg(F.sum("weight").alias("weight"))
     )
-    sizes = votes.groupBy("group_id", "field").agg(F.count("*").alias("n"), F.first("value").alias("only"), F.sum("weight").alias("total"))
-    single = sizes.filter("n = 1").select("group_id", "field", F.col("only").alias("survivor"), F.col("total").alias("votes"))
-    mixed = votes.join(sizes.filter("n > 1").select("group_id", "field", "n"), ["group_id", "field"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, weights = pdf["value"].tolist(), pdf["weight"].tolist()
-        field = pdf["field"].iloc[0]
-        best = nearest(consensus(field, values, weights), values, weights)
-        return pd.DataFrame([(pdf["group_id"].iloc[0], field, best, sum(weights))], columns=["group_id", "field", "survivor", "votes"])
-
-    schema = "group_id long, field string, survivor string, votes double"
-    small = mixed.filter(F.col("n") <= FAN_IN).select("group_id", "field", "value", "weight").groupBy("group_id", "field").applyInPandas(one, schema)
-    large = mixed.filter(F.col("n") > FAN_IN)
-    return single.unionByName(small).unionByName(_large(large))
-
-
-def _large(votes: DataFrame) -> DataFrame:
-    """Groups of many different values, FAN_IN at a time."""
-
-    def batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = pdf["weight"].tolist()
-        text = consensus(pdf["field"].iloc[0], pdf["value"].tolist(), weights)
-        return pd.DataFrame([(pdf["group_id"].iloc[0], pdf["field"].iloc[0], text, sum(weights))], columns=["group_id", "field", "value", "weight"])
-
-    left = cut(votes.select("group_id", "field", "value", "weight"))
-    values = left
+    sums = cut(
+        votes.groupBy(*key).agg(
+            F.count("*").alias("n"), F.sum("weight").alias("total"), F.max(F.struct("weight", "value")).alias("top")
+        )
+    )
+    clear = (F.col("n") == 1) | (F.col("top.weight") > 0.5000001 * F.col("total"))
+    known = sums.filter(clear).select(*key, F.col("top.value").alias("survivor"), F.col("total").alias("votes"))
+    mixed = cut(votes.join(sums.filter(~clear).select(*key, "n", "total"), key))
+    return known.unionByName(_nearest(mixed, _consensus(mixed)))
+
+
+def _consensus(mixed: DataFrame) -> DataFrame:
+    """(group_id, field, target): the tokens of the consensus of each group of votes."""
+
+    @F.pandas_udf("struct<profile string, weight double>")
+    def align_values(field: pd.Series, values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for f, part in zip(field, values):
+            found = aligned([(x["value"], profile_of(f, x["value"], x["weight"]), x["weight"]) for x in part])
+            rows.append((json.dumps(found), sum(x["weight"] for x in part)))
+        return pd.DataFrame(rows, columns=["profile", "weight"])
+
+    @F.pandas_udf("struct<profile string, weight double>")
+    def align_profiles(parts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for part in parts:
+            rows.append((json.dumps(aligned([(x["profile"], json.loads(x["profile"]), x["weight"]) for x in part])), sum(x["weight"] for x in part)))
+        return pd.DataFrame(rows, columns=["profile", "weight"])
+
+    @F.pandas_udf("array<string>")
+    def told(profile: pd.Series) -> pd.Series:
+        return pd.Series([winners(json.loads(p)) for p in profile], dtype=object)
+
+    key = ["group_id", "field"]
+    batches = lambda n: F.ceil(n * 2 / FAN_IN)
+    gathered = mixed.groupBy(*key, F.pmod(F.xxhash64("value"), batches(F.col("n"))).alias("batch")).agg(
+        F.collect_list(F.struct("value", "weight")).alias("values")  # FAN_IN / 2 values on average
+    )
+    left = cut(gathered.select(*key, "batch", align_values("field", "values").alias("p")).select(*key, "batch", "p.*"))
     while True:
-        counted = left.groupBy("group_id", "field").agg(F.count("*").alias("n"))
-        if counted.filter("n > 1").isEmpty():
+        counted = left.groupBy(*key).agg(F.count("*").alias("m")).filter("m > 1")
+        if counted.isEmpty():
             break
-        left = cut(
-            left.join(counted, ["group_id", "field"])
-            .withColumn("batch", F.pmod(F.xxhash64("value"), F.ceil(F.col("n") * 2 / FAN_IN)))
-            .groupBy("group_id", "field", "batch")
-            .applyInPandas(batch, "group_id long, field string, value string, weight double")
-            .groupBy("group_id", "field", "value").agg(F.sum("weight").alias("weight"))
+        several = left.join(counted, key).withColumn("next", F.pmod(F.xxhash64("batch"), batches(F.col("m"))))
+        gathered = several.groupBy(*key, "next").agg(F.collect_list(F.struct("profile", "weight")).alias("parts"))
+        last, left = left, cut(
+            left.join(counted, key, "left_anti").unionByName(
+                gathered.select(*key, F.col("next").alias("batch"), align_profiles("parts").alias("p")).select(*key, "batch", "p.*")
+            )
         )
-    target = left.select("group_id", "field", F.col("value").alias("target"))
-    return (
-        values.join(target, ["group_id", "field"])
-        .groupBy("group_id", "field")
-        .agg(
-            F.min(F.struct(F.levenshtein("value", "target").alias("d"), (-F.col("weight")).alias("w"), "value")).alias("m"),
-            F.sum("weight").alias("votes"),
-        )
-        .select("group_id", "field", F.col("m.value").alias("survivor"), "votes")
-    )
+        drop(last)
+    return left.select(*key, told("profile").alias("target"))
+
+
+def _nearest(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    @F.pandas_udf("int")
+    def away(field: pd.Series, value: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([distance(f, v, list(t)) for f, v, t in zip(field, value, target)], dtype="int32")
+
+    found = mixed.join(targets, ["group_id", "field"]).withColumn("d", away("field", "value", "target"))
+    best = F.min(F.struct("d", (-F.col("weight")).alias("w"), "value")).alias("m")
+    return found.groupBy("group_id", "field").agg(best, F.max("total").alias("votes")).select("group_id", "field", F.col("m.value").alias("survivor"), "votes")
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,13 +277,42 @@ def test_addresses(spark, a, b, same):
 def test_prefix_never_loses_a_close_pair():
     rng = random.Random(12)
     words = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(40)]
-    idf = {}
-    vecs = [P7.vector(w, "t", idf, 1.0 + rng.random() * 0) for w in words]
+    weights = P7.Weights(Counter(g for w in words for g in P7.grams(w, "town")), len(words))
+    vecs = [weights.vector(w, "town") for w in words]
     for i in range(40):
         for j in range(i):
-            cos = sum(w * vecs[j].get(g, 0) for g, w in vecs[i].items())
-            if cos >= 0.33:
-                assert set(P7.prefix(vecs[i], 0.33)) & set(P7.prefix(vecs[j], 0.33))
+            if P7.cosine(vecs[i], vecs[j]) >= 0.5:
+                assert set(P7.prefix(vecs[i], 0.5)) & set(P7.prefix(vecs[j], 0.5))
+
+
+@pytest.mark.parametrize("chunk", [2, 5000])
+def test_incomplete_addresses_keep_their_links(spark, monkeypatch, chunk):
+    from amalgam.llm import joins
+
+    monkeypatch.setattr(joins, "CHUNK_ROWS", chunk)
+    rows = [
+        ("a", "12 Wellington, Springfield"), ("b", "12 Wellingtom, Springfield"),  # both without type
+        ("c", "17 Wellington Street"), ("d", "17 Welington Street"),  # both without place
+        ("e", "19 Wellington St, Springfield"), ("f", "19 Wellington, Springfield"), ("g", "19 Wellingtan, Springfield"),  # through a complete one
+        ("h", "21 Wellington St, Springfield"), ("i", "21 Wellington Ave, Springfield"), ("j", "21 Wellington, Springfield"),  # fits two: neither
+    ]
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(4)).title()
+    rows += [(f"n{i}", f"{i} {word()} Rd, {word()}") for i in range(30, 330)]
+    got = {r["record"]: r["place_id"] for r in P7.same_places(spark.createDataFrame(rows, "id string, adr string"), "id", "adr").collect()}
+    places = defaultdict(set)
+    for record, place in got.items():
+        places[place].add(record)
+    assert sorted(map(sorted, (p for p in places.values() if len(p) > 1))) == [["a", "b"], ["c", "d"], ["e", "f", "g"]] and len(got) == len(rows)
+
+
+def test_chunked_join_is_the_whole_join(spark):
+    from amalgam.llm.joins import chunked_join
+
+    left = spark.createDataFrame([(i % 3, i) for i in range(60)], "k int, l int")
+    right = spark.createDataFrame([(0 if i % 4 else i, i) for i in range(40)], "k int, r int")
+    rows = lambda df: sorted((r["k"], r["l"], r["r"]) for r in df.collect())
+    assert rows(chunked_join(left, right, ["k"], "l", "r", 7)) == rows(left.join(right, "k"))
 
 
 # 2: matches
@@ -306,7 +335,30 @@ def test_one_to_one(spark, monkeypatch, exact):
     monkeypatch.setattr(P2, "EXACT_EDGES", exact)
     edges = spark.createDataFrame([("a", "x", 0.9), ("a", "y", 0.8), ("b", "x", 0.85), ("c", "z", 0.5)], "left string, right string, confidence double")
     got = {(r["left"], r["right"]) for r in P2.assign_one_to_one(edges).collect()}
-    assert got == ({("a", "y"), ("b", "x"), ("c", "z")} if exact > 1 else {("a", "x"), ("c", "z")})
+    assert got == {("a", "y"), ("b", "x"), ("c", "z")}
+    assert P2.assign_one_to_one(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("exact", [2000, 1])
+def test_total_confidence_is_greatest_at_any_size(spark, monkeypatch, exact):
+    monkeypatch.setattr(P2, "EXACT_EDGES", exact)
+    rng = np.random.default_rng(7)
+    w = np.where(rng.random((12, 9)) < 0.5, rng.random((12, 9)).round(3), 0.0)
+    edges = spark.createDataFrame([(f"l{i}", f"r{j}", float(w[i, j])) for i in range(12) for j in range(9) if w[i, j]], "left string, right string, confidence double")
+    got = P2.assign_one_to_one(edges).collect()
+    assert len({r["left"] for r in got}) == len({r["right"] for r in got}) == len(got)
+    best = sum(w[i, j] for i, j in P2.best_assignment(w))
+    assert best - P2.EPSILON * 9 <= sum(r["confidence"] for r in got) <= best + 1e-9
+
+
+def test_positions_are_compared_both_ways_anywhere(spark):
+    """An exchanged position meets its place on any quarter of the globe."""
+    kept = "sig string, phone string, host string, house string, direction string, street string, kind string, town string, zip string, lat double, lon double"
+    none = (None, None, "", "", "", "", "", "")
+    for lat, lon in ((-33.86, 61.2), (40.7, -74.0), (52.5, 13.4), (-22.9, -43.2)):
+        records = spark.createDataFrame([("p", "r", "rudim tola", *none, lon, lat), ("p", "s", "vusak cycle", *none, lat, lon)], f"provider string, record_id string, {kept}")
+        entities = spark.createDataFrame([("e", "rudim tola", *none, lat, lon), ("f", "vusak cycle", *none, lat, lon)], f"cluster string, {kept}")
+        assert {(r["record_id"], r["cluster"]) for r in P2.match_entities(records, entities).collect()} == {("r", "e"), ("s", "f")}
 
 
 @with_tables
@@ -336,10 +388,40 @@ def test_equal_keys_always_meet(spark):
 
 
 def test_consensus_and_nearest():
-    values, weights = ["tolavi.example", "tolavi.example", "tovlai.example"], [0.5, 0.4, 0.3]
-    assert P3.consensus("canonical_website", ["tolavi.example", "tolai.example", "tolavie.example"], [0.4, 0.3, 0.3]) == "tolavi.example"
-    assert P3.nearest("tolavi.example", values, weights) == "tolavi.example"
-    assert P3.consensus("canonical_name", ["Ada Book Shop", "Ada Book", "Ada Books Shop"], [1, 1, 0.5]) in ("Ada Book Shop", "Ada Book")
+    assert "".join(P3.consensus("canonical_website", ["tolavi.example", "tolai.example", "tolavie.example"], [0.4, 0.3, 0.3])) == "tolavi.example"
+    assert P3.consensus("canonical_name", ["Ada Book Shop", "Ada Book", "Ada Books Shop"], [1, 1, 0.5])[:2] == ["Ada", "Book"]
+    far = [P3.distance("canonical_website", v, list("tolavi.example")) for v in ("tolavi.example", "tolvai.example", "z" * 500, "z" * 501)]
+    assert far == [0, 1, 500, 501]
+    # A value with most of the weight is the consensus, whatever it is aligned with.
+    rng = random.Random(3)
+    for _ in range(200):
+        values = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(5)]
+        weights = [rng.random() for _ in values[1:]]
+        assert "".join(P3.consensus("canonical_website", values, [sum(weights) * 1.01, *weights])) == values[0]
+
+
+def test_profiles_keep_all_votes():
+    values, weights = ["abcd", "abd", "xabc", "abcc", "bcd"], [1.0, 0.9, 0.8, 0.7, 0.6]
+    rows = [(v, P3.profile_of("canonical_website", v, w), w) for v, w in zip(values, weights)]
+    whole = P3.merged(P3.aligned(rows[:2]), 1.9, P3.aligned(rows[2:]), 2.1)
+    assert all(sum(c.values()) == pytest.approx(4.0) for c in whole) and "".join(P3.winners(whole)) == "abcd"
+
+
+@pytest.mark.parametrize("fan_in", [4, 1000])
+def test_batches_change_no_survivor(spark, monkeypatch, fan_in):
+    """Groups of many values without a majority, on both sides of the batch size."""
+    monkeypatch.setattr(P3, "FAN_IN", fan_in)
+    rng = random.Random(12)
+    rows, want = [], {}
+    for g in range(6):
+        truth = "".join(rng.choice("abcdefgh") for _ in range(12)) + ".example"
+        want[g] = truth
+        rows.append((g, 1.0, truth))
+        for _ in range(30):
+            at = rng.randrange(12)
+            rows.append((g, rng.uniform(0.2, 0.4), truth[:at] + rng.choice(["", "x", "yz"]) + truth[at + 1 :]))
+    df = spark.createDataFrame(rows, "group_id long, weight double, canonical_website string")
+    assert {r["group_id"]: r["survivor"] for r in P3.surviving_values(df, ["canonical_website"]).collect()} == want
 
 
 def test_survivors(spark, monkeypatch):
