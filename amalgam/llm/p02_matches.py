@@ -8,16 +8,17 @@ phone, address, position and website. Rank blocks make the window an equi-join,
 rows of one key always meet, and no pair outside a window is ever made. Equal
 readings are compared once, whatever number of rows shares them.
 
-Each provider's records are then assigned one-to-one to businesses so that the
-total confidence is greatest: records and businesses without rivals directly,
-the rest per connected component. A provider may list one business more than
-once; such further listings are kept if they are certain on their own
-(``STRONG``).
+A provider may list one business more than once: its records that are nearest to
+the same business, and do not contradict the surest of them, are one listing.
+Each provider's listings are then assigned one-to-one to businesses so that the
+total confidence is greatest: those without rivals directly, the rest per
+connected component, in one task or, where a component is too large for that, by
+an auction in rounds that comes within ``EPSILON`` an edge of the greatest total.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from amalgam.llm.normal import name_tokens, phone_key
 from amalgam.llm.p06_groups import connected_groups
 from amalgam.llm.p07_addresses import with_place
-from amalgam.runtime import cut, drop, load
+from amalgam.runtime import cut, drop, load, scratched
 
-WINDOW, STRONG, ACCEPT = 10, 0.46, 0.3
-#: Edges up to which a contested component is solved exactly in one task; larger
-#: ones are matched by locally best edges in rounds.
-EXACT_EDGES, EDGES_PER_TASK = 2000, 1000
+WINDOW, ACCEPT = 10, 0.3
+#: Edges up to which a contested component is solved in one task; larger ones by auction.
+EXACT_EDGES, EDGES_PER_TASK, EPSILON = 2000, 1000, 0.01
 _FIELDS = ["sig", "phone", "host", "house", "direction", "street", "kind", "town", "zip", "lat", "lon"]
 
 
@@ -49,10 +49,10 @@ def _readings(df: DataFrame, name: str, phone: str, website: str, address: str,
 
     host = F.regexp_extract(F.lower(F.trim(F.col(website))), r"^(?:https?://)?(?:www\.)?([a-z0-9.-]+\.[a-z]+)", 1)
     # A zero pair is no position; a pair out of range the one way and in range the other is exchanged.
+    # An exchanged pair within range can't be told alone: pairs are compared both ways.
     x, y = F.col(lat), F.col(lon)
     valid = x.isNotNull() & y.isNotNull() & ~((F.abs(x) < 1e-6) & (F.abs(y) < 1e-6))
     swapped = (F.abs(x) > 90) & (F.abs(y) <= 90)
-    flipped = (x < 0) & (y > 0)  # both quarters occur only exchanged in one-country data
     out = (
         with_place(df, address)
         .withColumn("read", read(F.col(name), F.col(phone)))
@@ -66,8 +66,8 @@ def _readings(df: DataFrame, name: str, phone: str, website: str, address: str,
             .otherwise(F.regexp_replace(F.lower(F.coalesce(city, F.lit(""))), "[^a-z]", ""))
             .alias("town"),
             F.coalesce("place.zip", F.lit("")).alias("zip"),
-            F.when(valid, F.when(swapped | flipped, y).otherwise(x)).alias("lat"),
-            F.when(valid, F.when(swapped | flipped, x).otherwise(y)).alias("lon"),
+            F.when(valid, F.when(swapped, y).otherwise(x)).alias("lat"),
+            F.when(valid, F.when(swapped, x).otherwise(y)).alias("lon"),
         )
     )
     return out
@@ -77,7 +77,8 @@ def _sort_keys() -> Column:
     """(pass, key) of each composite key that the row can fill."""
     sep = lambda *c: F.concat_ws("|", *[F.col(x) if isinstance(x, str) else x for x in c])
     back = F.array_join(F.reverse(F.split("sig", " ")), " ")
-    cell = F.concat_ws(",", F.round("lat", 2).cast("string"), F.round("lon", 2).cast("string"))
+    # The same cell for a position and its exchange.
+    cell = F.concat_ws(",", F.round(F.greatest("lat", "lon"), 2).cast("string"), F.round(F.least("lat", "lon"), 2).cast("string"))
     keys = [
         F.when(F.col("sig").isNotNull(), F.struct(F.lit(1).alias("pass"), sep("sig", "town", "street", "house", "phone").alias("key"))),
         F.when(F.col("sig").isNotNull(), F.struct(F.lit(2).alias("pass"), F.concat_ws("|", back, "town", "street", "house", "phone").alias("key"))),
@@ -88,12 +89,14 @@ def _sort_keys() -> Column:
     return F.explode(F.array_compact(F.array(*keys)))
 
 
-def window_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+def window_pairs(rows: DataFrame, window: int = WINDOW, carry: list[str] | None = None, keep: Callable[[], Column] | None = None) -> DataFrame:
     """Distinct pairs (a, b) of row ids, a of side 0 and b of side 1, whose keys
     stand at most ``window`` ranks apart in some pass. Ranks count distinct keys,
     so rows of equal keys always meet, however many there are. ``rows`` has id,
-    side and the columns of the keys."""
-    keyed = cut(rows.select("id", "side", _sort_keys().alias("k")).select("id", "side", "k.*").withColumn("key_id", F.xxhash64("pass", "key")))
+    side and the columns of the keys; the columns ``carry`` travel along, so that
+    pairs that fail ``keep`` (over a_* and b_*) are never shuffled."""
+    carry = carry or []
+    keyed = cut(rows.select("id", "side", *carry, _sort_keys().alias("k")).select("id", "side", *carry, "k.*").withColumn("key_id", F.xxhash64("pass", "key")))
     placed = cut(
         keyed.groupBy("key_id").agg(F.min(F.struct("pass", "key")).alias("k"))
         .select("key_id", "k.*")
@@ -109,19 +112,27 @@ def window_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         at += counts[part]
     where = rows.sparkSession.createDataFrame(offsets, "part int, offset long")
     ranks = placed.join(F.broadcast(where), "part").select("key_id", (F.col("offset") + F.col("pos")).alias("rank"))
-    ranked = cut(keyed.select("id", "side", "pass", "key_id").join(ranks, "key_id").select("id", "side", "pass", "rank"))
+    ranked = cut(keyed.select("id", "side", "pass", "key_id", *carry).join(ranks, "key_id").select("id", "side", "pass", "rank", *carry))
     drop(keyed, placed)
     block = F.floor(F.col("rank") / window)
-    left = ranked.filter("side = 0").select(F.col("id").alias("a"), "pass", F.col("rank").alias("ra"), block.alias("block"))
-    right = ranked.filter("side = 1").select(
-        F.col("id").alias("b"), F.col("pass").alias("pass_b"), F.col("rank").alias("rb"), F.explode(F.array(block - 1, block, block + 1)).alias("block")
+    left = ranked.filter("side = 0").select(
+        F.col("id").alias("a"), "pass", F.col("rank").alias("ra"), block.alias("block"), *[F.col(c).alias(f"a_{c}") for c in carry]
     )
-    return (
-        left.join(right, "block")
-        .filter((F.col("pass") == F.col("pass_b")) & (F.abs(F.col("ra") - F.col("rb")) <= window))
-        .select("a", "b")
-        .distinct()
+    right = ranked.filter("side = 1").select(
+        F.col("id").alias("b"), F.col("pass").alias("pass_b"), F.col("rank").alias("rb"), F.explode(F.array(block - 1, block, block + 1)).alias("block"),
+        *[F.col(c).alias(f"b_{c}") for c in carry],
     )
+    met = left.join(right, "block").filter((F.col("pass") == F.col("pass_b")) & (F.abs(F.col("ra") - F.col("rb")) <= window))
+    return (met.filter(keep()) if keep else met).select("a", "b").distinct()
+
+
+def may_be_one() -> Column:
+    """What a pair (a_*, b_*) must meet to be scored at all: names a slip or so
+    apart, or, where a side has no name, an equal phone or host."""
+    x, y = F.col("a_sig"), F.col("b_sig")
+    alike = F.levenshtein(x, y, 3).between(0, F.when(F.length(x) >= 12, 3).otherwise(1))
+    reached = F.coalesce(F.col("a_phone") == F.col("b_phone"), F.lit(False)) | F.coalesce(F.col("a_host") == F.col("b_host"), F.lit(False))
+    return F.when(x.isNotNull() & y.isNotNull(), alike).otherwise(reached)
 
 
 def similarity(a: str, b: str) -> dict[str, Column]:
@@ -144,7 +155,9 @@ def similarity(a: str, b: str) -> dict[str, Column]:
         housed, F.when((x("house") == y("house")) & street_same & F.coalesce(where, F.lit(True)), 1.0).otherwise(0.0)
     )
     town = F.when(where, 1.0).when(~where, 0.0)
-    metres = F.hypot((x("lat") - y("lat")) * 111_195, (x("lon") - y("lon")) * 111_195 * F.cos(F.radians(x("lat"))))
+    wide = F.greatest(F.cos(F.radians(x("lat"))), F.cos(F.radians(y("lat"))))
+    apart = lambda c, d: F.hypot((x("lat") - y(c)) * 111_195, (x("lon") - y(d)) * 111_195 * wide)
+    metres = F.least(apart("lat", "lon"), apart("lon", "lat"))  # one side's pair may be exchanged
     geo = F.when(metres <= 150, 1.0).when(metres <= 500, 0.4).when(metres.isNotNull(), 0.0)
     host = F.when(x("host") == y("host"), 1.0).when(x("host").isNotNull() & y("host").isNotNull(), 0.0)
     return {"name": name, "phone": phone, "address": address, "town": town, "geo": geo, "host": host, "edits": name_edits}
@@ -237,23 +250,36 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(best(edges), columns=["left", "right"])
 
 
-def _dominant(edges: DataFrame) -> DataFrame:
-    """For components too large for one task: edges that are the best at both of
-    their ends are taken, rivals fall away, and so on until none is left."""
-    taken: list[DataFrame] = []
-    while not edges.isEmpty():
-        order = F.struct("confidence", "left", "right")
-        tops = edges.groupBy("left").agg(F.max(order).alias("t")).select("t.left", "t.right")
-        heads = edges.groupBy("right").agg(F.max(order).alias("t")).select("t.left", "t.right")
-        won = cut(tops.join(heads, ["left", "right"]))
-        taken.append(won)
-        edges = cut(edges.join(won.select("left"), "left", "left_anti").join(won.select("right"), "right", "left_anti"))
-    out = taken[0] if taken else edges.select("left", "right")
-    for part in taken[1:]:
-        out = out.unionByName(part)
-    return out
-
-
+def _auction(edges: DataFrame) -> DataFrame:
+    """For components too large for one task: free lefts bid for the right that is
+    worth most to them above its price, by as much as it is worth more than their
+    next choice (or than nothing) and EPSILON; a right goes to the highest bid. The
+    total is within EPSILON a match of the greatest."""
+    spark = edges.sparkSession
+    prices = spark.createDataFrame([], "right string, price double, left string")
+    retired = spark.createDataFrame([], "left string")
+    while True:
+        free = edges.join(prices.select("left"), "left", "left_anti").join(retired, "left", "left_anti")
+        worth = free.join(prices.select("right", "price"), "right", "left").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn(
+            "gain", F.col("confidence") - F.col("price")
+        )
+        worth = cut(worth)
+        top = worth.groupBy("left").agg(F.max(F.struct("gain", "right", "price")).alias("m")).select("left", "m.gain", "m.right", "m.price")
+        beside = worth.join(top.select("left", F.col("right").alias("first")), "left").filter("right <> first").groupBy("left").agg(F.max("gain").alias("next"))
+        choice = cut(top.join(beside, "left", "left").withColumn("next", F.greatest(F.coalesce("next", F.lit(0.0)), F.lit(0.0))))
+        drop(worth)
+        if choice.isEmpty():
+            break
+        bids = choice.filter("gain > 0").select("right", "left", (F.col("price") + F.col("gain") - F.col("next") + EPSILON).alias("price"))
+        won = bids.groupBy("right").agg(F.max(F.struct("price", "left")).alias("m")).select("right", "m.price", "m.left")
+        old_prices, old_retired = prices, retired
+        prices = cut(prices.join(won.select("right"), "right", "left_anti").unionByName(won))
+        retired = cut(retired.unionByName(choice.filter("gain <= 0").select("left")))
+        drop(old_prices, old_retired, choice)
+    return prices.select("left", "right")
+
+
+@scratched
 def assign_one_to_one(edges: DataFrame) -> DataFrame:
     """The edges (left, right, confidence) of a one-to-one assignment with the
     greatest total confidence. left and right are strings of different spaces."""
@@ -276,19 +302,43 @@ def assign_one_to_one(edges: DataFrame) -> DataFrame:
         .repartition(tasks, "group_key")
         .sortWithinPartitions("group_key")
         .mapInPandas(_solve, "left string, right string")
-        .unionByName(_dominant(cut(grouped.join(large, "group_key", "left_semi"))))
+        .unionByName(_auction(cut(grouped.join(large, "group_key", "left_semi"))))
     )
     return simple.unionByName(contested.join(solved, ["left", "right"]).select(*simple.columns))
 
 
+def _listings(edges: DataFrame, readings: DataFrame) -> DataFrame:
+    """(provider, record_id, listing): records of a provider that are nearest to
+    the same cluster as the surest record there, and do not contradict it in name
+    or place, take its id as their listing; others are listings of their own."""
+    key = ["provider", "record_id"]
+    home = edges.groupBy(*key).agg(F.max_by(F.struct("cluster", "confidence"), F.struct("confidence", "cluster")).alias("m")).select(*key, "m.*")
+    head = home.groupBy("provider", "cluster").agg(F.max(F.struct("confidence", "record_id")).alias("m"), F.count("*").alias("n"))
+    several = home.join(head.filter("n > 1").select("provider", "cluster", F.col("m.record_id").alias("listing")), ["provider", "cluster"])
+    a = readings.select(*key, *[F.col(c).alias(f"a_{c}") for c in _FIELDS])
+    b = readings.select("provider", F.col("record_id").alias("listing"), *[F.col(c).alias(f"b_{c}") for c in _FIELDS])
+    s = similarity("a_", "b_")
+    zero = lambda f: F.coalesce(s[f] == 0.0, F.lit(False))
+    other_name = F.coalesce(s["edits"] > F.when(F.length("a_sig") >= 12, 3).otherwise(1), F.lit(False))
+    against = other_name | zero("address") | (s["address"].isNull() & zero("town")) | (zero("geo") & ~F.coalesce(s["address"] == 1.0, F.lit(False)))
+    # A record that came with several readings joins if any of them may.
+    joined = (
+        several.join(a, key).join(b, ["provider", "listing"]).groupBy(*key, "listing").agg(F.min(against.cast("int")).alias("against"))
+        .filter("against = 0").select(*key, "listing")
+    )
+    return home.select(*key).join(joined, key, "left").select(*key, F.coalesce("listing", "record_id").alias("listing"))
+
+
+@scratched
 def match_entities(records: DataFrame, entities: DataFrame, window: int = WINDOW) -> DataFrame:
     """Matches (provider, record_id, cluster, confidence).
 
     ``records`` and ``entities`` hold readings (see ``_readings``) with provider
-    and record_id, and with cluster. A record has at most one cluster. Fields
+    and record_id, and with cluster. A record has at most one cluster, and a
+    provider's listing (see ``_listings``) is the only one of its cluster. Fields
     that are null, placeholders or unreadable are missing and neither support
     nor contradict; rows without any field are matched to nothing; repeated rows
-    count once; ties go to the smaller cluster; empty tables give no matches.
+    count once; ties go to the smaller id; empty tables give no matches.
     """
     key = ["provider", "record_id"]
     # Equal readings are compared once, their members joined back after.
@@ -296,31 +346,25 @@ def match_entities(records: DataFrame, entities: DataFrame, window: int = WINDOW
     left = cut(records.dropDuplicates([*key, *_FIELDS]).withColumn("id", reading))
     right = cut(entities.dropDuplicates(["cluster", *_FIELDS]).withColumn("id", reading))
     said, held = (cut(side.select("id", *_FIELDS).dropDuplicates(["id"])) for side in (left, right))
-    pairs = window_pairs(said.withColumn("side", F.lit(0)).unionByName(held.withColumn("side", F.lit(1))), window)
+    both = said.withColumn("side", F.lit(0)).unionByName(held.withColumn("side", F.lit(1)))
+    pairs = window_pairs(both, window, ["sig", "phone", "host"], may_be_one)
     a = said.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in _FIELDS])
     b = held.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in _FIELDS])
     alike = scored(pairs.join(a, "a").join(b, "b")).filter(F.col("confidence") >= ACCEPT).select("a", "b", "confidence")
-    best = (
+    edges = cut(
         alike.join(left.select(F.col("id").alias("a"), *key), "a")
         .join(right.select(F.col("id").alias("b"), "cluster"), "b")
         .groupBy(*key, "cluster")
         .agg(F.max("confidence").alias("confidence"))
     )
-    edges = cut(
-        best.select(
-            *key, "cluster", "confidence",
-            F.concat_ws("|", *key).alias("left"), F.concat_ws("|", "provider", "cluster").alias("right"),
-        )
-    )
-    first = cut(assign_one_to_one(edges))
-    further = (
-        edges.join(first.select("left"), "left", "left_anti")
-        .groupBy(*key)
-        .agg(F.max(F.struct("confidence", F.col("cluster"))).alias("m"))
-        .select(*key, F.col("m.cluster").alias("cluster"), F.col("m.confidence").alias("confidence"))
-        .filter(F.col("confidence") >= STRONG)
+    listed = cut(edges.join(_listings(edges, left), key))
+    offers = listed.groupBy("provider", "listing", "cluster").agg(F.max("confidence").alias("confidence")).select(
+        "provider", "listing", "cluster", "confidence",
+        F.concat_ws("|", "provider", "listing").alias("left"), F.concat_ws("|", "provider", "cluster").alias("right"),
     )
-    return first.select(*key, "cluster", "confidence").unionByName(further)
+    won = assign_one_to_one(offers).select("provider", "listing", "cluster")
+    # Each record of a listing keeps the confidence of its own comparison.
+    return listed.join(won, ["provider", "listing", "cluster"]).select(*key, "cluster", "confidence")
 
 
 def unresolved_readings(spark: SparkSession, sf_dir: str, resolved: bool = False) -> DataFrame:
