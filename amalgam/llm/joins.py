@@ -1,0 +1,31 @@
+"""Joins on keys of which some may be hot."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from amalgam.runtime import cut, small
+
+#: Rows of one key that a task may hold.
+CHUNK_ROWS = 5_000
+
+
+def chunked_join(left: DataFrame, right: DataFrame, key: list[str], left_id: str, right_id: str, chunk_rows: int | None = None) -> DataFrame:
+    """The inner join of two tables on ``key``, whole whatever the key's rows.
+
+    A key with more than ``chunk_rows`` rows on the right is hot: its rows of both
+    sides fall to chunks by a hash of their ids, and every chunk of the left meets
+    every chunk of the right in a task of its own. Hot keys are at most
+    rows / chunk_rows. Other columns must differ between the sides."""
+    rows = chunk_rows or CHUNK_ROWS
+    hot = cut(right.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).withColumn("_chunks", F.ceil(F.col("_n") / rows).cast("int")).select(*key, "_chunks"))
+    few = hot.count()
+    if not few:
+        return left.join(right, key)
+    marks = small(hot, few)
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.col("_chunks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+    a = left.join(marks, key).withColumn("_i", chunk(left_id)).withColumn("_j", every).drop("_chunks")
+    b = right.join(marks, key).withColumn("_j", chunk(right_id)).withColumn("_i", every).drop("_chunks")
+    mild = left.join(marks, key, "left_anti").join(right.join(marks, key, "left_anti"), key)
+    return mild.unionByName(a.join(b, [*key, "_i", "_j"]).drop("_i", "_j"))

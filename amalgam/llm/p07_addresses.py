@@ -2,14 +2,16 @@
 
 Addresses are parsed to house number, direction, street, type, town and postal
 code, and equal readings collapse to one form, however many rows hold it. A form
-is a vector of character 3-grams of its street (and, with less weight, its town)
-weighted by inverse document frequency over all forms. Candidates come from an
-inverted index over (house number, gram) that holds only the prefix of each
-vector: its rarest grams, up to where the rest could not reach the cosine
-threshold. A candidate pair is verified by the cosine and by the compatibility
-of house number, direction, type and place. Pairs of complete forms are closed
-to places; a form whose type or place is missing joins a place only if it is the
-only one it fits.
+is a vector of character 3-grams of its street and, with less weight, its town,
+weighted by inverse document frequency over all forms. Candidates
+come from an inverted index over (house number, gram) that holds only the prefix
+of each vector: its rarest grams, up to where the rest could not reach the cosine
+threshold; hot postings are split. A candidate pair is verified by the cosine and
+by the compatibility of house number, direction, type, town and postal code. Forms
+that name no town meet all others in a second index of streets alone.
+
+Pairs of forms that lack the same parts are closed to groups. A group whose type
+or place is missing joins the complete place it fits, if there is just one.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from amalgam.llm.joins import chunked_join
 from amalgam.llm.normal import parse_address, same_slipped, within_one_edit
 from amalgam.llm.p06_groups import connected_groups
-from amalgam.runtime import cut, load
+from amalgam.runtime import cut, load, scratched
 
-COSINE, TOWN_WEIGHT = 0.33, 0.35
+#: Thresholds of the cosine of streets with towns and of streets alone, and the weight of a town's grams.
+COSINE, STREET_COSINE, TOWN_WEIGHT = 0.5, 0.4, 0.7
+#: Share of forms added to a gram's, so that the grams of a slip outweigh no others.
+SMOOTHING = 1 / 20
 _FORM = ["house", "direction", "street", "kind", "town", "zip"]
 
 
@@ -39,7 +45,7 @@ def with_place(df: DataFrame, address: str) -> DataFrame:
     return df.withColumn("place", parse(F.col(address)))
 
 
-def grams(street: str, town: str) -> dict[str, float]:
+def grams(street: str, town: str = "") -> dict[str, float]:
     """3-grams of street and town, kept apart by a mark, with their field's weight."""
     out: dict[str, float] = {}
     for mark, text, weight in (("s", f" {street} ", 1.0), ("t", f" {town} ", TOWN_WEIGHT)):
@@ -48,10 +54,21 @@ def grams(street: str, town: str) -> dict[str, float]:
     return out
 
 
-def vector(street: str, town: str, idf: dict[str, float], unseen: float) -> dict[str, float]:
-    raw = {g: w * idf.get(g, unseen) for g, w in grams(street, town).items()}
-    norm = math.sqrt(sum(w * w for w in raw.values())) or 1.0
-    return {g: w / norm for g, w in raw.items()}
+class Weights:
+    """Inverse document frequencies of grams."""
+
+    def __init__(self, counts: dict[str, int], n: int):
+        self.rarest = math.log(1 + 1 / SMOOTHING)
+        self.idf = {g: math.log(1 + 1 / (c / n + SMOOTHING)) for g, c in counts.items()}
+
+    def vector(self, *parts: str) -> dict[str, float]:
+        raw = {g: w * self.idf.get(g, self.rarest) for g, w in grams(*parts).items()}
+        norm = math.sqrt(sum(w * w for w in raw.values())) or 1.0
+        return {g: w / norm for g, w in raw.items()}
+
+
+def cosine(u: dict[str, float], v: dict[str, float]) -> float:
+    return sum(w * v.get(g, 0.0) for g, w in u.items())
 
 
 def prefix(vec: dict[str, float], threshold: float) -> list[str]:
@@ -89,7 +106,7 @@ def _complete(p: str) -> F.Column:
     return (F.col(f"{p}kind") != "") & ((F.col(f"{p}town") != "") | (F.col(f"{p}zip") != ""))
 
 
-def place_pairs(forms: DataFrame, threshold: float = COSINE) -> DataFrame:
+def place_pairs(forms: DataFrame, threshold: float = COSINE, street_threshold: float = STREET_COSINE) -> DataFrame:
     """Verified pairs (form_a, form_b, similarity) of the distinct forms."""
     n = forms.count()
 
@@ -99,42 +116,48 @@ def place_pairs(forms: DataFrame, threshold: float = COSINE) -> DataFrame:
 
     # At most two marks times 40^3 grams of folded letters, whatever the input: small enough to send to all.
     counted = forms.select("street", "town").mapInPandas(gram_rows, "gram string").groupBy("gram").count().collect()
-    idf = {r["gram"]: math.log(1 + n / r["count"]) for r in counted}
-    unseen = math.log(1 + max(n, 1))
-    shared = forms.sparkSession.sparkContext.broadcast(idf)
+    shared = forms.sparkSession.sparkContext.broadcast(Weights({r["gram"]: r["count"] for r in counted}, n))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = shared.value
         for pdf in batches:
             rows = []
-            for form, house, street, town in zip(pdf["form"], pdf["house"], pdf["street"], pdf["town"]):
-                rows += [(house, g, form) for g in prefix(vector(street, town, shared.value, unseen), threshold)]
-            yield pd.DataFrame(rows, columns=["house", "gram", "form"])
+            for form, house, street, town in pdf[["form", "house", "street", "town"]].itertuples(index=False):
+                if town:
+                    rows += [(house, g, form, True) for g in prefix(weights.vector(street, town), threshold)]
+                rows += [(house, "o" + g, form, bool(town)) for g in prefix(weights.vector(street), street_threshold)]
+            yield pd.DataFrame(rows, columns=["house", "gram", "form", "in_town"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = shared.value
         for pdf in batches:
             rows = []
             for x, y in zip(pdf["form_a"], pdf["form_b"]):
                 a, b = tuple(x.split("|")), tuple(y.split("|"))
                 if not compatible(a, b):
                     continue
-                u, v = vector(a[2], a[4], shared.value, unseen), vector(b[2], b[4], shared.value, unseen)
-                cosine = sum(w * v.get(g, 0.0) for g, w in u.items())
-                if cosine >= threshold:
-                    rows.append((x, y, cosine))
+                both = a[4] and b[4]
+                alike = cosine(weights.vector(a[2], a[4]), weights.vector(b[2], b[4])) if both else cosine(weights.vector(a[2]), weights.vector(b[2]))
+                if alike >= (threshold if both else street_threshold):
+                    rows.append((x, y, alike))
             yield pd.DataFrame(rows, columns=["form_a", "form_b", "similarity"])
 
-    entries = cut(forms.select("form", "house", "street", "town").mapInPandas(index, "house string, gram string, form string"))
-    other = entries.select("house", "gram", F.col("form").alias("form_b"))
-    return (
-        entries.select("house", "gram", F.col("form").alias("form_a"))
-        .join(other, ["house", "gram"])
-        .filter(F.col("form_a") < F.col("form_b"))
-        .select("form_a", "form_b")
-        .distinct()
-        .mapInPandas(verify, "form_a string, form_b string, similarity double")
+    entries = cut(forms.select("form", "house", "street", "town").mapInPandas(index, "house string, gram string, form string, in_town boolean"))
+    alone = F.col("gram").startswith("o")
+    side = lambda df, name: df.select("house", "gram", F.col("form").alias(name))
+    whole = entries.filter(~alone)
+    near = chunked_join(side(whole, "form_a"), side(whole, "form_b"), ["house", "gram"], "form_a", "form_b").filter(F.col("form_a") < F.col("form_b"))
+    # Forms without a town against all.
+    streets = entries.filter(alone)
+    loose = (
+        chunked_join(side(streets.filter("NOT in_town"), "form_a"), side(streets, "form_b"), ["house", "gram"], "form_a", "form_b")
+        .filter("form_a <> form_b")
+        .select(F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b"))
     )
+    return near.select("form_a", "form_b").unionByName(loose).distinct().mapInPandas(verify, "form_a string, form_b string, similarity double")
 
 
+@scratched
 def same_places(rows: DataFrame, record: str, address: str, threshold: float = COSINE) -> DataFrame:
     """One row (record, place_id) per record whose address names a house.
 
@@ -142,6 +165,7 @@ def same_places(rows: DataFrame, record: str, address: str, threshold: float = C
     form. Rows with null or placeholder addresses, or without a house number and
     street, have no place; a record with several addresses has several rows;
     repeated rows and other columns change nothing; an empty table gives none.
+    Two readings that lack different parts are one place only through a complete one.
     """
     placed = cut(
         with_place(rows.select(F.col(record).alias("record"), F.col(address).alias("address")).dropna().distinct(), "address")
@@ -152,29 +176,28 @@ def same_places(rows: DataFrame, record: str, address: str, threshold: float = C
     forms = cut(placed.select(*_FORM, "form").distinct())
     pairs = cut(place_pairs(forms, threshold))
     parts = lambda c, p: [F.split(c, r"\|")[i].alias(p + n) for i, n in enumerate(_FORM)]
-    marked = pairs.select("*", *parts("form_a", "a_"), *parts("form_b", "b_")).withColumns(
-        {"whole_a": _complete("a_"), "whole_b": _complete("b_")}
-    )
-    groups = cut(connected_groups(marked.filter("whole_a AND whole_b"), "form_a", "form_b"))
-    grouped = forms.filter(_complete("")).select("form").join(groups, F.col("form") == F.col("member"), "left").select(
-        "form", F.coalesce("group_key", "form").alias("place_id")
-    )
-    # Incomplete forms: the one place they fit, else one of their own.
-    loose = (
-        marked.filter("whole_a <> whole_b")
+    has = lambda p: (F.col(f"{p}kind") != "", (F.col(f"{p}town") != "") | (F.col(f"{p}zip") != ""))
+    marked = pairs.select("form_a", "form_b", *parts("form_a", "a_"), *parts("form_b", "b_"))
+    (kind_a, town_a), (kind_b, town_b) = has("a_"), has("b_")
+    groups = connected_groups(marked.filter((kind_a == kind_b) & (town_a == town_b)), "form_a", "form_b")
+    grouped = cut(forms.join(groups, F.col("form") == F.col("member"), "left").select("form", F.coalesce("group_key", "form").alias("group"), (has("")[0] & has("")[1]).alias("whole")))
+    # What a form that lacks a part fits: one place, or none, or several.
+    fits = (
+        marked.filter((kind_a & town_a) != (kind_b & town_b))
         .select(
-            F.when(F.col("whole_a"), F.col("form_b")).otherwise(F.col("form_a")).alias("form"),
-            F.when(F.col("whole_a"), F.col("form_a")).otherwise(F.col("form_b")).alias("known"),
+            F.when(kind_a & town_a, F.col("form_b")).otherwise(F.col("form_a")).alias("form"),
+            F.when(kind_a & town_a, F.col("form_a")).otherwise(F.col("form_b")).alias("known"),
         )
-        .join(grouped.withColumnRenamed("form", "known"), "known")
-        .groupBy("form")
-        .agg(F.min("place_id").alias("low"), F.max("place_id").alias("high"))
-        .filter("low = high")
-        .select("form", F.col("low").alias("place_id"))
+        .join(grouped.filter("whole").select(F.col("form").alias("known"), "group"), "known")
+        .groupBy("form").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+        .filter("low = high").select("form", F.col("low").alias("place"))
     )
-    others = forms.filter(~_complete("")).select("form")
-    rest = others.join(loose, "form", "left").select("form", F.coalesce("place_id", "form").alias("place_id"))
-    return placed.select("record", "form").join(grouped.unionAll(rest), "form").select("record", "place_id").distinct()
+    fitted = cut(grouped.filter("NOT whole").join(fits, "form", "left"))
+    # The rest of a group follows those of its forms that fit one place, if they agree on it.
+    agreed = fitted.groupBy("group").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low = high").select("group", F.col("low").alias("agreed"))
+    rest = fitted.join(agreed, "group", "left").select("form", F.coalesce("place", "agreed", "group").alias("place_id"))
+    places = grouped.filter("whole").select("form", F.col("group").alias("place_id")).unionAll(rest)
+    return placed.select("record", "form").join(places, "form").select("record", "place_id").distinct()
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,11 +212,10 @@ def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = cut(p7_places(spark, sf_dir))
-    other = places.select("place_id", F.col("record").alias("record_b"))
+    places = p7_places(spark, sf_dir)
+    side = lambda name: places.select("place_id", F.col("record").alias(name))
     return (
-        places.select("place_id", F.col("record").alias("record_a"))
-        .join(other, "place_id")
+        chunked_join(side("record_a"), side("record_b"), ["place_id"], "record_a", "record_b")
         .filter(F.col("record_a") < F.col("record_b"))
         .select("record_a", "record_b")
         .distinct()
