@@ -9,6 +9,10 @@ larger, then to its smaller neighbours), which needs about log(diameter)
 rounds instead of one per hop. The least neighbour is an aggregate that combines
 before its shuffle; vertices of very many links are few, and meet their links by
 a broadcast, so no vertex is one task.
+
+All rounds run on numbers: the distinct vertices are sorted once and take their
+rank, which keeps their order, as id. So every shuffle carries two longs a link,
+every aggregate is a hash aggregate, and the least id is the smallest name.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _peel(pairs: DataFrame, rounds: int) -> tuple[str | None, DataFrame | None, int, bool]:
+def _peel(pairs: DataFrame, rounds: int) -> tuple[int | None, DataFrame | None, int, bool]:
     """The vertex of highest degree, all vertices reached from it and their
     number, and whether the component is exhausted."""
     links = _both_ways(pairs)
@@ -44,7 +48,7 @@ def _peel(pairs: DataFrame, rounds: int) -> tuple[str | None, DataFrame | None,
     # The hub's own links are found by a filter: its rows are never hashed to one task.
     frontier = cut(links.filter(F.col("u") == F.lit(hub)).select("v").distinct())
     layers = [frontier]
-    reached = frontier.unionAll(pairs.sparkSession.createDataFrame([(hub,)], "v string"))
+    reached = frontier.unionAll(pairs.sparkSession.createDataFrame([(hub,)], "v long"))
     new = frontier.count()
     total = new + 1
     for _ in range(rounds):
@@ -110,6 +114,21 @@ def _propagate(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """(name, id) of distinct names: their ranks in byte order, over one range sort."""
+    placed = cut(
+        names.orderBy("name")
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    )
+    offsets, at = [], 0
+    for part, n in sorted(placed.groupBy("part").count().collect()):  # one number a partition
+        offsets.append((part, at))
+        at += n
+    where = names.sparkSession.createDataFrame(offsets, "part int, offset long")
+    return placed.join(F.broadcast(where), "part").select("name", (F.col("offset") + F.col("pos")).alias("id"))
+
+
 @scratched
 def connected_groups(
     links: DataFrame, left: str, right: str, peel_rounds: int = PEEL_ROUNDS
@@ -122,50 +141,52 @@ def connected_groups(
     No links give an empty result. Other columns are ignored, whatever their names.
     """
     x, y = F.col(left).cast("string"), F.col(right).cast("string")
-    pairs = cut(
+    named = cut(
         links.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), x.alias("x"), y.alias("y"))
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("a") != F.col("b")))
         .select("a", "b")
         .distinct()
     )
+    ids = cut(_numbered(named.select(F.col("a").alias("name")).unionAll(named.select("b")).distinct()))
+    # A name with many links is one row of ids: the adaptive skew join splits its links.
+    pairs = cut(
+        named.join(ids.select(F.col("name").alias("a"), F.col("id").alias("ia")), "a")
+        .join(ids.select(F.col("name").alias("b"), F.col("id").alias("ib")), "b")
+        .select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    )
+    giant, stars = _components(pairs, peel_rounds)
+    name_of = lambda c, as_: ids.select(F.col("id").alias(c), F.col("name").alias(as_))
+    labelled = stars.select(F.col("b").alias("i"), F.col("a").alias("g")).unionAll(stars.select(F.col("a").alias("i"), F.col("a").alias("g")).distinct())
+    found = labelled.join(name_of("g", "group_key"), "g").join(name_of("i", "member"), "i").select("member", "group_key")
+    if giant is None:
+        return found
+    # The giant's members never meet on its one key.
+    least = giant.agg(F.min("v").alias("i")).join(name_of("i", "name"), "i").first()["name"]
+    return found.unionAll(giant.join(name_of("v", "member"), "v").select("member", F.lit(least).alias("group_key")))
+
+
+def _components(pairs: DataFrame, peel_rounds: int) -> tuple[DataFrame | None, DataFrame]:
+    """The vertices v of the giant component, and stars (a, b) of all others, from links a < b of ids."""
     hub, reached, total, exhausted = _peel(pairs, peel_rounds)
     if hub is None:
-        return pairs.select(F.col("a").alias("member"), F.col("b").alias("group_key"))
+        return None, pairs
     if exhausted:
-        rest = pairs.join(small(reached.select(F.col("v").alias("a")), total), "a", "left_anti")
-    else:
-        rest = pairs
-        for end in ("a", "b"):
-            mark = reached.select(F.col("v").alias(end), F.lit(True).alias(f"in_{end}"))
-            rest = rest.join(small(mark, total), end, "left")
-    if exhausted:
-        stars = _propagate(rest)
-        giant_key = F.min("v")
-        giant = reached.crossJoin(F.broadcast(reached.agg(giant_key.alias("group_key"))))  # one row
-        giant = giant.select(F.col("v").alias("member"), "group_key")
-    else:
-        a = F.when(F.col("in_a"), F.lit(hub)).otherwise(F.col("a"))
-        b = F.when(F.col("in_b"), F.lit(hub)).otherwise(F.col("b"))
-        rest = (
-            rest.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-            .filter(F.col("a") != F.col("b"))
-            .distinct()
-        )
-        stars = _propagate(rest)
-        with_hub = stars.filter((F.col("a") == F.lit(hub)) | (F.col("b") == F.lit(hub))).select("a")
-        centre = with_hub.agg(F.coalesce(F.min("a"), F.lit(hub)).alias("c")).first()["c"]
-        whole = cut(
-            stars.filter(F.col("a") == F.lit(centre)).select(F.col("b").alias("v"))
-            .unionAll(reached).unionAll(stars.sparkSession.createDataFrame([(centre,)], "v string"))
-            .distinct()
-        )
-        giant = whole.crossJoin(F.broadcast(whole.agg(F.min("v").alias("group_key"))))  # one row
-        giant = giant.select(F.col("v").alias("member"), "group_key")
-        stars = stars.filter(F.col("a") != F.lit(centre))
-    labelled = stars.select(F.col("b").alias("member"), F.col("a").alias("group_key")).unionAll(
-        stars.select(F.col("a").alias("member"), F.col("a").alias("group_key")).distinct()
+        return reached, _propagate(pairs.join(small(reached.select(F.col("v").alias("a")), total), "a", "left_anti"))
+    rest = pairs
+    for end in ("a", "b"):
+        mark = reached.select(F.col("v").alias(end), F.lit(True).alias(f"in_{end}"))
+        rest = rest.join(small(mark, total), end, "left")
+    a = F.when(F.col("in_a"), F.lit(hub)).otherwise(F.col("a"))
+    b = F.when(F.col("in_b"), F.lit(hub)).otherwise(F.col("b"))
+    stars = _propagate(rest.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter(F.col("a") != F.col("b")).distinct())
+    with_hub = stars.filter((F.col("a") == F.lit(hub)) | (F.col("b") == F.lit(hub))).select("a")
+    centre = with_hub.agg(F.coalesce(F.min("a"), F.lit(hub)).alias("c")).first()["c"]
+    whole = cut(
+        stars.filter(F.col("a") == F.lit(centre)).select(F.col("b").alias("v"))
+        .unionAll(reached).unionAll(stars.sparkSession.createDataFrame([(centre,)], "v long"))
+        .distinct()
     )
-    return giant.unionAll(labelled)
+    return whole, stars.filter(F.col("a") != F.lit(centre))
 
 
 def confirmed_links(resolutions: DataFrame) -> DataFrame:
