@@ -486,6 +486,15 @@ def test_overlaps(spark):
     got = {(r["train_record"], r["eval_record"]) for r in P5.cross_split_pairs(spark.createDataFrame(rows, schema).withColumn("band", F.lit(1))).collect()}
     assert got == want
     assert P5.cross_split_pairs(spark.createDataFrame([], schema)).count() == 0
+    # Counts by class say the same as the pairs, with copies of records and one that stands on both sides.
+    rows += [(f"{r}+{k}", *rest) for r, *rest in rows[:6] for k in range(3)] + [("t00", "holdout", *rows[0][2:])]
+    df = spark.createDataFrame(rows, schema)
+    pairs = P5.cross_split_pairs(df).collect()
+    links = Counter((r["eval_record"], r["eval_split"]) for r in pairs)
+    same = Counter((r["eval_record"], r["eval_split"]) for r in pairs if r["similarity"] == 1.0)
+    counts = P5.overlap_counts(df).collect()
+    assert {(r["record"], r["split"]): r["links"] for r in counts} == links and links
+    assert all(r["same_text"] <= same.get((r["record"], r["split"]), 0) for r in counts)
 
 
 # 1: pairs
