@@ -10,15 +10,17 @@ from amalgam.runtime import cut, small
 CHUNK_ROWS = 5_000
 
 
-def chunked_join(left: DataFrame, right: DataFrame, key: list[str], left_id: str, right_id: str, chunk_rows: int | None = None) -> DataFrame:
+def chunked_join(left: DataFrame, right: DataFrame, key: list[str], left_id: str, right_id: str, chunk_rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """The inner join of two tables on ``key``, whole whatever the key's rows.
 
     A key with more than ``chunk_rows`` rows on the right is hot: its rows of both
     sides fall to chunks by a hash of their ids, and every chunk of the left meets
     every chunk of the right in a task of its own. Hot keys are at most
-    rows / chunk_rows. Other columns must differ between the sides."""
+    rows / chunk_rows. ``counts`` (key, n) spares the count where it is known.
+    Other columns must differ between the sides."""
     rows = chunk_rows or CHUNK_ROWS
-    hot = cut(right.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).withColumn("_chunks", F.ceil(F.col("_n") / rows).cast("int")).select(*key, "_chunks"))
+    sizes = right.groupBy(*key).agg(F.count("*").alias("_n")) if counts is None else counts.select(*key, F.col("n").alias("_n"))
+    hot = cut(sizes.filter(F.col("_n") > rows).withColumn("_chunks", F.ceil(F.col("_n") / rows).cast("int")).select(*key, "_chunks"))
     few = hot.count()
     if not few:
         return left.join(right, key)

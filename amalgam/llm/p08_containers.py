@@ -168,7 +168,7 @@ def fill_containers(
             full.select(
                 F.lit(name).alias("container_name"),
                 # negative ids: they never meet those of the shards
-                (-F.abs(F.xxhash64("doc_id", "piece")) - 1).alias("container_id"),
+                (-F.monotonically_increasing_id() - 1).alias("container_id"),
                 F.lit(capacity).alias("capacity_tokens"),
                 F.lit(capacity).cast("long").alias("used_tokens"),
                 F.lit(1).alias("n_items"),
@@ -194,6 +194,18 @@ def p8_containers(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER)
     return filled.withColumn("doc_ids", F.col("items.doc_id"))
 
 
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of container, what must hold of any filling: documents placed,
+    those not whole (their pieces don't join up) and containers overfull."""
+    filled = p8_containers(spark, sf_dir).select("container_name", "capacity_tokens", "used_tokens", F.explode("items").alias("i"))
+    docs = filled.groupBy("container_name", "i.doc_id").agg(
+        F.min("i.token_from").alias("first"), F.max("i.token_to").alias("last"), F.sum(F.col("i.token_to") - F.col("i.token_from")).alias("tokens"),
+        F.max((F.col("used_tokens") > F.col("capacity_tokens")).cast("int")).alias("over"),
+    )
+    broken = (F.col("first") != 0) | (F.col("last") != F.col("tokens"))
+    return docs.groupBy("container_name").agg(F.count("*").alias("documents"), F.count_if(broken).alias("not_whole"), F.sum("over").alias("in_overfull"))
+
+
 def p8_space_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind of container: how many there are and the share of space used."""
     return (
@@ -207,5 +219,7 @@ def p8_space_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_space_used": p8_space_used}
-SQL: dict[str, str] = {}
+QUERIES = {"p8_containers": p8_containers, "p8_space_used": p8_space_used, "p8_placed": p8_placed}
+SQL: dict[str, str] = {
+    "p8_placed": "SELECT container_name, count(*) AS documents, 0 AS not_whole, 0 AS in_overfull FROM container_spec CROSS JOIN documents GROUP BY 1",
+}

@@ -13,8 +13,9 @@ windows have equal minimisers, so each bucket can be counted on its own.
    documents is one row a task).
 3. In each bucket the windows are sorted by hash, and equal hashes are compared
    as strings, so the counts are exact.
-4. The shared offsets of each distinct string return to its occurrences and are
-   merged to maximal stretches per document.
+4. The shared offsets of each distinct string return to its occurrences (those of
+   a string that stands in very many documents are split) and are merged to
+   maximal stretches per document.
 
 A bucket of more than ``hot_bucket`` distinct strings is not processed in one
 task: its windows become keys of their own (the longest minimiser there is) and
@@ -29,10 +30,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from amalgam.runtime import cut, load
+from amalgam.llm.joins import chunked_join
+from amalgam.runtime import cut, load, scratched
 
 #: Window and minimiser length in characters; distinct strings in a hot bucket.
 WINDOW, MINIMISER, HOT_BUCKET = 120, 48, 20_000
+#: Occurrences of one string that a task may hold.
+SPLIT_OCCURRENCES = 100_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -212,6 +216,7 @@ def _merged(spans: DataFrame) -> DataFrame:
     )
 
 
+@scratched
 def shared_spans(
     docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, hot_bucket: int = HOT_BUCKET
 ) -> DataFrame:
@@ -238,7 +243,7 @@ def shared_spans(
         )
     )
     distinct = cut(
-        occurrences.groupBy("minimiser", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        occurrences.groupBy("minimiser", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     )
     hot = distinct.groupBy("minimiser").count().filter(F.col("count") > hot_bucket).select("minimiser")
     schema = "minimiser long, packed string, `from` long, `to` long"
@@ -249,7 +254,8 @@ def shared_spans(
         .mapInPandas(_count_buckets(k), schema)
         .unionByName(_hot_ranges(distinct.join(hot, "minimiser", "left_semi"), k))
     )
-    spans = occurrences.join(ranges, ["minimiser", "packed"]).select(
+    ranges = cut(ranges)
+    spans = chunked_join(ranges, occurrences, ["minimiser", "packed"], "from", "doc_id", SPLIT_OCCURRENCES, distinct).select(
         "doc_id", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")
     )
     return _merged(spans.distinct())
