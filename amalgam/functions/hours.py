@@ -8,14 +8,25 @@ from amalgam.functions.compat import trim_blank
 
 # Days in order and the words for closed.
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-CLOSED = ["closed", "close", "off", "none", "holiday", "-"]
+CLOSED = ["closed", "off", "off day", "day off"]
 
 
 def hours_value(c: Column) -> Column:
-    """D1: 'closed' for its synonyms, one blank-free dash in ranges, ranges joined by ', '."""
-    t = F.lower(trim_blank(c))
-    ranges = F.transform(F.split(t, "[,;]"), lambda r: F.regexp_replace(trim_blank(r), r"\s*(?:-|–|—|to)\s*", "-"))
-    return F.when(t.isNull() | (t == ""), F.lit(None)).when(t.isin(*CLOSED), "closed").otherwise(F.array_join(F.filter(ranges, lambda r: r != ""), ", "))
+    """D1: 'closed' for its synonyms, other text trimmed, null for none."""
+    t = trim_blank(c)
+    return F.when(t.isNull() | t.isin("", "[object Object]", "[object Array]"), F.lit(None)).when(F.lower(t).isin(*CLOSED), "closed").otherwise(t)
+
+
+def hours_list(c: Column) -> Column:
+    """D1 of an array of ranges: trimmed and joined by ', '; null for none."""
+    kept = F.filter(F.transform(c, trim_blank), lambda x: F.coalesce(x != "", F.lit(False)))
+    return F.when(F.size(kept) > 0, F.array_join(kept, ", "))
+
+
+def interval(opens: Column, closes: Column) -> Column:
+    """D1 of an interval object: 'open-close', or the opening alone."""
+    a, b = trim_blank(opens.cast("string")), trim_blank(closes.cast("string"))
+    return F.when(a == "", None).when(F.coalesce(b != "", F.lit(False)), F.concat_ws("-", a, b)).otherwise(a)
 
 
 def _day_number(word: Column) -> Column:
@@ -34,7 +45,7 @@ def hours_map(c: Column) -> Column:
         a = _day_number(x["a"])
         b = F.when(x["b"] != "", _day_number(x["b"])).otherwise(a)
         days = F.sequence(F.lit(0), F.pmod(b - a, F.lit(7)))
-        return F.transform(days, lambda d: F.struct(F.pmod(a + d, F.lit(7)).alias("d"), hours_value(x["v"]).alias("v")))
+        return F.transform(days, lambda d: F.struct(F.pmod(a + d, F.lit(7)).alias("d"), F.regexp_replace(hours_value(x["v"]), r"\s*-\s*", "-").alias("v")))
 
     parts = F.flatten(F.transform(zipped, spread))
     entries = F.transform(

@@ -8,6 +8,43 @@ from amalgam.functions.compat import js_round
 from amalgam.functions.text import clip, digits, match_form
 
 
+# Words of praise and complaint, and of the themes of reviews.
+POSITIVE = r"(?i)\b(great|excellent|amazing|wonderful|fantastic|good|best|love|loved|recommend|highly|friendly|courteous|top|perfect|impressed|satisfied|happy|beautiful)\b"
+NEGATIVE = r"(?i)\b(bad|poor|terrible|worst|awful|horrible|disappoint|disappointed|rude|slow|expensive|dirty|broken|unhappy|lack|lacking|refund|cancel|issue|problem)\b"
+THEMES = {
+    "Product quality": r"(?i)\b(quality|durable|solid|well-made|finish|material|product)\b",
+    "Customer service": r"(?i)\b(service|staff|friendly|courteous|helpful|polite|rude|support)\b",
+    "Pricing": r"(?i)\b(price|pricing|expensive|cheap|affordable|value|cost)\b",
+    "Delivery/Timeline": r"(?i)\b(deliver|delivery|timeline|time|wait|slow|fast|prompt|on-time)\b",
+    "Selection/Variety": r"(?i)\b(selection|variety|range|collection|options|stock|designs)\b",
+}
+# The terms of the dataset quality and their weights.
+QUALITY_WEIGHTS = {"contract": 0.3, "grounding": 0.2, "evidence": 0.1, "unknown": 0.1, "balance": 0.1, "coverage": 0.1, "splits": 0.1}
+
+
+def sentiment(reviews: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """Shares of reviews that only praise, only complain, or neither, and the
+    label of the majority; a tie is mixed. A null text is neutral."""
+    d = reviews.select(*keys, F.coalesce(text, F.lit("")).alias("_t")).select(*keys, F.col("_t").rlike(POSITIVE).alias("_p"), F.col("_t").rlike(NEGATIVE).alias("_q"))
+    p, q = F.count_if(F.col("_p") & ~F.col("_q")), F.count_if(F.col("_q") & ~F.col("_p"))
+    n = F.count("*")
+    return d.groupBy(*keys).agg(
+        n.alias("n"), (p / n).alias("positive"), (q / n).alias("negative"), (F.count_if(F.col("_p") == F.col("_q")) / n).alias("neutral"),
+        F.when(p > q, "positive").when(q > p, "negative").otherwise("mixed").alias("label"),
+    )
+
+
+def themes(reviews: DataFrame, keys: list[str], text: Column, position: Column) -> DataFrame:
+    """Per theme the reviews that touch it, min(1, share + 0.5) as confidence
+    and the first of them (200 characters) as example. One scan; a review gives a
+    row a theme it touches, and the first is a minimum that combines."""
+    d = reviews.select(*keys, F.coalesce(text, F.lit("")).alias("_t"), position.alias("_at"))
+    whole = d.groupBy(*keys).agg(F.count("*").alias("_n"))
+    touched = F.array_compact(F.array(*[F.when(F.col("_t").rlike(p), F.lit(k)) for k, p in THEMES.items()]))
+    per = d.select(*keys, "_at", F.substring("_t", 1, 200).alias("_t"), F.explode(touched).alias("theme")).groupBy(*keys, "theme").agg(F.count("*").alias("reviews"), F.min_by("_t", "_at").alias("example"))
+    return per.join(whole, keys).select(*keys, "theme", "reviews", F.least(F.lit(1.0), F.col("reviews") / F.col("_n") + F.lit(0.5)).alias("confidence"), "example")
+
+
 def eval_equivalent(field: Column, a: Column, b: Column) -> Column:
     """Equal without case and outer blanks; phones and coordinates by digits."""
     plain = F.lower(F.trim(a)) == F.lower(F.trim(b))
@@ -84,21 +121,100 @@ def grounding(snippet: Column, evidence: Column) -> Column:
     return F.when(snippet.isNull() | (F.length(s) < 8), "unverifiable").when(F.contains(match_form(evidence), s), "grounded").otherwise("unsupported")
 
 
-def failure_labels(rows: DataFrame, key: str) -> DataFrame:
-    """Failure categories of compared fields per example, with severity."""
+# Fields whose wrong value is an error of the entity.
+ENTITY_FIELDS = "(?i)name|category|business_type|phone|website|email|city|state|coordinates|full_address|postal_code"
+
+
+def failure_facts(rows: DataFrame, key: str) -> DataFrame:
+    """What classifies an example, counted over its compared fields (predicted,
+    expected, correct, confidence)."""
     p, e = F.col("predicted").isNotNull(), F.col("expected").isNotNull()
     wrong = p & e & ~F.col("correct")
-    entity = F.col("field").rlike("(?i)name|category|business_type|phone|website|email|city|state|coordinates|full_address|postal_code")
-    g = rows.groupBy(key).agg(
-        F.count_if(p & ~e).alias("invented"), F.count_if(wrong & entity).alias("entity_wrong"), F.count_if(wrong & ~entity).alias("other_wrong"), F.count_if(~p & e).alias("missed")
+    entity = F.col("field").rlike(ENTITY_FIELDS)
+    return rows.groupBy(key).agg(
+        F.count_if(p & ~e).alias("invented"), F.count_if(wrong & entity).alias("entity_wrong"), F.count_if(wrong & ~entity).alias("other_wrong"), F.count_if(~p & e).alias("missed"),
+        F.count_if(p & ~F.col("correct") & (F.col("confidence") >= 0.85) & (F.col("confidence") <= 1)).alias("bold"),
+    )
+
+
+def failure_labels(examples: DataFrame) -> DataFrame:
+    """Adds labels and severity to examples with ok, error, the counts of
+    ``failure_facts``, coverage (of generative output, else null), unsupported,
+    schema_compliant and schema_errors (paths and messages as text).
+
+    A failed example has one label from its message; a good one all that apply."""
+    error = F.coalesce("error", F.lit(""))
+    failed = (
+        F.when(error.rlike("(?i)no parseable JSON|unusable output|malformed"), "FORMAT_ERROR")
+        .when(error.rlike("(?i)post-validation|contract|schema|required|non-empty array"), "SCHEMA_ERROR")
+        .otherwise("OTHER")
     )
+    some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    bad_shape = F.coalesce(F.col("coverage") < 0.9, F.lit(False)) | ~F.coalesce("schema_compliant", F.lit(False))
     labels = F.array_compact(
         F.array(
-            F.when(F.col("invented") > 0, "HALLUCINATION"), F.when(F.col("entity_wrong") > 0, "ENTITY_RESOLUTION_ERROR"), F.when((F.col("other_wrong") > 0) | (F.col("missed") > 0), "EXTRACTION_ERROR")
+            F.when(some("invented"), "HALLUCINATION"), F.when(some("entity_wrong"), "ENTITY_RESOLUTION_ERROR"), F.when(some("other_wrong") | some("missed"), "EXTRACTION_ERROR"),
+            F.when(some("unsupported"), "EVIDENCE_ERROR"), F.when(bad_shape, "SCHEMA_ERROR"), F.when(some("bold"), "CONFIDENCE_ERROR"),
+            F.when(F.coalesce("schema_errors", F.lit("")).rlike("(?i)(provenance|status)[^:]*:\\s*value not in enum"), "UNKNOWN_HANDLING_ERROR"),
         )
     )
-    severity = F.when(F.array_contains("labels", "HALLUCINATION"), "CRITICAL").when(F.array_contains("labels", "EXTRACTION_ERROR"), "MEDIUM").otherwise("LOW")
-    return g.withColumn("labels", labels).withColumn("severity", severity).select(key, "labels", "severity")
+    has = lambda x: F.array_contains("labels", x)
+    severity = (
+        F.when(~F.col("ok"), F.when(has("FORMAT_ERROR"), "CRITICAL").otherwise("HIGH"))
+        .when(has("HALLUCINATION") | has("EVIDENCE_ERROR"), "CRITICAL").when(has("SCHEMA_ERROR"), "HIGH").when(has("EXTRACTION_ERROR"), "MEDIUM").otherwise("LOW")
+    )
+    return examples.withColumn("labels", F.when(F.col("ok"), labels).otherwise(F.array(failed))).withColumn("severity", severity)
+
+
+def failure_coverage(examples: DataFrame) -> DataFrame:
+    """Per category of known failures, how many training examples cover it
+    and the first of them. ``examples`` has example_id, task, split and booleans
+    has_categories, hours_as_text, abstains, no_website; one row an example."""
+    predicates = {
+        "schema-nested-generative": F.col("task").isin("brand.dna", "strategy.website", "strategy.landing_page"),
+        "category-list": F.col("has_categories"),
+        "hours-as-string": F.col("hours_as_text"),
+        "unknown-abstention": F.col("abstains"),
+        "website-exists-false": (F.col("task") == "website.analysis") & F.col("no_website"),
+        "provenance-enum-discipline": F.col("task") == "extraction.business_profile",
+    }
+    train = examples.filter(F.col("split") == "train")
+    counts = train.agg(*[F.struct(F.lit(k).alias("category"), F.count_if(p).alias("examples"), F.min(F.when(p, F.col("example_id"))).alias("first_example")).alias(f"c{i}") for i, (k, p) in enumerate(predicates.items())])
+    return counts.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(predicates))])).alias("c")).select("c.*")
+
+
+def checkpoint_composite(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Shares of parseable answers, key coverage and right abstentions, mean
+    of invented labels, and their weighted sum; (parseable, coverage, abstained, invented) a row."""
+    valid, cover, abstain, made = F.avg(F.when(F.col("parseable"), 1.0).otherwise(0.0)), F.avg("coverage"), F.avg("abstained"), F.avg("invented")
+    return scores.groupBy(*keys).agg(
+        F.count("*").alias("rows"), valid.alias("json_validity"), cover.alias("coverage"), abstain.alias("abstention"), made.alias("hallucinated"),
+        (F.lit(0.4) * valid + F.lit(0.3) * cover + F.lit(0.2) * abstain - F.lit(0.1) * made).alias("composite"),
+    )
+
+
+def status_accuracy(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of fields in both sides whose status is equal, or that neither
+    side has a value for. ``rows`` has predicted, expected, predicted_status and
+    expected_status; a value without status counts as extracted, none as missing."""
+    p, e = F.col("predicted").isNotNull(), F.col("expected").isNotNull()
+    of = lambda has, c: F.when(has, F.coalesce(c, F.lit("extracted"))).otherwise("missing")
+    right = (of(p, F.col("predicted_status")) == of(e, F.col("expected_status"))) | (~p & ~e)
+    return rows.groupBy(*keys).agg(F.count("*").alias("fields"), F.avg(F.when(right, 1.0).otherwise(0.0)).alias("status_accuracy"))
+
+
+def compare_models(a: DataFrame, b: DataFrame, key: list[str], metrics: list[str], order: str) -> DataFrame:
+    """Runs of two models on one benchmark side by side, delta = b - a to four
+    places. The last run of b counts (by ``order``); runs of a without one stay,
+    with null deltas, so that they can be counted as skipped."""
+    last = b.groupBy(*key).agg(F.max_by(F.struct(*metrics), order).alias("b"))
+    both = a.join(last, key, "left")
+    return both.select(*key, *[F.col(m).alias(f"{m}_a") for m in metrics], *[F.col(f"b.{m}").alias(f"{m}_b") for m in metrics], *[js_round(F.col(f"b.{m}") - F.col(m), 4).alias(f"{m}_delta") for m in metrics], F.col("b").isNull().alias("skipped"))
+
+
+def gold_corrections(failures: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """Failed fields with the gold value that corrects them; fields gold does not hold are left out."""
+    return failures.join(gold.select(*keys, "field", F.col("value").alias("gold")).filter("gold IS NOT NULL"), [*keys, "field"])
 
 
 def leaked_keys(rows: DataFrame, key: str, split: str) -> DataFrame:

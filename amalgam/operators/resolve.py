@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from amalgam.functions.compat import js_round, trim_blank
 from amalgam.functions.geo import haversine, valid_position
 from amalgam.functions.text import address_tokens, fuzzy_similarity, normalize_domain, normalize_phone
+from amalgam.operators.joins import chunked_join
 
 # Weights of the match signals.
 WEIGHTS = {
@@ -100,7 +101,9 @@ def match_score(pairs: DataFrame, a: str = "a_", b: str = "b_", country: Column
     same_domain = yes(F.col("_wa") == F.col("_wb"))
     elsewhere = F.col("location") == "different"
     contradicted = (full("name") & (n < 0.3)) | (full("address") & (s < 0.3)) | phone_conflict
-    hard = same_phone | same_domain | (full("place_id") & yes(x("place_id") == y("place_id")))
+    # Exact and near positions identify; the band between them (one building) does not.
+    at_place = yes(placed & ((metres <= 10) | ((metres > 50) & (metres <= 100))))
+    hard = same_phone | same_domain | at_place | (full("place_id") & yes(x("place_id") == y("place_id")))
     kind = (
         F.when(strong & same_domain & elsewhere & phone_conflict, "same_brand_different_location")
         .when(strong & same_phone & same_domain & elsewhere, "relocated_entity")
@@ -131,27 +134,11 @@ def block_pairs(records: DataFrame, key: str, blocks: list[Column], chunk_rows:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def blocked_pairs(records: DataFrame, key: str, blocks: list[Column], block_rows: int = 200) -> DataFrame:
-    """Pairs of ``block_pairs`` under a sliding window, for callers that accept losses.
-
-    A block of more than ``block_rows`` rows is compared within chunks of its
-    order under the record key and with the next chunk (a sliding window), so no
-    block gives all its pairs."""
-    keyed = records.select(F.col(key).alias("k"), F.explode(F.array_compact(F.array(*blocks))).alias("block")).distinct()
-    counts = keyed.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
-    # Chunks by hash range need no ordering of a whole block in one task.
-    chunks = F.ceil(F.col("n") / block_rows)
-    placed = keyed.join(counts, "block").withColumn("chunk", F.floor(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) * chunks / (1 << 20)))
-    right = placed.select("block", F.col("k").alias("b"), F.explode(F.array(F.col("chunk"), F.col("chunk") - 1)).alias("chunk"))
-    left = placed.select("block", F.col("k").alias("a"), "chunk")
-    return left.join(right, ["block", "chunk"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def dedupe_and_fill(records: DataFrame, key: Column, seq: list[str], fields: list[str]) -> DataFrame:
     """One row per key: the first record's values, gaps filled by the later
     ones in order. Null keys stay rows of their own."""
     order = F.struct(*seq)
-    keyed = records.withColumn("dedupe_key", F.coalesce(key, F.concat(F.lit("row:"), F.concat_ws("|", *[F.col(c).cast("string") for c in seq]))))
+    keyed = records.withColumn("dedupe_key", F.coalesce(key, F.concat(F.lit("row:"), F.concat_ws("|", *[F.unix_micros(c).cast("string") if t == "timestamp" else F.col(c).cast("string") for c, t in ((c, dict(records.dtypes)[c]) for c in seq)]))))
     first = {c: F.min(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct(order.alias("o"), F.col(c).alias("v")))) for c in fields}
     return keyed.groupBy("dedupe_key").agg(F.count("*").alias("n_records"), *[v["v"].alias(c) for c, v in first.items()])
 
@@ -160,9 +147,11 @@ def copy_pairs(sources: DataFrame, key: str, pos: str) -> DataFrame:
     """Pairs of sources of one key of which one copies the other."""
     a = sources.select(key, F.col(pos).alias("pos_a"), F.col("source_type").alias("type_a"), F.col("domain").alias("domain_a"))
     b = sources.select(key, F.col(pos).alias("pos_b"), F.col("source_type").alias("type_b"), F.col("domain").alias("domain_b"))
+    # Other types copy nothing: they never meet.
+    a, b = (side.filter(F.col(c).isin("directory", "structured_provider")) for side, c in ((a, "type_a"), (b, "type_b")))
     types = F.array_sort(F.array("type_a", "type_b"))
     copied = (types == F.array(F.lit("directory"), F.lit("structured_provider"))) | ((types == F.array(F.lit("directory"), F.lit("directory"))) & (F.col("domain_a") != F.col("domain_b")))
-    return a.join(b, key).filter((F.col("pos_a") < F.col("pos_b")) & F.coalesce(copied, F.lit(False))).select(key, "pos_a", "pos_b")
+    return chunked_join(a, b, [key], "pos_a", "pos_b").filter((F.col("pos_a") < F.col("pos_b")) & F.coalesce(copied, F.lit(False))).select(key, "pos_a", "pos_b")
 
 
 def relocation_verdicts(observations: DataFrame) -> DataFrame:
@@ -176,11 +165,16 @@ def relocation_verdicts(observations: DataFrame) -> DataFrame:
         F.count_if(F.col("field") == "address").alias("addresses"),
         F.count_if(F.col("field") == "phone").alias("phones"),
         F.count_if(F.col("field") == "website").alias("websites"),
-        F.sort_array(F.collect_list(F.when(F.col("field") == "address", F.struct("first_at", "value")))).alias("seen"),
+        F.min(F.when(F.col("field") == "address", F.struct("first_at", "value"))).alias("first"),
+    )
+    # The earliest address that differs from the first; two minima, no list of addresses.
+    later = (
+        firsts.filter("field = 'address'").join(facts.select("entity_id", "first"), "entity_id").filter(F.col("value") != F.col("first.value"))
+        .groupBy("entity_id").agg(F.min("first_at").alias("second_at"))
     )
     spans = observations.filter("field = 'address'").groupBy("entity_id", "record").agg(F.countDistinct("value").alias("n"))
     spanning = spans.groupBy("entity_id").agg(F.max(F.col("n") > 1).alias("spanned"))
-    gap = F.get("seen", F.lit(1))["first_at"] - F.get("seen", F.lit(0))["first_at"]
+    gap = F.col("second_at") - F.col("first.first_at")
     stable = (F.col("phones") == 1) | (F.col("websites") == 1) | F.coalesce("spanned", F.lit(False))
     changed = (F.col("phones") >= 2) | (F.col("websites") >= 2)
     verdict = (
@@ -189,6 +183,6 @@ def relocation_verdicts(observations: DataFrame) -> DataFrame:
         .when(stable & ~changed, "relocated_entity")
         .otherwise("uncertain")
     )
-    return facts.join(spanning, "entity_id", "left").select(
+    return facts.join(later, "entity_id", "left").join(spanning, "entity_id", "left").select(
         "entity_id", "addresses", "phones", "websites", js_round(gap, 0).alias("gap_seconds"), verdict.alias("verdict")
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from amalgam.runtime import cut
+
 
 def with_running_sum(df: DataFrame, key: str, order: list[str], slice_: Column, value: Column, name: str) -> DataFrame:
     """Adds the running sum of ``value`` per key in ``order``; ``slice_`` must not
@@ -28,11 +30,34 @@ def with_rank(df: DataFrame, key: str, order: list[str], slice_: Column, name: s
 
 
 def streaks(df: DataFrame, key: str, order: list[str], slice_: Column, hit: Column, name: str) -> DataFrame:
-    """Length of the run of hits that ends at each row, 0 where it is no hit.
-    Runs are islands between misses; an island is one partition."""
-    df = with_running_sum(df.withColumn("_hit", hit), key, order, slice_, F.when(hit, 0).otherwise(1), "_island")
-    run = F.sum(F.when(F.col("_hit"), 1).otherwise(0)).over(W.partitionBy(key, "_island").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn(name, F.when(F.col("_hit"), run).otherwise(0)).drop("_hit", "_island")
+    """Length of the run of hits that ends at each row, 0 where it is no hit:
+    the row's rank less the rank of the last miss. Both are carried from slice to
+    slice, so a key that only hits is no more one task than any other."""
+    ranked = with_rank(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), key, order, slice_, "_rank").withColumn("_slice", slice_)
+    missed = F.when(~F.col("_hit"), F.col("_rank"))
+    tops = ranked.groupBy(key, "_slice").agg(F.max(missed).alias("_top"))
+    carried = tops.select(key, "_slice", F.max("_top").over(W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    inside = F.max(missed).over(W.partitionBy(key, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = ranked.join(carried, [key, "_slice"]).withColumn("_last", F.coalesce(inside, F.col("_carried"), F.lit(0)))
+    return out.withColumn(name, F.when(F.col("_hit"), F.col("_rank") - F.col("_last")).otherwise(0)).drop("_hit", "_rank", "_slice", "_carried", "_last")
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of ``value`` per key: the value at rank
+    ceil(share * n), at least 1. Null values are left out.
+
+    Different values are counted first, then range-sorted over all tasks; what
+    stands before a task's part is carried over, so no task holds a key's values."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    placed = cut(counts.orderBy(key, value).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy(key, "_part").agg(F.sum("_n").alias("_sum"))
+    carried = totals.select(
+        key, "_part", (F.sum("_sum").over(W.partitionBy(key).orderBy("_part")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(W.partitionBy(key)).alias("_all")
+    )  # one row a key and task
+    rank = F.col("_before") + F.sum("_n").over(W.partitionBy(key, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    ranked = placed.join(carried, [key, "_part"]).withColumn("_rank", rank)
+    at = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_all")))
+    return ranked.groupBy(key).agg(*[F.min(F.when(F.col("_rank") >= at(p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def rolling_percentiles(df: DataFrame, key: str, order: list[str], slice_: Column, value: str, n: int, shares: dict[str, float], block: int = 4096) -> DataFrame:

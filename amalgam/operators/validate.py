@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from amalgam.functions.compat import trim_blank
+from amalgam.functions.geo import valid_position
 from amalgam.functions.text import digits, normalize_phone, normalize_website
 
 # Hosts that list businesses.
@@ -19,7 +20,7 @@ _LOCALITIES = "nagar|colony|sector|phase|block|chowk|basti|mohalla|gram|gaon"
 _STREET_WORDS = rf"(street|st\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|boulevard|blvd\.?|drive|dr\.?|highway|hwy\.?|{_LOCALITIES})"
 _WORD_END = "([^A-Za-z0-9_]|$)"
 # Field paths whose machine-made values must carry evidence.
-IDENTITY_PATHS = ["business.name", "contact.phone", "contact.website", "contact.email", "location.full_address", "location.coordinates", "business.category"]
+EVIDENCE_PATHS = ["identity.name", "contact.phone", "contact.website", "location.full_address", "location.coordinates", "ratings.rating", "ratings.review_count"]
 
 
 def rating_in_range(r: Column) -> Column:
@@ -95,7 +96,7 @@ def street_like(c: Column) -> Column:
 
 def evidence_gate(kind: Column, path: Column, snippet: Column, evidence_id: Column) -> Column:
     """true where a machine-made identity value carries no evidence."""
-    return (kind == "ai_generated") & path.isin(*IDENTITY_PATHS) & snippet.isNull() & evidence_id.isNull()
+    return (kind == "ai_generated") & path.isin(*EVIDENCE_PATHS) & snippet.isNull() & evidence_id.isNull()
 
 
 def swapped_numbers(rating: Column, reviews: Column) -> Column:
@@ -125,14 +126,23 @@ def synthetic_name(c: Column) -> Column:
 
 
 def record_conflicts(a: str, b: str) -> Column:
-    """F16: names of the fields in which two records exclude each other."""
+    """F16: names of the fields in which two records exclude each other: city,
+    state, postal code, coordinates more than 0.35 degrees apart, provider id, and
+    phones of seven digits or more. A field missing on a side excludes nothing."""
     x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
     low = lambda c: F.lower(trim_blank(c))
     differ = lambda c: (low(x(c)) != low(y(c))) & (low(x(c)) != "") & (low(y(c)) != "")
     far = F.hypot(x("latitude") - y("latitude"), x("longitude") - y("longitude")) > 0.35
     p, q = digits(x("phone")), digits(y("phone"))
-    phones = (F.length(p) >= 7) & (F.length(q) >= 7) & (F.right(p, F.lit(10)) != F.right(q, F.lit(10)))
-    return F.array_compact(F.array(F.when(differ("city"), "city"), F.when(far, "coordinates"), F.when(phones, "phone")))
+    phones = (F.length(p) >= 7) & (F.length(q) >= 7) & (p != q)
+    placed = valid_position(x("latitude"), x("longitude")) & valid_position(y("latitude"), y("longitude"))
+    ids = (trim_blank(x("provider_record_id")) != trim_blank(y("provider_record_id"))) & (trim_blank(x("provider_record_id")) != "") & (trim_blank(y("provider_record_id")) != "")
+    return F.array_compact(
+        F.array(
+            F.when(differ("city"), "city"), F.when(differ("state"), "state"), F.when(differ("postal_code"), "postalCode"), F.when(placed & far, "coordinates"),
+            F.when(ids, "providerId"), F.when(phones, "phone"),
+        )
+    )
 
 
 def record_issues() -> Column:

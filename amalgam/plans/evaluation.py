@@ -138,39 +138,80 @@ def _(spark, sf):
     return t.select("task", *[F.coalesce(F.col(s), F.lit(0)).alias(s) for s in splits])
 
 
+_COVERED = """x AS (SELECT DISTINCT example_id, task, lower(trim(split)) AS s, category IS NOT NULL AS cats, phone IS NULL OR address IS NULL OR website IS NULL AS abstains, website IS NULL AS no_site FROM dataset_example),
+      t AS (SELECT * FROM x WHERE s = 'train'),
+      cover AS (SELECT 'schema-nested-generative' AS category, count(*) AS examples, min(example_id) AS first_example FROM t WHERE task IN ('brand.dna', 'strategy.website', 'strategy.landing_page')
+        UNION ALL SELECT 'category-list', count(*), min(example_id) FROM t WHERE cats UNION ALL SELECT 'hours-as-string', 0, NULL UNION ALL SELECT 'unknown-abstention', count(*), min(example_id) FROM t WHERE abstains
+        UNION ALL SELECT 'website-exists-false', count(*), min(example_id) FROM t WHERE task = 'website.analysis' AND no_site UNION ALL SELECT 'provenance-enum-discipline', count(*), min(example_id) FROM t WHERE task = 'extraction.business_profile')"""
+
+
+def _covering(spark: SparkSession, sf: str) -> DataFrame:
+    return _examples(spark, sf).select(
+        "example_id", "task", F.lower(F.trim("split")).alias("split"), F.col("category").isNotNull().alias("has_categories"), F.lit(False).alias("hours_as_text"),
+        (F.col("phone").isNull() | F.col("address").isNull() | F.col("website").isNull()).alias("abstains"), F.col("website").isNull().alias("no_website"),
+    ).distinct()
+
+
 @query(
     "a14_dataset_quality",
-    """WITH e AS (SELECT DISTINCT example_id, task, lower(trim(split)) AS s, name, address, phone, website, len(evidence) AS n FROM dataset_example), c AS (SELECT task, count(*) AS k FROM e GROUP BY 1),
-         b AS (SELECT 1 - (max(k) - min(k)) / sum(k) AS balance FROM c),
-         q AS (SELECT avg(CASE WHEN name <> '' THEN 1.0 ELSE 0.0 END) AS contract, avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END) AS evidence, avg(CASE WHEN phone IS NULL OR address IS NULL OR website IS NULL THEN 1.0 ELSE 0.0 END) AS unknown, count(DISTINCT s) AS splits FROM e)
-       SELECT round(contract, 6) AS contract, round(evidence, 6) AS evidence, round(least(1.0, unknown / 0.25), 6) AS unknown, round(balance, 6) AS balance,
-         floor((0.3 * contract + 0.2 * evidence + 0.1 * (evidence + least(1.0, unknown / 0.25) + balance + 1.0 + CASE WHEN splits >= 3 THEN 1.0 ELSE 0.0 END)) * 1000.0 + 0.5) / 1000.0 AS quality FROM q, b""",
+    """WITH %s, e AS (SELECT DISTINCT example_id, task, lower(trim(split)) AS s, name, address, phone, website, len(evidence) AS n, len(list_filter(evidence, lambda y: y.text <> '')) AS k FROM dataset_example), c AS (SELECT task, count(*) AS k FROM e WHERE s = 'train' GROUP BY 1),
+         b AS (SELECT coalesce(1 - (max(k) - min(k)) / sum(k), 1.0) AS balance FROM c), v AS (SELECT avg(CASE WHEN examples > 0 THEN 1.0 ELSE 0.0 END) AS coverage FROM cover),
+         q AS (SELECT avg(CASE WHEN name <> '' THEN 1.0 ELSE 0.0 END) AS contract, coalesce(1.0 - avg(CASE WHEN task = 'extraction.business_profile' THEN CASE WHEN k > 0 THEN 0.0 ELSE 1.0 END END), 1.0) AS grounding, avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END) AS evidence,
+           least(1.0, avg(CASE WHEN phone IS NULL OR address IS NULL OR website IS NULL THEN 1.0 ELSE 0.0 END) / 0.25) AS unknown, CASE WHEN count(*) FILTER (WHERE s = 'validation') > 0 AND count(*) FILTER (WHERE s = 'holdout') > 0 THEN 1.0 ELSE 0.5 END AS splits FROM e)
+       SELECT round(contract, 6) AS contract, round(grounding, 6) AS grounding, round(evidence, 6) AS evidence, round(unknown, 6) AS unknown, round(balance, 6) AS balance, round(coverage, 6) AS coverage, splits,
+         floor((0.3 * contract + 0.2 * grounding + 0.1 * evidence + 0.1 * unknown + 0.1 * balance + 0.1 * coverage + 0.1 * splits) * 1000.0 + 0.5) / 1000.0 AS quality FROM q, b, v""" % _COVERED,
 )
 def _(spark, sf):
-    e = _examples(spark, sf).select("example_id", "task", F.lower(F.trim("split")).alias("s"), "name", "address", "phone", "website", F.size("evidence").alias("n")).distinct()
+    filled = F.size(F.filter("evidence", lambda x: F.coalesce(x["text"] != "", F.lit(False))))
+    e = _examples(spark, sf).select("example_id", "task", F.lower(F.trim("split")).alias("s"), "name", "address", "phone", "website", F.size("evidence").alias("n"), filled.alias("k")).distinct()
     per_task = e.groupBy("task").agg(
-        F.count("*").alias("k"), F.count_if(F.col("name") != "").alias("named"), F.count_if(F.col("n") > 0).alias("backed"),
-        F.count_if(F.col("phone").isNull() | F.col("address").isNull() | F.col("website").isNull()).alias("open"), F.collect_set("s").alias("splits"),
-    )
-    k = F.sum("k")
+        F.count("*").alias("all"), F.count_if(F.col("s") == "train").alias("train"), F.count_if(F.col("s") == "validation").alias("validation"), F.count_if(F.col("s") == "holdout").alias("holdout"),
+        F.count_if(F.col("name") != "").alias("named"), F.count_if(F.col("n") > 0).alias("backed"), F.count_if(F.col("k") > 0).alias("grounded"),
+        F.count_if(F.col("phone").isNull() | F.col("address").isNull() | F.col("website").isNull()).alias("open"),
+    )  # a row a task
+    n, train = F.sum("all"), F.when(F.col("train") > 0, F.col("train"))
+    extracted = F.col("task") == "extraction.business_profile"
     q = per_task.agg(
-        (F.sum("named") / k).alias("contract"), (F.sum("backed") / k).alias("evidence"), F.least(F.lit(1.0), F.sum("open") / k / F.lit(0.25)).alias("unknown"),
-        (F.lit(1.0) - (F.max("k") - F.min("k")) / k).alias("balance"), F.size(F.array_distinct(F.flatten(F.collect_list("splits")))).alias("splits"),
+        (F.sum("named") / n).alias("contract"), F.coalesce(F.sum(F.when(extracted, F.col("grounded"))) / F.sum(F.when(extracted, F.col("all"))), F.lit(1.0)).alias("grounding"), (F.sum("backed") / n).alias("evidence"),
+        F.least(F.lit(1.0), F.sum("open") / n / F.lit(0.25)).alias("unknown"), F.coalesce(F.lit(1.0) - (F.max(train) - F.min(train)) / F.sum(train), F.lit(1.0)).alias("balance"),
+        F.when((F.sum("validation") > 0) & (F.sum("holdout") > 0), 1.0).otherwise(0.5).alias("splits"),
     )
-    third = F.when(F.col("splits") >= 3, 1.0).otherwise(0.0)
-    score = 0.3 * F.col("contract") + 0.2 * F.col("evidence") + 0.1 * (F.col("evidence") + F.col("unknown") + F.col("balance") + F.lit(1.0) + third)
-    return q.select(*[F.round(c, 6).alias(c) for c in ("contract", "evidence", "unknown", "balance")], E.js_round(score, 3).alias("quality"))
+    covered = E.failure_coverage(_covering(spark, sf)).agg(F.avg(F.when(F.col("examples") > 0, 1.0).otherwise(0.0)).alias("coverage"))
+    q = q.crossJoin(F.broadcast(covered))  # one row each
+    score = sum((F.lit(w) * F.col(c) for c, w in E.QUALITY_WEIGHTS.items()), F.lit(0.0))
+    return q.select(*[F.round(c, 6).alias(c) for c in ("contract", "grounding", "evidence", "unknown", "balance", "coverage")], "splits", E.js_round(score, 3).alias("quality"))
+
+
+_FAILED = "CASE provider WHEN 'web_extraction' THEN 'no parseable JSON' WHEN 'geoapify' THEN 'post-validation: a name is required' ELSE 'timeout' END"
 
 
 @query(
     "x17_a11_failures",
-    f"""WITH {_PER}, g AS (SELECT provider, provider_record_id, count(*) FILTER (WHERE a IS NOT NULL AND g IS NULL) AS invented, count(*) FILTER (WHERE a IS NOT NULL AND g IS NOT NULL AND NOT correct) AS wrong, count(*) FILTER (WHERE a IS NULL AND g IS NOT NULL) AS missed FROM per GROUP BY 1, 2)
-        SELECT label, severity, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN invented > 0 THEN 'HALLUCINATION' END, CASE WHEN wrong > 0 THEN 'ENTITY_RESOLUTION_ERROR' END, CASE WHEN missed > 0 THEN 'EXTRACTION_ERROR' END], lambda x: x IS NOT NULL)) AS label,
-          CASE WHEN invented > 0 THEN 'CRITICAL' WHEN missed > 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM g) GROUP BY 1, 2""",
+    f"""WITH {_PER}, g AS (SELECT provider, provider_record_id, count(*) FILTER (WHERE a IS NOT NULL AND g IS NULL) AS invented, count(*) FILTER (WHERE a IS NOT NULL AND g IS NOT NULL AND NOT correct) AS wrong, count(*) FILTER (WHERE a IS NULL AND g IS NOT NULL) AS missed,
+            count(*) FILTER (WHERE a IS NOT NULL AND NOT correct AND confidence BETWEEN 0.85 AND 1) AS bold FROM per GROUP BY 1, 2),
+          r AS (SELECT provider, provider_record_id, bool_or(coalesce(email, phone, website) IS NOT NULL) AS ok, {_FAILED} AS error, coalesce(bool_and(rating BETWEEN 0 AND 5 OR rating IS NULL), true) AS compliant, count(*) FILTER (WHERE NOT contains(lower(website), lower(split_part(name, ' ', 1)))) AS unsupported,
+            CASE WHEN bool_or(rating > 5) THEN 'ratings.rating.status: value not in enum' END AS errors FROM provider_record GROUP BY 1, 2),
+          l AS (SELECT ok, CASE WHEN NOT ok THEN [CASE provider WHEN 'web_extraction' THEN 'FORMAT_ERROR' WHEN 'geoapify' THEN 'SCHEMA_ERROR' ELSE 'OTHER' END] ELSE list_filter([CASE WHEN invented > 0 THEN 'HALLUCINATION' END, CASE WHEN wrong > 0 THEN 'ENTITY_RESOLUTION_ERROR' END, CASE WHEN missed > 0 THEN 'EXTRACTION_ERROR' END,
+            CASE WHEN unsupported > 0 THEN 'EVIDENCE_ERROR' END, CASE WHEN NOT compliant THEN 'SCHEMA_ERROR' END, CASE WHEN bold > 0 THEN 'CONFIDENCE_ERROR' END, CASE WHEN errors IS NOT NULL THEN 'UNKNOWN_HANDLING_ERROR' END], lambda x: x IS NOT NULL) END AS labels FROM g JOIN r USING (provider, provider_record_id))
+        SELECT label, severity, count(*) AS n FROM (SELECT unnest(labels) AS label, CASE WHEN NOT ok THEN CASE WHEN labels[1] = 'FORMAT_ERROR' THEN 'CRITICAL' ELSE 'HIGH' END WHEN list_contains(labels, 'HALLUCINATION') OR list_contains(labels, 'EVIDENCE_ERROR') THEN 'CRITICAL'
+          WHEN list_contains(labels, 'SCHEMA_ERROR') THEN 'HIGH' WHEN list_contains(labels, 'EXTRACTION_ERROR') THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM l) GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    rows = _compared(spark, sf).withColumn("example", F.concat_ws("|", "provider", "provider_record_id"))
-    return E.failure_labels(rows, "example").select(F.explode("labels").alias("label"), "severity").groupBy("label", "severity").agg(F.count("*").alias("n"))
+    key = F.concat_ws("|", "provider", "provider_record_id").alias("example")
+    facts = E.failure_facts(_compared(spark, sf).withColumn("example", key), "example")
+    error = F.when(F.col("provider") == "web_extraction", "no parseable JSON").when(F.col("provider") == "geoapify", "post-validation: a name is required").otherwise("timeout")
+    elsewhere = ~F.contains(F.lower("website"), F.lower(F.split_part(F.col("name"), F.lit(" "), F.lit(1))))
+    records = load(spark, sf, "provider_record").groupBy(key, error.alias("error")).agg(
+        F.bool_or(F.coalesce("email", "phone", "website").isNotNull()).alias("ok"), F.bool_and(F.coalesce(F.col("rating").between(0, 5), F.lit(True))).alias("schema_compliant"),
+        F.count_if(elsewhere).alias("unsupported"), F.when(F.bool_or(F.col("rating") > 5), "ratings.rating.status: value not in enum").alias("schema_errors"),
+    )
+    rows = facts.join(records, "example").withColumn("coverage", F.lit(None).cast("double"))
+    return E.failure_labels(rows).select(F.explode("labels").alias("label"), "severity").groupBy("label", "severity").agg(F.count("*").alias("n"))
+
+
+@query("a35_failure_coverage", f"WITH {_COVERED} SELECT * FROM cover")
+def _(spark, sf):
+    return E.failure_coverage(_covering(spark, sf))
 
 
 @query(
@@ -199,24 +240,21 @@ def _(spark, sf):
     return load(spark, sf, "dataset_example").filter(F.lower(F.trim("split")) == "holdout").select("example_id", "task").distinct()
 
 
-@query("a28_a29_review_texts",
-    """WITH d AS (SELECT source, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(great|excellent|amazing|wonderful|good|best|love|perfect|happy|beautiful|free|open)([^A-Za-z0-9_]|$)') AS pos, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(bad|poor|terrible|worst|slow|expensive|dirty|broken|missing|lost|problem|extra)([^A-Za-z0-9_]|$)') AS neg,
-           regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(price|cheap|value|cost|costs|crowns)([^A-Za-z0-9_]|$)') AS pricing, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(deliver|time|wait|slow|fast|prompt|parcels)([^A-Za-z0-9_]|$)') AS delivery FROM documents)
-       SELECT source, count(*) AS n, round(avg(CASE WHEN pos AND NOT neg THEN 1.0 ELSE 0.0 END), 6) AS positive, round(avg(CASE WHEN neg AND NOT pos THEN 1.0 ELSE 0.0 END), 6) AS negative,
-         CASE WHEN count(*) FILTER (WHERE pos AND NOT neg) > count(*) FILTER (WHERE neg AND NOT pos) THEN 'positive' WHEN count(*) FILTER (WHERE neg AND NOT pos) > count(*) FILTER (WHERE pos AND NOT neg) THEN 'negative' ELSE 'mixed' END AS label,
-         round(least(1.0, count(*) FILTER (WHERE pricing) / count(*) + 0.5), 6) AS pricing_confidence, count(*) FILTER (WHERE delivery) AS delivery_reviews FROM d GROUP BY 1""",
+@query(
+    "a28_sentiment",
+    f"""WITH d AS (SELECT source, regexp_matches(text, '{E.POSITIVE}') AS pos, regexp_matches(text, '{E.NEGATIVE}') AS neg FROM (SELECT source, coalesce(text, '') AS text FROM documents))
+       SELECT source, count(*) AS n, round(avg(CASE WHEN pos AND NOT neg THEN 1.0 ELSE 0.0 END), 6) AS positive, round(avg(CASE WHEN neg AND NOT pos THEN 1.0 ELSE 0.0 END), 6) AS negative, round(avg(CASE WHEN pos = neg THEN 1.0 ELSE 0.0 END), 6) AS neutral,
+         CASE WHEN count(*) FILTER (WHERE pos AND NOT neg) > count(*) FILTER (WHERE neg AND NOT pos) THEN 'positive' WHEN count(*) FILTER (WHERE neg AND NOT pos) > count(*) FILTER (WHERE pos AND NOT neg) THEN 'negative' ELSE 'mixed' END AS label FROM d GROUP BY 1""",
 )
 def _(spark, sf):
-    """Sentiment and themes per source by word lists (fixed values)."""
-    word = lambda ws: F.col("text").rlike(f"(?i)(^|[^A-Za-z0-9_])({ws})([^A-Za-z0-9_]|$)")
-    d = load(spark, sf, "documents").select(
-        "source", word("great|excellent|amazing|wonderful|good|best|love|perfect|happy|beautiful|free|open").alias("pos"), word("bad|poor|terrible|worst|slow|expensive|dirty|broken|missing|lost|problem|extra").alias("neg"),
-        word("price|cheap|value|cost|costs|crowns").alias("pricing"), word("deliver|time|wait|slow|fast|prompt|parcels").alias("delivery"),
-    )
-    p, q = F.col("pos") & ~F.col("neg"), F.col("neg") & ~F.col("pos")
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    label = F.when(F.count_if(p) > F.count_if(q), "positive").when(F.count_if(q) > F.count_if(p), "negative").otherwise("mixed")
-    return d.groupBy("source").agg(
-        F.count("*").alias("n"), share(p).alias("positive"), share(q).alias("negative"), label.alias("label"),
-        F.round(F.least(F.lit(1.0), F.count_if("pricing") / F.count("*") + F.lit(0.5)), 6).alias("pricing_confidence"), F.count_if("delivery").alias("delivery_reviews"),
-    )
+    s = E.sentiment(load(spark, sf, "documents"), ["source"], F.col("text"))
+    return s.select("source", "n", *[F.round(c, 6).alias(c) for c in ("positive", "negative", "neutral")], "label")
+
+
+@query(
+    "a29_themes",
+    "WITH t(theme, pattern) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in E.THEMES.items()) + """), d AS (SELECT source, doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT source, count(*) AS whole FROM d GROUP BY 1)
+       SELECT source, theme, count(*) AS reviews, round(least(1.0, count(*) / any_value(whole) + 0.5), 6) AS confidence, substr(arg_min(text, doc_id), 1, 200) AS example FROM d JOIN t ON regexp_matches(text, pattern) JOIN w USING (source) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return E.themes(load(spark, sf, "documents"), ["source"], F.col("text"), F.col("doc_id")).withColumn("confidence", F.round("confidence", 6))

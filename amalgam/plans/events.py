@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from amalgam.operators.breaker import circuit_states, cooldown_ms
-from amalgam.operators.running import rolling_percentiles, streaks, with_running_sum
+from amalgam.operators.running import nearest_rank, rolling_percentiles, streaks, with_running_sum
 from amalgam.runtime import load
 
 QUERIES, SQL = {}, {}
@@ -121,9 +121,7 @@ def _(spark, sf):
     """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1""",
 )
 def _(spark, sf):
-    _events(spark, sf).createOrReplaceTempView("a23_events")
-    shares = ", ".join(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value) AS p{round(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99))
-    return spark.sql(f"SELECT event_type, {shares} FROM a23_events GROUP BY event_type")
+    return nearest_rank(_events(spark, sf), "event_type", "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 @query(
@@ -174,7 +172,22 @@ def _(spark, sf):
     return s.filter("streak > 0").select("event_id", "streak", cooldown_ms(F.col("streak")).alias("cooldown_ms"))
 
 
-@query("w08_circuit_states")
+@query(
+    "w08_circuit_states",
+    """WITH RECURSIVE c AS (SELECT user_id, event_id AS call_id, epoch(ts) AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        -- the state after a call: state, failures in a row, successes since half open, time of opening
+        m(user_id, call_id, k, state, fails, wins, opened) AS (
+          SELECT user_id, call_id, k, 'CLOSED', CASE WHEN ok THEN 0 ELSE 1 END, 0, NULL::DOUBLE FROM c WHERE k = 1
+          UNION ALL
+          SELECT user_id, call_id, k,
+            CASE WHEN s = 'OPEN' THEN 'OPEN' WHEN ok THEN CASE WHEN s = 'HALF_OPEN' AND w + 1 < 2 THEN 'HALF_OPEN' ELSE 'CLOSED' END WHEN s = 'HALF_OPEN' OR fails + 1 >= 5 THEN 'OPEN' ELSE 'CLOSED' END,
+            CASE WHEN s = 'OPEN' THEN fails WHEN ok THEN 0 ELSE fails + 1 END,
+            CASE WHEN s = 'OPEN' THEN w WHEN ok AND s = 'HALF_OPEN' AND w + 1 < 2 THEN w + 1 WHEN ok AND s = 'HALF_OPEN' THEN 0 WHEN NOT ok AND (s = 'HALF_OPEN' OR fails + 1 >= 5) THEN 0 ELSE w END,
+            CASE WHEN s <> 'OPEN' AND NOT ok AND (s = 'HALF_OPEN' OR fails + 1 >= 5) THEN t ELSE opened END
+          FROM (SELECT c.user_id, c.call_id, c.k, c.t, c.ok, m.fails, m.opened, CASE WHEN m.state = 'OPEN' AND c.t - m.opened >= 60.0 THEN 'HALF_OPEN' ELSE m.state END AS s,
+                  CASE WHEN m.state = 'OPEN' AND c.t - m.opened >= 60.0 THEN 0 ELSE m.wins END AS w FROM m JOIN c ON c.user_id = m.user_id AND c.k = m.k + 1))
+        SELECT user_id, call_id, state FROM m""",
+)
 def _(spark, sf):
     calls = _events(spark, sf).select("user_id", "ts", F.col("event_id").alias("call_id"), (~_failed()).alias("ok"))
     return circuit_states(calls, "user_id")

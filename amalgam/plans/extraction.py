@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _authority() -> F.Column:
+    """Authority on the scale from 0 to 1; some sources state it in percent."""
+    return F.when(F.col("authority") > 1, F.col("authority") / 100).otherwise(F.col("authority"))
+
+
 def _page(spark: SparkSession, sf: str) -> DataFrame:
     """Pages made of the business rows: markup around their values."""
     b = load(spark, sf, "business_entity")
@@ -161,9 +166,9 @@ def _(spark, sf):
     return b.groupBy("merge_group").agg(F.array_join(F.slice(F.array_sort(F.collect_set("category")), 1, 12), "|").alias("taxonomy"))
 
 
-@query("t02_top_sources", "SELECT provider, id, authority FROM source_ref WHERE authority <= 1 QUALIFY row_number() OVER (PARTITION BY provider ORDER BY authority DESC, id) <= 3")
+@query("t02_top_sources", "SELECT provider, id, authority FROM (SELECT provider, id, CASE WHEN authority > 1 THEN authority / 100 ELSE authority END AS authority FROM source_ref WHERE authority IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY provider ORDER BY authority DESC, id) <= 3")
 def _(spark, sf):
-    s = load(spark, sf, "source_ref").filter("authority <= 1").select("provider", "id", "authority")
+    s = load(spark, sf, "source_ref").filter("authority IS NOT NULL").select("provider", "id", _authority().alias("authority"))
     # Three of each part first: a provider with most rows is not sorted in one task.
     part = W.partitionBy("provider", "salt").orderBy(F.desc("authority"), "id")
     near = s.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32))).withColumn("r", F.row_number().over(part)).filter("r <= 3")
@@ -189,9 +194,9 @@ def _(spark, sf):
     return load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority"), place.alias("place")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("price"))
 
 
-@query("a38_weakest", "SELECT provider, arg_min(source_type, (a, source_type)) AS weakest FROM (SELECT provider, source_type, round(avg(authority), 9) AS a FROM source_ref WHERE authority <= 1 GROUP BY 1, 2) GROUP BY 1")
+@query("a38_weakest", "SELECT provider, arg_min(source_type, (a, source_type)) AS weakest FROM (SELECT provider, source_type, round(avg(CASE WHEN authority > 1 THEN authority / 100 ELSE authority END), 9) AS a FROM source_ref WHERE authority IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def _(spark, sf):
-    m = load(spark, sf, "source_ref").filter("authority <= 1").groupBy("provider", "source_type").agg(F.round(F.avg("authority"), 9).alias("a"))
+    m = load(spark, sf, "source_ref").filter("authority IS NOT NULL").groupBy("provider", "source_type").agg(F.round(F.avg(_authority()), 9).alias("a"))
     return m.groupBy("provider").agg(F.min_by("source_type", F.struct("a", "source_type")).alias("weakest"))
 
 
@@ -211,8 +216,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = load(spark, sf, "resolution_record").filter("match_type IN ('uncertain', 'same_brand_different_location') AND provider_record_id_a IS NOT NULL AND provider_record_id_b IS NOT NULL")
-    items = rows.select(T.pair_key(F.col("provider_record_id_a"), F.col("provider_record_id_b"), F.col("match_type")).alias("dedupe_key"), F.col("id").alias("review_id"))
-    return S.insert_once(items.limit(0), items, "dedupe_key").select("dedupe_key")
+    items = rows.select(T.pair_key(F.col("provider_record_id_a"), F.col("provider_record_id_b"), F.col("match_type")).alias("dedupe_key"), F.col("id").alias("review_id"), "recorded_at")
+    # The older half stands in the queue already, and is offered again: inserting it twice changes nothing.
+    old = items.filter(F.col("recorded_at") < F.lit("2025-01-01").cast("timestamp"))
+    queue = S.insert_once(old.limit(0), old.select("dedupe_key", "review_id"), "dedupe_key")
+    return queue.unionByName(S.insert_once(queue, items.select("dedupe_key", "review_id"), "dedupe_key")).select("dedupe_key")
 
 
 @query(

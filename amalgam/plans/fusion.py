@@ -117,9 +117,22 @@ def _(spark, sf):
     return U.upsert_gate(_sequenced(spark, sf), ["merge_group", "field"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("c09_c11_canonical")
-def _(spark, sf):
-    return U.canonical_fold(_sequenced(spark, sf), ["merge_group", "field"], F.col("field").isin(*U.IDENTITY_FIELDS))
+@query(
+    "c09_c11_canonical",
+    f"""WITH RECURSIVE {_SEQ}, t AS (SELECT merge_group, field, value, seq, coalesce(confidence, 0.0) AS confidence, {_RANK_SQL(U.UPSERT_RANK)} AS tier, 0.4 * {_RANK_SQL(U.CANONICAL_RANK).replace('ELSE 0.0', 'ELSE 1.0')} + 0.15 + 0.3 * coalesce(confidence, 0.5) AS strength FROM cand),
+        f AS (SELECT *, max(confidence) OVER (PARTITION BY merge_group, field, value, tier ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM t),
+        c AS (SELECT *, field IN ('name', 'phone', 'website', 'full_address', 'coordinates') AS firm, row_number() OVER (PARTITION BY merge_group, field ORDER BY seq, value, confidence, tier) AS k FROM f WHERE seen IS NULL OR confidence > seen),
+        m(merge_group, field, k, value, tier, confidence, strength, conflicts) AS (
+          SELECT merge_group, field, k, value, tier, confidence, strength, 0 FROM c WHERE k = 1
+          UNION ALL
+          SELECT merge_group, field, k, CASE WHEN change THEN new_value ELSE value END, CASE WHEN change THEN new_tier ELSE tier END, CASE WHEN change THEN new_confidence ELSE confidence END, CASE WHEN change THEN new_strength ELSE strength END, conflicts + CASE WHEN differs THEN 1 ELSE 0 END
+          FROM (SELECT m.*, c.k AS next_k, c.value AS new_value, c.tier AS new_tier, c.confidence AS new_confidence, c.strength AS new_strength, m.value <> c.value AS differs,
+                  CASE WHEN m.value <> c.value AND c.firm THEN c.strength > m.strength + 0.2 ELSE c.tier > m.tier OR (c.tier = m.tier AND c.confidence > m.confidence) END AS change
+                FROM m JOIN c ON c.merge_group = m.merge_group AND c.field = m.field AND c.k = m.k + 1) x(merge_group, field, old_k, value, tier, confidence, strength, conflicts, k, new_value, new_tier, new_confidence, new_strength, differs, change))
+        SELECT merge_group, field, arg_max(value, k) AS value, arg_max(tier, k) AS tier, round(arg_max(confidence, k), 6) AS confidence, arg_max(conflicts, k) AS conflicts FROM m GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return U.canonical_fold(_sequenced(spark, sf), ["merge_group", "field"], F.col("field").isin(*U.IDENTITY_FIELDS)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("events", "scalars", "resolution", "fusion", "evaluation", "extraction")
+MODULES = ("events", "scalars", "resolution", "fusion", "evaluation", "extraction", "profiles")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

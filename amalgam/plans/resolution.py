@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from amalgam.operators import resolve as R
 from amalgam.operators.validate import record_conflicts
 from amalgam.functions import compat as C, geo as G, text as T
-from amalgam.plans.scalars import _NANP, _TRIM, _sql_map
+from amalgam.operators.joins import chunked_join
+from amalgam.plans.scalars import _NANP, _PARTS, _TRIM, _ZIP, _sql_map
 from amalgam.runtime import load
 
 QUERIES, SQL = {}, {}
@@ -96,7 +97,7 @@ r AS (SELECT *, CASE WHEN fp THEN CASE WHEN pa = pb THEN 0.30 ELSE -0.25 END ELS
 t AS (SELECT *, CASE WHEN greatest(-1.0, least(1.0, raw)) > 0 AND coverage < 1 THEN greatest(-1.0, least(1.0, raw)) * (0.8 + 0.2 * coverage) ELSE greatest(-1.0, least(1.0, raw)) END AS score,
         fn AND (lower(na) = lower(nb) OR ns >= 0.9) AS strong, coalesce(pa = pb, false) AS sp, coalesce(wa = wb, false) AS sw FROM r),
 scored AS (SELECT *, CASE WHEN strong AND sw AND location = 'different' AND fp AND NOT sp THEN 'same_brand_different_location' WHEN strong AND sp AND sw AND location = 'different' THEN 'relocated_entity'
-        WHEN (fn AND ns < 0.3) OR (fa AND s < 0.3) OR (fp AND NOT sp) THEN 'different_entity' WHEN score >= 0.85 AND (strong OR NOT fn) AND location = 'same' AND (sp OR sw) THEN 'same_entity'
+        WHEN (fn AND ns < 0.3) OR (fa AND s < 0.3) OR (fp AND NOT sp) THEN 'different_entity' WHEN score >= 0.85 AND (strong OR NOT fn) AND location = 'same' AND (sp OR sw OR coalesce(m <= 10 OR (m > 50 AND m <= 100), false)) THEN 'same_entity'
         WHEN score >= 0.5 THEN 'uncertain' ELSE 'different_entity' END AS match_type FROM t)"""
 
 
@@ -121,16 +122,16 @@ def _(spark, sf):
     "c07_batch_dedupe",
     f"""WITH k AS (SELECT *, coalesce(CASE WHEN provider = 'google_maps' AND {_TRIM('provider_record_id')} <> '' THEN 'place:' || {_TRIM('provider_record_id')} WHEN {_TRIM('website')} <> '' THEN 'url:' || {_TRIM('website')}
               WHEN {_TRIM('name')} <> '' AND {_TRIM('full_address')} <> '' THEN 'nameaddr:' || lower({_TRIM('name')}) || '|' || lower({_TRIM('full_address')}) WHEN {_TRIM('name')} <> '' THEN 'name:' || lower({_TRIM('name')}) END,
-              'row:' || strftime(fetched_at, '%Y-%m-%d %H:%M:%S') || '|' || provider || '|' || provider_record_id) AS dedupe_key FROM provider_record)
+              'row:' || epoch_us(fetched_at) || '|' || provider || '|' || provider_record_id) AS dedupe_key FROM provider_record)
         SELECT dedupe_key, count(*) AS n_records, arg_min(name, (fetched_at, provider, provider_record_id)) FILTER (WHERE name <> '') AS name,
           arg_min(phone, (fetched_at, provider, provider_record_id)) FILTER (WHERE phone <> '') AS phone, arg_min(website, (fetched_at, provider, provider_record_id)) FILTER (WHERE website <> '') AS website
-        FROM k WHERE dedupe_key NOT LIKE 'row:%' GROUP BY 1""",
+        FROM k GROUP BY 1""",
 )
 def _(spark, sf):
     place = F.when(F.col("provider") == "google_maps", F.col("provider_record_id"))
     key = T.dedupe_key(place, F.col("website"), F.col("name"), F.col("full_address"))
-    out = R.dedupe_and_fill(load(spark, sf, "provider_record"), key, ["fetched_at", "provider", "provider_record_id"], ["name", "phone", "website"])
-    return out.filter("dedupe_key NOT LIKE 'row:%'")
+    rows = load(spark, sf, "provider_record").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    return R.dedupe_and_fill(rows, key, ["fetched_at", "provider", "provider_record_id"], ["name", "phone", "website"])
 
 
 @query(
@@ -184,18 +185,37 @@ def _(spark, sf):
     )
 
 
+_OF_ENTITY = f"""x AS (SELECT DISTINCT entity_id, provider, provider_record_id, lower({_TRIM('city')}) AS city, lower(CASE WHEN regexp_matches(part3, {_ZIP}) THEN regexp_extract(part3, {_ZIP}, 1) ELSE part3 END) AS state,
+          lower(CASE WHEN regexp_matches(part3, {_ZIP}) THEN regexp_extract(part3, {_ZIP}, 2) END) AS zip, latitude, longitude, coalesce(abs(latitude) <= 90 AND abs(longitude) <= 180, false) AS placed, regexp_replace(phone, '[^0-9]', '', 'g') AS d, {_TRIM('provider_record_id')} AS pid
+        FROM (SELECT *, ({_PARTS})[3] AS part3 FROM provider_record) JOIN {_IDS} i USING (provider, provider_record_id)),
+      y AS (SELECT a.*, b.provider AS provider_b, b.provider_record_id AS id_b, b.city AS city_b, b.state AS state_b, b.zip AS zip_b, b.latitude AS lat_b, b.longitude AS lon_b, b.placed AS placed_b, b.d AS d_b, b.pid AS pid_b
+        FROM x a JOIN x b ON a.entity_id = b.entity_id AND (a.provider, a.provider_record_id) < (b.provider, b.provider_record_id))"""
+
+
+def records_of_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct states of the resolved records of each entity."""
+    ids = load(spark, sf, "provider_identity").filter("entity_id IS NOT NULL").select("provider", "provider_record_id", "entity_id").distinct()
+    place = T.parse_comma_address(F.col("full_address"))
+    rows = load(spark, sf, "provider_record").join(ids, ["provider", "provider_record_id"])
+    return rows.select(
+        "entity_id", "provider", "provider_record_id", F.lower(C.trim_blank(F.col("city"))).alias("city"), F.lower(place["state"]).alias("state"), F.lower(place["postal_code"]).alias("postal_code"),
+        "latitude", "longitude", T.digits(F.col("phone")).alias("phone"),
+    ).distinct()
+
+
 @query(
     "f16_hard_conflicts",
-    f"""WITH x AS (SELECT p.provider, p.provider_record_id, p.fetched_at, p.ingested_at, b.entity_id, regexp_replace(phone, '[^0-9]', '', 'g') AS da, regexp_replace(canonical_phone, '[^0-9]', '', 'g') AS db, latitude, longitude, canonical_latitude, canonical_longitude
-          FROM provider_record p JOIN {_IDS} i USING (provider, provider_record_id) JOIN business_entity b USING (entity_id))
-        SELECT conflict, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN sqrt(pow(latitude - canonical_latitude, 2) + pow(longitude - canonical_longitude, 2)) > 0.35 THEN 'coordinates' END,
-          CASE WHEN length(da) >= 7 AND length(db) >= 7 AND right(da, 10) <> right(db, 10) THEN 'phone' END], lambda x: x IS NOT NULL)) AS conflict FROM x) GROUP BY 1""",
+    f"""WITH {_OF_ENTITY} SELECT conflict, count(*) AS n FROM (SELECT unnest(list_filter([
+            CASE WHEN city <> '' AND city_b <> '' AND city <> city_b THEN 'city' END, CASE WHEN state <> '' AND state_b <> '' AND state <> state_b THEN 'state' END, CASE WHEN zip <> '' AND zip_b <> '' AND zip <> zip_b THEN 'postalCode' END,
+            CASE WHEN placed AND placed_b AND sqrt(pow(latitude - lat_b, 2) + pow(longitude - lon_b, 2)) > 0.35 THEN 'coordinates' END, CASE WHEN pid <> '' AND pid_b <> '' AND pid <> pid_b THEN 'providerId' END,
+            CASE WHEN length(d) >= 7 AND length(d_b) >= 7 AND d <> d_b THEN 'phone' END], lambda x: x IS NOT NULL)) AS conflict FROM y) GROUP BY 1""",
 )
 def _(spark, sf):
-    x = resolved_pairs(spark, sf)
-    for side in "ab":
-        x = x.withColumns({f"{side}_latitude": F.col(f"{side}_lat"), f"{side}_longitude": F.col(f"{side}_lon")})
-    return x.select(F.explode(record_conflicts("a_", "b_")).alias("conflict")).groupBy("conflict").agg(F.count("*").alias("n"))
+    rows = records_of_entities(spark, sf)
+    named = lambda p: rows.select("entity_id", *[F.col(c).alias(p + c) for c in rows.columns if c != "entity_id"])
+    key = lambda p: F.struct(F.col(f"{p}provider"), F.col(f"{p}provider_record_id"))
+    pairs = chunked_join(named("a_"), named("b_"), ["entity_id"], "a_provider_record_id", "b_provider_record_id").filter(key("a_") < key("b_"))
+    return pairs.select(F.explode(record_conflicts("a_", "b_")).alias("conflict")).groupBy("conflict").agg(F.count("*").alias("n"))
 
 
 _OBS = """obs AS (SELECT merge_group AS entity_id, s.id AS record, field, value, retrieved_at AS observed_at FROM business_entity b JOIN source_ref s ON b.source_id = s.id

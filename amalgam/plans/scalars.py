@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from amalgam.functions import compat as C, geo as G, text as T
 from amalgam.operators import validate as V
+from amalgam.operators.joins import chunked_join
 from amalgam.runtime import load
 
 _B = C.BLANK
@@ -223,7 +224,7 @@ def _(spark, sf):
     rows = load(spark, sf, "business_entity").filter("merge_group IS NOT NULL").select("entity_id", "canonical_name", "merge_group")
     a = rows.select("merge_group", F.col("entity_id").alias("id_a"), F.col("canonical_name").alias("a"))
     b = rows.select("merge_group", F.col("entity_id").alias("id_b"), F.col("canonical_name").alias("b"))
-    return a.join(b, "merge_group").filter("id_a < id_b").select("id_a", "id_b", F.round(T.fuzzy_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return chunked_join(a, b, ["merge_group"], "id_a", "id_b").filter("id_a < id_b").select("id_a", "id_b", F.round(T.fuzzy_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 _PARTS = f"list_filter(list_transform(string_split(full_address, ','), lambda x: {_TRIM('x')}), lambda x: x <> '')"
@@ -337,13 +338,14 @@ def _(spark, sf):
 
 @query(
     "f08_f14_names",
-    """SELECT provider, provider_record_id, name, regexp_matches(trim(name), '(?i)^(no\\.?\\s*|#\\s*)?\\d{1,5}[a-z]?([^A-Za-z0-9_]|$)') AS street_like,
-          (regexp_matches(trim(name), '(?i)^(unknown business|unknown|n/a|na|unnamed business|unnamed)$') OR regexp_matches(trim(name), '^(ChIJ[A-Za-z0-9_-]+|(?i:cid:?)\\s*\\d+|\\d{10,20}|0x[0-9a-fA-F]+:0x[0-9a-fA-F]+)$')) AS no_name
+    f"""SELECT provider, provider_record_id, name, regexp_matches(trim(name), '(?i)^(no\\.?\\s*|#\\s*)?\\d{{1,5}}[a-z]?([^A-Za-z0-9_]|$)') OR regexp_matches(trim(name), '(?i){V._STREET_WORDS}\\s*(no\\.?\\s*|#\\s*)?\\d{{1,5}}[a-z]?{V._WORD_END}')
+            OR regexp_matches(trim(name), '(?i)\\d{{1,5}}[a-z]?\\s+({V._LOCALITIES}|village|township|estate){V._WORD_END}') AS street_like,
+          (regexp_matches(trim(name), '(?i)^(unknown business|unknown|n/a|na|unnamed business|unnamed)$') OR regexp_matches(trim(name), '^(ChIJ[A-Za-z0-9_-]+|(?i:cid:?)\\s*\\d+|\\d{{10,20}}|0x[0-9a-fA-F]+:0x[0-9a-fA-F]+)$')) AS no_name
         FROM (SELECT DISTINCT provider, provider_record_id, name FROM provider_record WHERE trim(name) <> '')""",
 )
 def _(spark, sf):
     rows = load(spark, sf, "provider_record").filter("trim(name) <> ''").select("provider", "provider_record_id", "name").distinct()
-    return rows.select("*", V.opens_like_street(F.col("name")).alias("street_like"), V.synthetic_name(F.col("name")).alias("no_name"))
+    return rows.select("*", V.street_like(F.col("name")).alias("street_like"), V.synthetic_name(F.col("name")).alias("no_name"))
 
 
 @query(

@@ -19,14 +19,20 @@ def read_manifest(spark: SparkSession, manifest: str, split: str | None = None,
     holdout entries must be asked for."""
     base = Path(manifest).parent
     entries = [e for e in json.loads(Path(manifest).read_text())["datasets"] if (split is None or e["split"] == split) and (holdout or not e.get("holdout"))]
-    out = spark.createDataFrame([], schema).withColumn("path", F.lit(""))
+    if not entries:
+        return spark.createDataFrame([], schema).withColumn("path", F.lit(""))
+    # One read and one count of all files, however many.
+    stated = {str((base / e["path"]).resolve()): e for e in entries}
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(list(stated))
+    file = F.url_decode(F.regexp_replace(F.input_file_name(), "^file:/+", "/"))
+    paths = F.element_at(F.create_map(*[F.lit(x) for f, e in stated.items() for x in (f, e["path"])]), file)
+    rows = rows.withColumn("path", paths)
+    # Counted over whole records: a scan of no column would not read them.
+    found = {r["path"]: r["n"] for r in rows.groupBy("path").agg(F.count(F.struct(*[F.col(c) for c in schema.names])).alias("n")).collect()}  # one number a file
     for e in entries:
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(str(base / e["path"]))
-        found = rows.count()
-        if found != e["examples"]:
-            raise ValueError(f"{e['path']}: {found} rows, the manifest says {e['examples']}")
-        out = out.unionByName(rows.withColumn("path", F.lit(e["path"])))
-    return out
+        if found.get(e["path"], 0) != e["examples"]:
+            raise ValueError(f"{e['path']}: {found.get(e['path'], 0)} rows, the manifest says {e['examples']}")
+    return rows
 
 
 def read_reports(spark: SparkSession, paths: list[str], result: T.DataType) -> DataFrame:
@@ -61,6 +67,18 @@ def user_records(rows: DataFrame) -> DataFrame:
     )
 
 
+def lookup(table: DataFrame, **key) -> DataFrame:
+    """The row of a key; a null key has none. The filter reaches the scan."""
+    for column, value in key.items():
+        table = table.filter(F.lit(False) if value is None else F.col(column) == F.lit(value))
+    return table.limit(1)
+
+
+def hints(rows: DataFrame) -> DataFrame:
+    """What an input says for certain about a record, under short names."""
+    return rows.withColumnsRenamed({"latitude": "lat", "longitude": "lng"})
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     """S9."""
     df.write.mode("append").json(path)

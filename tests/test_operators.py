@@ -44,13 +44,6 @@ def test_missing_is_no_contradiction(spark):
     assert full["score"] == 1.0 and 0.5 < bare["score"] <= full["score"] and bare["coverage"] == 0.75
 
 
-def test_blocks_give_no_pair_twice_and_split_when_large(spark):
-    rows = spark.createDataFrame([(str(i), "x" if i < 40 else None) for i in range(50)], "id string, k string")
-    small = R.blocked_pairs(rows, "id", [F.col("k")], 100)
-    assert small.count() == 40 * 39 // 2
-    assert R.blocked_pairs(rows, "id", [F.col("k")], 10).count() < 40 * 39 // 2
-
-
 def test_blocks_are_compared_whole_at_any_size(spark, tmp_path):
     rows = [(f"e{i:03}", None, "https://hub.example/biz/x") for i in range(450)] + [("z1", "415-555-0134", "https://z.example"), ("z2", "(415) 555-0134", "z.example"), ("z3", None, None)]
     pd.DataFrame(rows, columns=["entity_id", "canonical_phone", "canonical_website"]).to_parquet(tmp_path / "business_entity.parquet")
@@ -225,3 +218,89 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.sql("SELECT sum(n) FROM usage_out").first()[0] == 48
     assert spark.sql("SELECT count(*) FROM breaker_out").first()[0] == 1
+
+
+# the candidate pipeline
+
+
+CANDIDATE = "id string, field string, kind string, value string, confidence double, provenance string, snippet string, evidence_id string, seq long"
+
+
+def decide(spark, candidates, profile=(), **options):
+    from amalgam.operators import candidates as P
+
+    rows = spark.createDataFrame(candidates, CANDIDATE).withColumn("status", F.lit("clash"))
+    known = spark.createDataFrame(list(profile), "id string, field string, value string, confidence double")
+    return {(r["field"], r["value"]): (r["status"], r["reason"]) for r in P.run_pipeline(rows, ["id"], known, **options).collect()}
+
+
+def candidate(field, value, confidence=0.9, provenance="discovered", kind="string", snippet=None, seq=1):
+    return ("e", field, kind, value, confidence, provenance, snippet, None, seq)
+
+
+def test_pipeline_selects_by_provenance_then_confidence_then_arrival(spark):
+    got = decide(spark, [candidate("identity.category", "a", 0.9, "inferred"), candidate("identity.category", "b", 0.5, "verified", seq=3), candidate("identity.category", "c", 0.5, "verified", seq=2), candidate("identity.category", "d", None, "verified")])
+    assert got == {("identity.category", "c"): ("accepted", None), **{("identity.category", v): ("rejected", "lower_priority") for v in "abd"}}
+
+
+def test_pipeline_rejects_what_fails_a_check(spark):
+    got = decide(
+        spark,
+        [
+            candidate("contact.phone", "555-0134"), candidate("contact.phone", "+1 415 555 0134", provenance="inferred"), candidate("contact.email", "user@example.com"), candidate("identity.name", "12 Main Street"),
+            candidate("identity.name", "Ada Books", provenance="ai_generated"), candidate("ratings.rating", "7", kind="number"), candidate("ratings.review_count", "5", kind="number"), candidate("location.coordinates", "1,2", kind="string"),
+            candidate("location.coordinates", "91,2", kind="object"), candidate("contact.website", "https://www.yelp.com/biz/x"), candidate(None, "x"), candidate("identity.category", None),
+        ],
+        [("e", "ratings.rating", "5", 0.9)],
+    )
+    assert got["contact.phone", "+1 415 555 0134"] == ("accepted", None)
+    reasons = {k: v[1] for k, v in got.items() if v[0] == "rejected"}
+    assert reasons == {
+        ("contact.phone", "555-0134"): "semantic:warn", ("contact.email", "user@example.com"): "semantic", ("identity.name", "12 Main Street"): "semantic", ("identity.name", "Ada Books"): "evidence", ("ratings.rating", "7"): "semantic",
+        ("ratings.review_count", "5"): "cross-field", ("location.coordinates", "1,2"): "type", ("location.coordinates", "91,2"): "semantic", ("contact.website", "https://www.yelp.com/biz/x"): "semantic", (None, "x"): "unknown_field", ("identity.category", None): "type",
+    }
+
+
+def test_pipeline_conflicts_and_weak_values(spark):
+    old, new = ("e", "identity.name", "Old Books", 0.4), candidate("identity.name", "New Books", 0.85)
+    assert decide(spark, [new, candidate("identity.name", "Third", 0.2)], [old]) == {("identity.name", "New Books"): ("conflict", None), ("identity.name", "Third"): ("valid", None)}
+    assert decide(spark, [new], [old], overwrite_below=0.5)["identity.name", "New Books"] == ("accepted", None)
+    assert decide(spark, [candidate("identity.name", "New Books", 0.75)], [old], overwrite_below=0.5)["identity.name", "New Books"] == ("conflict", None)
+    assert decide(spark, [candidate("identity.name", "OLD books", 0.1)], [old])["identity.name", "OLD books"] == ("accepted", None)
+    assert decide(spark, [new], [old], only_if_missing=True)["identity.name", "New Books"] == ("rejected", "field_populated")
+    assert decide(spark, [candidate("identity.name", "New Books", 0.75)], [old], only_if_missing=True, overwrite_below=0.5)["identity.name", "New Books"] == ("rejected", "below_confidence_bar")
+    assert decide(spark, [new], [old], only_if_missing=True, overwrite_below=0.5)["identity.name", "New Books"] == ("accepted", None)
+    assert decide(spark, [new, candidate("identity.category", "books")], [], conservative=True) == {("identity.name", "New Books"): ("rejected", "conservative_identity"), ("identity.category", "books"): ("accepted", None)}
+    assert decide(spark, [candidate("identity.category", "new")], [("e", "identity.category", "old", 0.9)])["identity.category", "new"] == ("accepted", None)
+
+
+def test_streaks_and_breaker_on_one_hot_key(spark):
+    rng = random.Random(3)
+    at, rows = datetime(2024, 1, 1), []
+    for i in range(900):
+        at += timedelta(seconds=rng.choice([1, 5, 30, 70, 4000]))
+        rows.append(("k", at, i, rng.random() > (0.9 if 300 < i < 330 else 0.3)))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, call_id long, ok boolean")
+    state, want, run, streak = dict(B.STATE), {}, 0, {}
+    for _, ts, i, ok in rows:
+        state = B.advance(state, ts.timestamp(), ok)
+        want[i] = state["state"]
+        run = 0 if ok else run + 1
+        streak[i] = run
+    assert {r["call_id"]: r["state"] for r in B.circuit_states(df, "k").collect()} == want and "OPEN" in want.values()
+    got = N.streaks(df, "k", ["ts", "call_id"], F.to_date("ts"), ~F.col("ok"), "n").collect()
+    assert {r["call_id"]: r["n"] for r in got} == streak
+
+
+def test_nearest_rank_is_carried_over_parts(spark):
+    rng = random.Random(4)
+    rows = [("a", float(rng.randint(1, 400))) for _ in range(3000)] + [("b", 7.0), ("c", None)]
+    got = {r["k"]: (r["lo"], r["hi"]) for r in N.nearest_rank(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v", {"lo": 0.5, "hi": 0.95}).collect()}
+    a = sorted(v for k, v in rows if k == "a")
+    assert got == {"a": (a[1499], a[2849]), "b": (7.0, 7.0)}
+
+
+def test_exact_and_near_positions_identify(spark):
+    bare = {"phone": None, "website": None, "place_id": None}
+    kinds = [pair(spark, bare, {**bare, "lat": 1.0 + metres / 111_195})["match_type"] for metres in (5, 30, 80)]
+    assert kinds[1] != "same_entity" and kinds == [kinds[0], "uncertain", kinds[2]]
