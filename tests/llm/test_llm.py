@@ -287,7 +287,7 @@ def test_prefix_never_loses_a_close_pair():
 
 @pytest.mark.parametrize("chunk", [2, 5000])
 def test_incomplete_addresses_keep_their_links(spark, monkeypatch, chunk):
-    from amalgam.llm import joins
+    from amalgam.operators import joins
 
     monkeypatch.setattr(joins, "CHUNK_ROWS", chunk)
     rows = [
@@ -307,7 +307,7 @@ def test_incomplete_addresses_keep_their_links(spark, monkeypatch, chunk):
 
 
 def test_chunked_join_is_the_whole_join(spark):
-    from amalgam.llm.joins import chunked_join
+    from amalgam.operators.joins import chunked_join
 
     left = spark.createDataFrame([(i % 3, i) for i in range(60)], "k int, l int")
     right = spark.createDataFrame([(0 if i % 4 else i, i) for i in range(40)], "k int, r int")
