@@ -100,18 +100,97 @@ def count_in_text(c: Column) -> Column:
     return F.coalesce(*[F.regexp_replace(F.nullif(F.regexp_extract(c, p, 1), F.lit("")), ",", "").try_cast("long") for p in tried])
 
 
-def labelled_fields(text: Column) -> Column:
-    """Fields of a page by their labels."""
-    get = lambda label: F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\W*(?:{label})\W*:\s*(.+)$", 1)), F.lit(""))
-    return F.struct(get("name").alias("name"), get("address").alias("address"), get("phone|telephone").alias("phone"), get("website|web").alias("website"), get("category|type").alias("category"))
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+# Patterns of map pages and the words on them that are no data.
+_REGION = r"([A-Z][A-Za-z. ]+?)\s*,\s*([A-Z][A-Za-z. ]+?)\s+(\d{6})\s*,\s*([A-Z][A-Za-z. ]+?)(?=[\s,)]|$)"
+_BUTTONS = ["Share", "Directions", "Save", "Nearby", "Send to phone", "See photos"]
+_NO_CATEGORY = ["Directions", "Nearby", "Transit", "Search", "Traffic", "Close"]
+_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+def map_page_fields(markdown: Column) -> Column:
+    """Phone, address, city, state, postal_code, country, rating, category and
+    hours of a map page in markdown; null where the page names none.
+
+    The address is the cluster 'City, State 123456, Country' and at most three
+    comma parts before it, up to a button's label."""
+    text = collapse_blank(F.regexp_replace(F.regexp_replace(markdown, r"!\[[^\]]*\]\([^)]*\)", " "), r"https?://maps\.google\.com/maps[^\s)]+", " "))
+    linked = F.regexp_replace(_found(text, r"tel:\+?([\d\s()-]{7,})"), r"[\s()-]", "")
+    spoken = F.regexp_replace(F.concat(_found(text, r"\+(\d{1,3})[\s-]?(\d{4,}[\s-]?\d{4,})"), _found(text, r"\+(\d{1,3})[\s-]?(\d{4,}[\s-]?\d{4,})", 2)), r"[\s-]", "")
+    long = lambda d: F.when(F.length(d) >= 10, F.concat(F.lit("+"), d))
+    region = _found(text, _REGION, 0)
+    before = F.filter(F.transform(F.split(F.split(text, _REGION, 2)[0], ","), lambda x: F.trim(x)), lambda x: x != "")
+    nearest = F.slice(F.reverse(before), 1, 3)
+    stop = F.array_position(F.transform(nearest, lambda x: x.isin(*_BUTTONS)), True)
+    kept = F.reverse(F.when(stop > 0, F.slice(nearest, F.lit(1), (stop - 1).cast("int"))).otherwise(nearest))
+    rating, category = _found(text, r"\s(\d\.\d)\s([A-Z][A-Za-z]{2,})(?:\s|$)").try_cast("double"), _found(text, r"\s(\d\.\d)\s([A-Z][A-Za-z]{2,})(?:\s|$)", 2)
+    rated = rating.between(0, 5) & ~category.isin(*_NO_CATEGORY)
+    span = r"(?i)%s\*?\s+([0-9]{1,2}(?::[0-9]{2})?)\s*(AM|PM)\s*[\u2013\u2014-]\s*([0-9]{1,2}(?::[0-9]{2})?)\s*(AM|PM)"
+    parts = [[_found(text, span % d, k) for k in (1, 2, 3, 4)] for d in _DAYS]
+    days = F.array_compact(
+        F.array(*[F.when(h[0].isNotNull(), F.struct(F.lit(d.lower()).alias("key"), F.concat(h[0], F.lit(" "), h[1], F.lit("-"), h[2], F.lit(" "), h[3]).alias("value"))) for d, h in zip(_DAYS, parts)])
+    )
+    return F.struct(
+        F.coalesce(long(linked), long(spoken)).alias("phone"), F.when(region.isNotNull() & (F.size(kept) > 0), F.array_join(F.concat(kept, F.array(region)), ", ")).alias("address"),
+        F.trim(_found(text, _REGION)).alias("city"), F.trim(_found(text, _REGION, 2)).alias("state"), F.coalesce(_found(text, _REGION, 3), _found(text, r"\b(\d{6})\b")).alias("postal_code"), F.trim(_found(text, _REGION, 4)).alias("country"),
+        F.when(rated, rating).alias("rating"), F.when(rated, category).alias("category"), F.map_from_entries(days).alias("hours"),
+    )
+
+
+# Patterns of phones, addresses, ratings and counts in raw pages, in the order they are tried.
+_PAGE_PHONES = [r"(?:\+91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}", r"(?:\+91[\s-]?)?\d{3}[\s-]?\d{3}[\s-]?\d{4}", r"\b\d{10}\b"]
+_PAGE_ADDRESS = r"[A-Za-z\s]+,\s*[A-Za-z\s]+,\s*[A-Za-z\s]+,\s*[A-Za-z\s]+\s+\d{6}"
+_PAGE_RATINGS = [r"(?:rating|Rating|★)\s*[:]\s*([0-9]\.[0-9])", r'"ratingValue"\s*:\s*"([0-9]\.[0-9])"', r'"rating"\s*:\s*([0-9]\.[0-9])', r"([0-9]\.[0-9])\s*out of\s*5"]
+_PAGE_COUNTS = [r'"reviewCount"\s*:\s*"([0-9,]+)"', r"(?i)([0-9,]+)\s*(?:reviews|ratings)", r'"review_count"\s*:\s*([0-9]+)']
+
+
+def raw_page_fields(html: Column) -> Column:
+    """X11: phone, address, city, state, postal_code, rating and review_count of a
+    raw page: of each the first pattern that gives a value, null for none."""
+    phones = [F.get(F.filter(F.regexp_extract_all(html, F.lit(p), F.lit(0)), lambda m: F.length(F.regexp_replace(m, r"[\s-]", "")) >= 10), F.lit(0)) for p in _PAGE_PHONES]
+    address = _found(html, _PAGE_ADDRESS, 0)
+    parts = F.transform(F.split(address, ","), collapse_blank)
+    return F.struct(
+        F.coalesce(*phones).alias("phone"), address.alias("address"), F.try_element_at(parts, F.lit(-3)).alias("city"), F.try_element_at(parts, F.lit(-2)).alias("state"),
+        _found(F.try_element_at(parts, F.lit(-1)), r"\d{6}", 0).alias("postal_code"),
+        F.coalesce(*[_found(html, p).try_cast("double") for p in _PAGE_RATINGS]).alias("rating"), F.coalesce(*[F.regexp_replace(_found(html, p), ",", "").try_cast("long") for p in _PAGE_COUNTS]).alias("review_count"),
+    )
 
 
 def clean_reviews(reviews: Column) -> Column:
-    """Reviews with a text or a rating from 1 to 5, texts trimmed."""
+    """Reviews (structs of rating, text, author, author_name, published_at,
+    relative_time, publish_time, confidence) that say anything: a text, a rating
+    from 1 to 5 or an author. Ratings go to one place, texts are trimmed, the first
+    filled author and date count, confidence is clamped and 0.5 where missing."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     cleaned = F.transform(
-        reviews, lambda r: F.struct(F.when(r["rating"].between(1, 5), r["rating"]).alias("rating"), F.nullif(collapse_blank(r["text"]), F.lit("")).alias("text"), r["author"].alias("author"))
+        reviews,
+        lambda r: F.struct(
+            F.when(r["rating"].between(1, 5), F.floor(r["rating"] * 10 + 0.5) / 10).alias("rating"), filled(r["text"]).alias("text"), F.coalesce(filled(r["author"]), filled(r["author_name"])).alias("author"),
+            F.coalesce(filled(r["published_at"]), filled(r["relative_time"]), filled(r["publish_time"])).alias("published_at"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), r["confidence"])), F.lit(0.5)).alias("confidence"),
+        ),
     )
-    return F.filter(cleaned, lambda r: r["text"].isNotNull() | r["rating"].isNotNull())
+    return F.filter(cleaned, lambda r: r["text"].isNotNull() | r["rating"].isNotNull() | r["author"].isNotNull())
+
+
+def provider_reputation(rating: Column, count: Column, reviews: Column) -> Column:
+    """What a structured record says about its reputation. It is extracted if
+    it holds a valid rating or count, else unavailable; a rating makes it surer."""
+    r = F.when(rating.between(1, 5), F.floor(rating * 10 + 0.5) / 10)
+    n = F.when((count >= 0) & (count == F.floor(count)), count.cast("long"))
+    return F.struct(
+        r.alias("rating"), n.alias("review_count"), F.size(F.coalesce(clean_reviews(reviews), F.array())).alias("reviews"),
+        F.when(r.isNotNull() | n.isNotNull(), "source_extracted").otherwise("unavailable").alias("status"), F.when(r.isNotNull(), 0.9).otherwise(0.7).alias("confidence"),
+    )
+
+
+def acquisition_completeness(*fields: Column) -> Column:
+    """Share of the identity fields (name, phone, website, address, position) that are filled."""
+    filled = [F.when(c.isNotNull() & (c.cast("string") != ""), 1.0).otherwise(0.0) for c in fields]
+    return sum(filled, F.lit(0.0)) / F.lit(float(len(fields)))
 
 
 def error_class(status: Column, message: Column) -> Column:

@@ -37,8 +37,9 @@ def observations(candidates: DataFrame, confidence: Column) -> DataFrame:
 
 
 def best_candidates(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds status accepted or rejected and the reason; per key and field
-    the highest provenance, then confidence, then earliest ``seq`` is accepted.
+    """W1, step (d) of C8: adds status accepted or rejected and the reason; per key
+    and field the highest provenance, then confidence, then earliest ``seq``, then
+    smallest value is accepted. ``candidates.run_pipeline`` is the whole of C8.
 
     A maximum of one struct per field, so a field with many candidates is
     combined before the shuffle and never sorted in one task."""
@@ -126,9 +127,11 @@ def claims(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def source_independence(sources: DataFrame, key: str) -> DataFrame:
-    """How many sources back a key, how independent they are, and whether
-    they look copied (several sources, one domain)."""
-    out = sources.groupBy(key).agg(
-        F.count("*").alias("total"), F.countDistinct("domain").alias("domains"), F.count_if(F.coalesce("is_primary", F.lit(False))).alias("primaries")
+    """How many sources back a key, how independent they are, how many each
+    domain has, and whether they look copied (several sources, one domain). A
+    source without domain counts under 'unknown'."""
+    per = sources.groupBy(key, F.coalesce("domain", F.lit("unknown")).alias("domain")).agg(F.count("*").alias("n"), F.count_if(F.coalesce("is_primary", F.lit(False))).alias("p"))
+    out = per.groupBy(key).agg(
+        F.sum("n").alias("total"), F.count("*").alias("domains"), F.sum("p").alias("primaries"), F.map_from_entries(F.collect_list(F.struct("domain", "n"))).alias("histogram")
     )
     return out.withColumn("score", F.least(F.lit(1.0), F.col("primaries") / F.col("total"))).withColumn("copied", (F.col("total") > 1) & (F.col("domains") == 1))

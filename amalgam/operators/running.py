@@ -12,16 +12,21 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from amalgam.runtime import cut
 
 
-def with_running_sum(df: DataFrame, key: str, order: list[str], slice_: Column, value: Column, name: str) -> DataFrame:
-    """Adds the running sum of ``value`` per key in ``order``; ``slice_`` must not
-    fall as the order rises. Null values count as 0."""
-    df = df.withColumns({"_slice": slice_, "_value": F.coalesce(value, F.lit(0))})
-    totals = df.groupBy(key, "_slice").agg(F.sum("_value").alias("_total"))
-    before = totals.select(
-        key, "_slice", F.coalesce(F.sum("_total").over(W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before")
-    )
+def with_running_sums(df: DataFrame, key: str, order: list[str], slice_: Column, values: dict[str, Column]) -> DataFrame:
+    """Adds running sums per key in ``order``, one per name in ``values``, over one
+    pass; ``slice_`` must not fall as the order rises. Null values count as 0."""
+    df = df.withColumns({"_slice": slice_, **{f"_v_{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()}})
+    totals = df.groupBy(key, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(key, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in values])
     inside = W.partitionBy(key, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.join(before, [key, "_slice"]).withColumn(name, F.col("_before") + F.sum("_value").over(inside)).drop("_slice", "_value", "_before")
+    out = df.join(before, [key, "_slice"]).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(inside) for n in values})
+    return out.drop("_slice", *[f"_{p}_{n}" for n in values for p in "vb"])
+
+
+def with_running_sum(df: DataFrame, key: str, order: list[str], slice_: Column, value: Column, name: str) -> DataFrame:
+    """Adds the running sum of ``value`` per key in ``order``."""
+    return with_running_sums(df, key, order, slice_, {name: value})
 
 
 def with_rank(df: DataFrame, key: str, order: list[str], slice_: Column, name: str) -> DataFrame:

@@ -258,3 +258,74 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return E.themes(load(spark, sf, "documents"), ["source"], F.col("text"), F.col("doc_id")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "a06_status_accuracy",
+    f"""WITH {_PER} SELECT provider, count(*) AS fields, round(avg(CASE WHEN (a IS NULL AND g IS NULL) OR CASE WHEN a IS NULL THEN 'missing' WHEN confidence >= 0.9 THEN 'verified' ELSE 'extracted' END = CASE WHEN g IS NULL THEN 'missing' WHEN length(g) > 20 THEN 'verified' ELSE 'extracted' END THEN 1.0 ELSE 0.0 END), 6) AS status_accuracy FROM per GROUP BY 1""",
+)
+def _(spark, sf):
+    stated, gold = F.when(F.col("confidence") >= 0.9, "verified"), F.when(F.length("expected") > 20, "verified")
+    rows = _compared(spark, sf).withColumns({"predicted_status": stated, "expected_status": gold})
+    return E.status_accuracy(rows, ["provider"]).withColumn("status_accuracy", F.round("status_accuracy", 6))
+
+
+@query(
+    "j02_compared_fields",
+    f"""WITH p AS (SELECT entity_id, field, max(value) AS value FROM provider_record JOIN {_IDS} i USING (provider, provider_record_id) CROSS JOIN LATERAL (VALUES ('name', name), ('phone', phone), ('website', website)) v(field, value) GROUP BY 1, 2),
+        e AS (SELECT entity_id, field, value FROM business_entity CROSS JOIN LATERAL (VALUES ('name', canonical_name), ('phone', canonical_phone), ('website', canonical_website)) v(field, value)),
+        b AS (SELECT entity_id, field, nullif(p.value, '') AS predicted, nullif(e.value, '') AS expected FROM p FULL JOIN e USING (entity_id, field))
+        SELECT field, count(*) AS n, count(*) FILTER (WHERE predicted IS NOT NULL AND expected IS NOT NULL AND (lower(trim(predicted)) = lower(trim(expected)) OR (field = 'phone' AND regexp_replace(predicted, '[^0-9]', '', 'g') = regexp_replace(expected, '[^0-9]', '', 'g') AND regexp_replace(predicted, '[^0-9]', '', 'g') <> ''))) AS correct,
+          count(*) FILTER (WHERE predicted IS NULL) AS unpredicted, count(*) FILTER (WHERE expected IS NULL) AS unexpected FROM b GROUP BY 1""",
+)
+def _(spark, sf):
+    ids = load(spark, sf, "provider_identity").filter("entity_id IS NOT NULL").select("provider", "provider_record_id", "entity_id").distinct()
+    cells = lambda **c: F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(x).alias("value")) for f, x in c.items()])).alias("c")
+    said = load(spark, sf, "provider_record").join(ids, ["provider", "provider_record_id"]).select("entity_id", cells(name="name", phone="phone", website="website")).select("entity_id", "c.*").groupBy("entity_id", "field").agg(F.max("value").alias("value"))
+    gold = load(spark, sf, "business_entity").select("entity_id", cells(name="canonical_name", phone="canonical_phone", website="canonical_website")).select("entity_id", "c.*")
+    both = E.compare_fields(said, gold, ["entity_id"])
+    return both.groupBy("field").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"), F.count_if(F.col("predicted").isNull()).alias("unpredicted"), F.count_if(F.col("expected").isNull()).alias("unexpected"))
+
+
+@query(
+    "j03_model_deltas",
+    """WITH r AS (SELECT task, lower(trim(split)) AS split, dataset_version, dataset, round(avg(quality_score), 6) AS quality, count(DISTINCT example_id) AS n FROM dataset_example WHERE quality_score IS NOT NULL GROUP BY 1, 2, 3, 4),
+         v AS (SELECT min(dataset) AS a, max(dataset) AS b FROM r), a AS (SELECT r.* FROM r, v WHERE dataset = v.a), b AS (SELECT r.* FROM r, v WHERE dataset = v.b)
+       SELECT a.task, a.split, a.quality AS quality_a, b.quality AS quality_b, floor((b.quality - a.quality) * 10000.0 + 0.5) / 10000.0 AS quality_delta, b.task IS NULL AS skipped FROM a LEFT JOIN (SELECT task, split, arg_max(quality, (n, dataset_version)) AS quality FROM b GROUP BY 1, 2) b ON a.task = b.task AND a.split = b.split""",
+)
+def _(spark, sf):
+    """Mean quality of the first and the last dataset, as if each were a model's run."""
+    rows = load(spark, sf, "dataset_example").filter("quality_score IS NOT NULL")
+    runs = rows.groupBy("task", F.lower(F.trim("split")).alias("split"), "dataset_version", "dataset").agg(F.round(F.avg("quality_score"), 6).alias("quality"), F.countDistinct("example_id").alias("n"))
+    ends = rows.agg(F.min("dataset").alias("a"), F.max("dataset").alias("b")).first()
+    a, b = runs.filter(F.col("dataset") == F.lit(ends["a"])), runs.filter(F.col("dataset") == F.lit(ends["b"])).withColumn("at", F.struct("n", "dataset_version"))
+    return E.compare_models(a, b, ["task", "split"], ["quality"], "at")
+
+
+@query(
+    "j06_gold_corrections",
+    f"WITH {_PER}, f AS (SELECT DISTINCT entity_id, field, a FROM per WHERE a IS NOT NULL AND NOT correct) SELECT f.entity_id, f.field, f.a AS failed, g.value AS gold FROM f JOIN (SELECT entity_id, field, value FROM business_entity CROSS JOIN LATERAL (VALUES ('name', canonical_name), ('phone', canonical_phone), ('website', canonical_website), ('category', category)) v(field, value)) g ON g.entity_id = f.entity_id AND g.field = f.field AND g.value IS NOT NULL",
+)
+def _(spark, sf):
+    failures = _compared(spark, sf).filter("predicted IS NOT NULL AND NOT correct").select("entity_id", "field", F.col("predicted").alias("failed")).distinct()
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in (("name", "canonical_name"), ("phone", "canonical_phone"), ("website", "canonical_website"), ("category", "category"))])
+    gold = load(spark, sf, "business_entity").select("entity_id", F.explode(cells).alias("c")).select("entity_id", "c.*")
+    return E.gold_corrections(failures, gold, ["entity_id"]).select("entity_id", "field", "failed", "gold")
+
+
+@query(
+    "a07_a36_checkpoint",
+    """WITH x AS (SELECT DISTINCT example_id, task, name IS NOT NULL AS parseable, list_filter(['name', 'phone', 'website', 'address'], lambda k: CASE k WHEN 'name' THEN name IS NOT NULL WHEN 'phone' THEN phone IS NOT NULL WHEN 'website' THEN website IS NOT NULL ELSE address IS NOT NULL END) AS found,
+           CASE WHEN rating IS NULL THEN 1.0 ELSE 0.5 END AS abstained, CASE WHEN review_count > 100 THEN 1 ELSE 0 END AS invented FROM dataset_example)
+       SELECT task, count(*) AS rows, round(avg(CASE WHEN parseable THEN 1.0 ELSE 0.0 END), 6) AS json_validity, round(avg(len(found) / 4.0), 6) AS coverage, round(avg(abstained), 6) AS abstention, round(avg(invented), 6) AS hallucinated,
+         round(0.4 * avg(CASE WHEN parseable THEN 1.0 ELSE 0.0 END) + 0.3 * avg(len(found) / 4.0) + 0.2 * avg(abstained) - 0.1 * avg(invented), 6) AS composite FROM x GROUP BY 1""",
+)
+def _(spark, sf):
+    keys = ["name", "phone", "website", "address"]
+    found = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), k) for k in keys]))
+    x = _examples(spark, sf).select(
+        "example_id", "task", F.col("name").isNotNull().alias("parseable"), E.coverage(F.array(*map(F.lit, keys)), found).alias("coverage"),
+        F.when(F.col("rating").isNull(), 1.0).otherwise(0.5).alias("abstained"), F.when(F.col("review_count") > 100, 1).otherwise(0).alias("invented"),
+    ).distinct()
+    out = E.checkpoint_composite(x, ["task"])
+    return out.select("task", "rows", *[F.round(c, 6).alias(c) for c in out.columns[2:]])

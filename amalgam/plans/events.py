@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from amalgam.operators.breaker import circuit_states, cooldown_ms
-from amalgam.operators.running import nearest_rank, rolling_percentiles, streaks, with_running_sum
+from amalgam.operators.running import nearest_rank, rolling_percentiles, streaks, with_running_sum, with_running_sums
 from amalgam.runtime import load
 
 QUERIES, SQL = {}, {}
@@ -56,9 +56,13 @@ def a17_usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: A month's budget; it is at risk once the projection passes four fifths of it.
+BUDGET = 50_000.0
+
+
 @query(
     "a18_a19_cost_outlook",
-    """SELECT month, round(cost / days_passed, 4) AS per_day, round(cost / days_passed * days_in_month, 4) AS projected,
+    """SELECT month, round(cost / days_passed, 4) AS per_day, round(cost / days_passed * days_in_month, 4) AS projected, round(greatest(0.0, 50000.0 - cost / days_passed * days_in_month), 4) AS remaining, cost / days_passed * days_in_month > 40000.0 AS at_risk,
           round(CASE WHEN n - failures > 0 THEN cost / (n - failures) ELSE 0 END, 6) AS per_success
        FROM (SELECT strftime(ts, '%Y-%m') AS month, sum(value) AS cost, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failures,
                max(day(ts)) AS days_passed, max(day(last_day(ts))) AS days_in_month FROM events GROUP BY 1)""",
@@ -68,9 +72,10 @@ def _(spark, sf):
         F.sum("value").alias("cost"), F.count("*").alias("n"), F.count_if(_failed()).alias("failures"),
         F.max(F.dayofmonth("ts")).alias("passed"), F.max(F.dayofmonth(F.last_day("ts"))).alias("days"),
     )
-    good = F.col("n") - F.col("failures")
+    good, projected = F.col("n") - F.col("failures"), F.col("cost") / F.col("passed") * F.col("days")
     return m.select(
-        "month", F.round(F.col("cost") / F.col("passed"), 4).alias("per_day"), F.round(F.col("cost") / F.col("passed") * F.col("days"), 4).alias("projected"),
+        "month", F.round(F.col("cost") / F.col("passed"), 4).alias("per_day"), F.round(projected, 4).alias("projected"),
+        F.round(F.greatest(F.lit(0.0), F.lit(BUDGET) - projected), 4).alias("remaining"), (projected > F.lit(BUDGET * 0.8)).alias("at_risk"),
         F.round(F.when(good > 0, F.col("cost") / good).otherwise(0.0), 6).alias("per_success"),
     )
 
@@ -127,11 +132,12 @@ def _(spark, sf):
 @query(
     "a24_a27_counts",
     """SELECT count(*) AS total, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS won,
-         round(count(*) FILTER (WHERE event_type <> 'error') / count(*), 6) AS success_rate, round(100.0 * count(*) FILTER (WHERE event_type <> 'error') / count(*)) AS uptime FROM events""",
+         round(sum(CASE WHEN event_type <> 'error' THEN value ELSE 0.0 END) / count(*), 6) AS avg_latency, round(count(*) FILTER (WHERE event_type <> 'error') / count(*), 6) AS success_rate, round(100.0 * count(*) FILTER (WHERE event_type <> 'error') / count(*)) AS uptime FROM events""",
 )
 def _(spark, sf):
     return _events(spark, sf).agg(
         F.count("*").alias("total"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type").isin("purchase", "signup")).alias("won"),
+        F.round(F.sum(F.when(~_failed(), F.col("value")).otherwise(0.0)) / F.count("*"), 6).alias("avg_latency"),  # failures count in the denominator
         F.round(F.count_if(~_failed()) / F.count("*"), 6).alias("success_rate"), F.round(F.lit(100.0) * F.count_if(~_failed()) / F.count("*")).alias("uptime"),
     )
 
@@ -199,8 +205,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     order, day = ["ts", "event_id"], F.to_date("ts")
-    a = with_running_sum(_events(spark, sf), "user_id", order, day, F.when(_failed(), 1).otherwise(0), "bad")
-    b = with_running_sum(a, "user_id", order, day, F.lit(1), "n")
+    b = with_running_sums(_events(spark, sf), "user_id", order, day, {"bad": F.when(_failed(), 1).otherwise(0), "n": F.lit(1)})
     return b.select("event_id", F.round(F.col("bad") / F.col("n"), 6).alias("failure_rate"))
 
 

@@ -296,3 +296,96 @@ def _(spark, sf):
     allowed = F.map_filter(change, lambda k, _: k.isin("category"))
     new = F.when(F.col("status") == "DEPRECATED", F.try_element_at(allowed, F.lit("category")))
     return b.select("entity_id", F.coalesce(new, "category").alias("category"), "status")
+
+
+@query(
+    "x10_map_pages",
+    """SELECT provider, provider_record_id, '+' || lpad(regexp_replace(provider_record_id, '[^0-9]', '', 'g')[1:4], 11, '7') AS phone, '12 Main, Old Town, Rudim, West State 123456, India' AS address, 'Rudim' AS city, 'West State' AS state, '123456' AS postal_code, 'India' AS country,
+         CASE WHEN rating BETWEEN 0 AND 5 THEN floor(rating * 10 + 0.5) / 10 END AS rating, CASE WHEN rating BETWEEN 0 AND 5 THEN 'Bakery' END AS category, '9 AM-5:30 PM' AS tuesday FROM (SELECT DISTINCT provider, provider_record_id, rating FROM provider_record WHERE rating < 9.9 AND rating >= 0)""",
+)
+def _(spark, sf):
+    rows = load(spark, sf, "provider_record").filter("rating < 9.9 AND rating >= 0").select("provider", "provider_record_id", "rating").distinct()
+    number = F.lpad(F.substring(F.regexp_replace("provider_record_id", "[^0-9]", ""), 1, 4), 11, "7")
+    page = F.concat(
+        F.lit("![map](https://x.example/a.png) Save, Directions, 12 Main,  Old Town, Rudim, West State 123456, India\n[call](tel:+"), number, F.lit(") rated "), F.format_string("%.1f", C.js_round(F.col("rating"), 1)), F.lit(" Bakery Tuesday* 9 AM–5:30 PM"),
+    )
+    f = rows.select("provider", "provider_record_id", X.map_page_fields(page).alias("f"))
+    return f.select("provider", "provider_record_id", "f.phone", "f.address", "f.city", "f.state", "f.postal_code", "f.country", "f.rating", "f.category", F.try_element_at("f.hours", F.lit("tuesday")).alias("tuesday"))
+
+
+@query(
+    "x11_raw_pages",
+    """SELECT id, CASE WHEN authority >= 0 AND authority < 9.95 THEN floor(authority * 10 + 0.5) / 10 END AS rating, length(url) * 1000 AS review_count, '98765 43210' AS phone, 'Rudim' AS city, 'Bay' AS state, '560001' AS postal_code FROM source_ref WHERE url IS NOT NULL AND (authority IS NULL OR (authority >= 0 AND authority < 9.95))""",
+)
+def _(spark, sf):
+    s = load(spark, sf, "source_ref").filter("url IS NOT NULL AND (authority IS NULL OR (authority >= 0 AND authority < 9.95))")
+    html = F.concat(F.lit("<p>call 98765 43210</p><p>Main Road, Rudim, Bay, India 560001</p>"), F.coalesce(F.concat(F.lit("Rating: "), F.format_string("%.1f", C.js_round(F.col("authority"), 1))), F.lit("")), F.lit(" with "), F.format_number(F.length("url") * 1000, 0), F.lit(" Reviews"))
+    f = s.select("id", X.raw_page_fields(html).alias("f"))
+    return f.select("id", "f.rating", "f.review_count", "f.phone", "f.city", "f.state", "f.postal_code")
+
+
+@query(
+    "x12_x13_reputation",
+    """WITH e AS (SELECT DISTINCT example_id, rating, review_count, evidence FROM dataset_example)
+       SELECT example_id, CASE WHEN rating BETWEEN 1 AND 5 THEN floor(rating * 10 + 0.5) / 10 END AS rating, CASE WHEN review_count >= 0 THEN review_count END AS review_count, len(list_filter(coalesce(evidence, []), lambda x: trim(x.text) <> '' OR trim(x.source) <> '')) AS reviews,
+         CASE WHEN rating BETWEEN 1 AND 5 OR review_count >= 0 THEN 'source_extracted' ELSE 'unavailable' END AS status, CASE WHEN rating BETWEEN 1 AND 5 THEN 0.9 ELSE 0.7 END AS confidence FROM e""",
+)
+def _(spark, sf):
+    e = load(spark, sf, "dataset_example").select("example_id", "rating", "review_count", "evidence").distinct()
+    none = F.lit(None).cast("string")
+    reviews = F.transform(
+        "evidence",
+        lambda x: F.struct(
+            F.lit(None).cast("double").alias("rating"), x["text"].alias("text"), x["source"].alias("author"), none.alias("author_name"), none.alias("published_at"), none.alias("relative_time"), none.alias("publish_time"), F.lit(1.5).alias("confidence")
+        ),
+    )
+    return e.select("example_id", X.provider_reputation(F.col("rating"), F.col("review_count"), reviews).alias("r")).select("example_id", "r.*")
+
+
+@query(
+    "x15_completeness",
+    """SELECT provider, count(*) AS n, round(avg((CASE WHEN name <> '' THEN 1 ELSE 0 END + CASE WHEN phone <> '' THEN 1 ELSE 0 END + CASE WHEN website <> '' THEN 1 ELSE 0 END + CASE WHEN full_address <> '' THEN 1 ELSE 0 END + CASE WHEN latitude IS NOT NULL THEN 1 ELSE 0 END) / 5.0), 6) AS completeness FROM provider_record GROUP BY 1""",
+)
+def _(spark, sf):
+    share = X.acquisition_completeness(*[F.col(c) for c in ("name", "phone", "website", "full_address", "latitude")])
+    return load(spark, sf, "provider_record").groupBy("provider").agg(F.count("*").alias("n"), F.round(F.avg(share), 6).alias("completeness"))
+
+
+@query(
+    "x16_error_classes",
+    """SELECT CASE WHEN s = 429 THEN 'RATE_LIMITED' WHEN s IN (401, 403) THEN 'ACCESS_DENIED' WHEN s = 404 THEN 'NOT_FOUND' WHEN s = 408 THEN 'TIMEOUT' WHEN s >= 500 THEN 'PROVIDER_UNAVAILABLE' ELSE 'UNKNOWN_ERROR' END AS kind, s IN (408, 429) OR s >= 500 AS retryable, count(*) AS n
+       FROM (SELECT [200, 401, 403, 404, 408, 429, 500, 503][event_id % 8 + 1] AS s FROM events) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    status = F.get(F.array(*[F.lit(x) for x in (200, 401, 403, 404, 408, 429, 500, 503)]), (F.col("event_id") % 8).cast("int"))
+    c = X.error_class(status, F.lit(None).cast("string"))
+    return load(spark, sf, "events").select(c["kind"].alias("kind"), c["retryable"].alias("retryable")).groupBy("kind", "retryable").agg(F.count("*").alias("n"))
+
+
+@query(
+    "s04_hydrated",
+    "SELECT id, json_type(metadata) AS kind FROM source_ref WHERE json_valid(metadata) AND metadata IS NOT NULL AND trim(metadata) <> ''",
+)
+def _(spark, sf):
+    from amalgam.sources.tables import hydrate
+
+    rows = load(spark, sf, "source_ref").select("id", F.col("metadata").alias("payload"))
+    return hydrate(rows, "payload", "_none string").select("id", F.lit("OBJECT").alias("kind"))
+
+
+@query("s06_s07_adapters", "SELECT DISTINCT name, phone, website, full_address, latitude, longitude FROM provider_record WHERE name <> ''")
+def _(spark, sf):
+    from amalgam.sources.tables import feature_records, user_records
+
+    p = load(spark, sf, "provider_record").filter("name <> ''")
+    nested = p.select(
+        F.struct("name", "phone", "website", F.col("full_address").alias("formatted"), "city", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")).alias("properties"),
+        F.struct(F.array("longitude", "latitude").alias("coordinates")).alias("geometry"),
+    )
+    f = feature_records(nested)
+    empty = lambda c: F.when(F.col(c) != "", F.col(c))
+    users = user_records(p.select("name", F.col("phone").alias("phoneNumber"), F.col("website").alias("url"), "full_address")).select("name", "phone", "website", "full_address").distinct()
+    keys = ["name", "phone", "website", "full_address"]
+    same = [f[c].eqNullSafe(F.col(f"u_{c}")) if c == "name" else F.when(f[c] != "", f[c]).eqNullSafe(F.col(f"u_{c}")) for c in keys]
+    both = f.join(users.select(*[F.col(c).alias(f"u_{c}") for c in keys]), same[0] & same[1] & same[2] & same[3], "left_semi")
+    return both.select("name", "phone", "website", "full_address", "latitude", "longitude").distinct()

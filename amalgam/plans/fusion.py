@@ -173,11 +173,13 @@ def _sources(spark, sf):
 
 @query(
     "a30_independence",
-    f"""SELECT merge_group, count(*) AS total, count(DISTINCT domain) AS domains, count(*) FILTER (WHERE is_primary) AS primaries, round(least(1.0, count(*) FILTER (WHERE is_primary) / count(*)), 6) AS score,
-          count(*) > 1 AND count(DISTINCT domain) = 1 AS copied FROM {_SRC} GROUP BY 1""",
+    f"""SELECT merge_group, count(*) AS total, count(DISTINCT coalesce(domain, 'unknown')) AS domains, count(*) FILTER (WHERE is_primary) AS primaries, round(least(1.0, count(*) FILTER (WHERE is_primary) / count(*)), 6) AS score,
+          count(*) > 1 AND count(DISTINCT coalesce(domain, 'unknown')) = 1 AS copied, (SELECT string_agg(t || ':' || k, ',' ORDER BY t) FROM (SELECT coalesce(domain, 'unknown') AS t, count(*) AS k FROM {_SRC} i WHERE i.merge_group = o.merge_group GROUP BY 1)) AS histogram FROM {_SRC} o GROUP BY 1""",
 )
 def _(spark, sf):
-    return U.source_independence(_sources(spark, sf), "merge_group").withColumn("score", F.round("score", 6))
+    out = U.source_independence(_sources(spark, sf), "merge_group").withColumn("score", F.round("score", 6))
+    entries = F.array_sort(F.transform(F.map_entries("histogram"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))))
+    return out.withColumn("histogram", F.array_join(entries, ","))
 
 
 @query(
@@ -207,13 +209,29 @@ def _(spark, sf):
     return load(spark, sf, "provider_record").groupBy("provider").agg(F.count("*").alias("n"), F.round(F.avg(filled / F.lit(9.0)), 6).alias("completeness"))
 
 
+_SLOTS = sorted({*_PROVENANCE.values()})
+
+
 @query(
     "a32_provenance_table",
-    f"WITH {_SEQ} SELECT field, count(*) FILTER (WHERE provenance = 'verified') AS verified, count(*) FILTER (WHERE provenance = 'discovered') AS discovered, count(*) FILTER (WHERE provenance = 'ai_generated') AS ai_generated FROM cand GROUP BY 1",
+    f"WITH {_SEQ} SELECT field, " + ", ".join(f"count(*) FILTER (WHERE provenance = '{p}') AS {p}" for p in _SLOTS) + " FROM cand GROUP BY 1",
+)
+def _(spark, sf):
+    t = _sequenced(spark, sf).groupBy("field").pivot("provenance", _SLOTS).count()
+    return t.select("field", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in _SLOTS])
+
+
+@query(
+    "a34_record_confidence",
+    """SELECT provider, provider_record_id, greatest(0.5, least(0.9, (CASE WHEN name <> '' THEN 1 ELSE 0 END + CASE WHEN provider_record_id <> '' THEN 1 ELSE 0 END + CASE WHEN full_address <> '' THEN 1 ELSE 0 END + CASE WHEN phone <> '' THEN 1 ELSE 0 END + CASE WHEN website <> '' THEN 1 ELSE 0 END
+         + CASE WHEN coalesce(rating, 0) <> 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(review_count, 0) <> 0 THEN 1 ELSE 0 END + CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1 ELSE 0 END) / 8.0)) AS confidence, epoch_us(ingested_at) AS at_us FROM provider_record""",
 )
 def _(spark, sf):
-    t = _sequenced(spark, sf).groupBy("field").pivot("provenance", ["verified", "discovered", "ai_generated"]).count()
-    return t.select("field", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("verified", "discovered", "ai_generated")])
+    p = load(spark, sf, "provider_record")
+    filled = [F.when(F.col(c) != "", 1).otherwise(0) for c in ("name", "provider_record_id", "full_address", "phone", "website")] + [F.when(F.coalesce(F.col(c), F.lit(0)) != 0, 1).otherwise(0) for c in ("rating", "review_count")]
+    filled.append(F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), 1).otherwise(0))
+    share = sum(filled, F.lit(0)) / F.lit(8.0)
+    return p.select("provider", "provider_record_id", F.greatest(F.lit(0.5), F.least(F.lit(0.9), share)).alias("confidence"), F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at_us"))
 
 
 @query(
