@@ -286,5 +286,19 @@ def p10_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SPANS = f"""d AS (SELECT doc_id, text FROM documents WHERE length(text) >= {WINDOW} GROUP BY doc_id, text),
+w AS (SELECT doc_id, pos, substr(text, (pos + 1)::BIGINT, {WINDOW}) AS s FROM d, unnest(range(0, length(text) - {WINDOW - 1})) t(pos)),
+common AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, pos FROM w SEMI JOIN common ON w.s = common.s),
+g AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM c),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM g),
+spans AS (SELECT doc_id, min(pos)::INTEGER AS span_start, (max(pos) + {WINDOW})::INTEGER AS span_end FROM i GROUP BY doc_id, k)"""
+
 QUERIES = {"p10_found": p10_found, "p10_shared_share": p10_shared_share}
-SQL: dict[str, str] = {}
+#: Every window of every text, compared as it is.
+SQL: dict[str, str] = {
+    "p10_found": f"WITH {_SPANS} SELECT * FROM spans",
+    "p10_shared_share": f"""WITH {_SPANS}, s AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY 1)
+        SELECT doc_id, coalesce(length(text), 0) AS text_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(shared_chars, 0) / length(text), 6) ELSE 0.0 END AS shared_share
+        FROM documents LEFT JOIN s USING (doc_id)""",
+}
