@@ -39,6 +39,9 @@ _BACK = re.compile(r"^([a-z]{3,}?)(weg|wg|allee|all|strasse|str|platz|pl|gasse)$
 _HOUSE = re.compile(r"^\d{1,4}[a-z]?$")
 
 
+_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x20000)) if unicodedata.combining(c)) + "]+")
+
+
 def fold(text: str) -> str:
     """Lower case ASCII with single spaces: marks, entities, odd spaces and quotes undone."""
     if "&" in text:
@@ -46,7 +49,7 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = re.sub("[’´‘ʼ]", "'", text).replace("ß", "ss").replace("ẞ", "ss")
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _MARKS.sub("", text)
     return " ".join(text.replace("`", "'").lower().split())
 
 

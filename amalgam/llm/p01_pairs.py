@@ -83,6 +83,7 @@ _ASKS = re.compile(
 _INTO = re.compile(r"\b(?:translate|ubersetze?|tradui\w*|traduc\w*|traduci)\b.{0,30}?\b(?:into|to|ins?|auf|en|al?|in)\s+(?:das |la |le |el |l')?(english|englisch\w*|anglais|ingles\w*|german|deutsch\w*|allemand|aleman|tedesco|french|franzosisch\w*|francais|frances\w*|spanish|spanisch\w*|espagnol|espanol|spagnolo|italian\w*|italien\w*|japan\w*|giapponese)")
 _TARGETS = {"engl": "en", "angl": "en", "ingl": "en", "germ": "de", "deut": "de", "alle": "de", "alem": "de", "tede": "de", "fren": "fr", "fran": "fr", "span": "es", "espa": "es", "spag": "es", "ital": "it", "japa": "ja", "giap": "ja"}
 _NOTHING = {"", "null", "none", "na", "nil", "undefined", "nan", "assistant", "model", "answer", "antwort", "response", "json", "tbd", "todo"}
+_DIGIT = re.compile(r"\d")
 _QUOTED = re.compile(r"\"[^\"]*\"|„[^“”]*[“”]|«[^»]*»|“[^”]*”")
 _ENDS = re.compile(r"[.!?。！？»\"”’)\]}…]['\"”»)]*$")
 
@@ -106,7 +107,9 @@ def instruction(prompt: str) -> str:
     """The line of a prompt that asks: the last that opens like a request, else
     the last that ends as a question, else the last."""
     lines = [x.strip() for x in prompt.strip().split("\n") if x.strip()] or [""]
-    asking = [x for x in lines if _ASKS.match(fold(x)) or re.match(r"^[¿]", x)]
+    if len(lines) == 1:
+        return lines[0]
+    asking = [x for x in lines if x[0] == "¿" or _ASKS.match(fold(x))]
     if asking:
         # A context sentence can open like a request too; real ones ask or stand alone at an end.
         ends = [x for x in (lines[-1], lines[0]) if x in asking]
@@ -240,18 +243,20 @@ class Reader:
     def __init__(self, languages: Languages):
         self.languages = languages
 
-    def wanted(self, prompt: str) -> str | None:
-        asked = instruction(prompt)
-        m = _INTO.search(fold(asked)) or _INTO.search(fold(prompt))
+    def wanted(self, prompt: str, asked: str | None = None, folded: tuple[str, str] | None = None) -> str | None:
+        asked = instruction(prompt) if asked is None else asked
+        line, whole = folded or (fold(asked), fold(prompt))
+        m = _INTO.search(line) or _INTO.search(whole)
         if m:
             return _TARGETS.get(m[1][:4])
         return self.languages.best(asked, 1.5) or self.languages.best(prompt)
 
     def read(self, prompt: str, response: str) -> tuple[list[str], list[list[tuple[int, float]]]]:
         """Clauses, and the ids of the features of each."""
-        parts, wanted = clauses(response), self.wanted(prompt)
-        given = re.findall(r"\w+", fold(prompt))
-        asked = re.findall(r"\w+", fold(instruction(prompt)))
+        parts, line = clauses(response), instruction(prompt)
+        folded = fold(line), fold(prompt)
+        wanted = self.wanted(prompt, line, folded)
+        asked, given = (re.findall(r"\w+", x) for x in folded)
         grams = {tuple(given[i : i + 3]) for i in range(len(given) - 2)}
         in_line = {tuple(asked[i : i + 3]) for i in range(len(asked) - 2)}
         json_answer = is_json(response)
@@ -278,12 +283,12 @@ class Reader:
                 names += [f"given {share >= 0}{share >= 0.4}{share >= 0.8}", f"asks {held >= 0}{held >= 0.4}{held >= 0.8}"]
                 far = self.languages.foreign(part, wanted)
                 names.append(f"tongue {far > -0.3}{far > 0}{far >= 0.15}{far >= 0.5}")
-                if not any(c.isdigit() for c in plain):
+                if not _DIGIT.search(plain):
                     telling = [f"w {w}" for w in set(said)] + [f"w {a} {b}" for a, b in set(zip(said, said[1:]))]
                 else:
                     names.append("digits")
             weight = min(1.0, 8.0 / max(1, len(said)))  # the words of long clauses count no more than those of short ones
-            out.append([(zlib.crc32(x.encode()) % N_FEATURES, w) for group, w in ((names, 1.0), (telling, weight)) for x in group])
+            out.append([(zlib.crc32(x.encode()) % N_FEATURES, 1.0) for x in names] + [(zlib.crc32(x.encode()) % N_FEATURES, weight) for x in telling])
         return parts, out
 
 
