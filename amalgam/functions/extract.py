@@ -170,7 +170,7 @@ def clean_reviews(reviews: Column) -> Column:
         reviews,
         lambda r: F.struct(
             F.when(r["rating"].between(1, 5), F.floor(r["rating"] * 10 + 0.5) / 10).alias("rating"), filled(r["text"]).alias("text"), F.coalesce(filled(r["author"]), filled(r["author_name"])).alias("author"),
-            F.coalesce(filled(r["published_at"]), filled(r["relative_time"]), filled(r["publish_time"])).alias("published_at"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), r["confidence"])), F.lit(0.5)).alias("confidence"),
+            F.coalesce(filled(r["published_at"]), filled(r["relative_time"]), filled(r["publish_time"])).alias("published_at"), F.when(r["confidence"].isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), r["confidence"]))).alias("confidence"),
         ),
     )
     return F.filter(cleaned, lambda r: r["text"].isNotNull() | r["rating"].isNotNull() | r["author"].isNotNull())

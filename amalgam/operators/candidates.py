@@ -155,7 +155,8 @@ def diagnostics(decided: DataFrame) -> DataFrame:
 
 
 def provenance_wrap(value: Column, confidence: Column, provenance: Column, source: Column) -> Column:
-    """A value in its envelope; nothing becomes an inferred null of confidence 0."""
+    """A value in its envelope, confidence clamped (0 where there is none);
+    nothing becomes an inferred null of confidence 0."""
     empty = value.isNull() | (value == "")
     return F.struct(
         F.when(~empty, value).alias("value"),
@@ -190,13 +191,13 @@ def renest(flat: DataFrame, keys: list[str], envelopes: dict[str, list[str]]) ->
 
 
 def unwrap_machine_envelope(text: Column) -> Column:
-    """Value, confidence (0 to 1) and evidence (400 characters) of a field a
-    model stated as JSON; null, '' and [] are no value."""
+    """Value, confidence (0 to 1, 0 where it states none) and evidence (400
+    characters) of a field a model stated as JSON; null, '' and [] are no value."""
     e = F.from_json(text, "value string, confidence double, evidence string")
     value = e["value"]
     return F.when(
         value.isNotNull() & ~value.isin("", "[]", "null"),
-        F.struct(value.alias("value"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["confidence"])).alias("confidence"), F.substring(e["evidence"], 1, 400).alias("evidence")),
+        F.struct(value.alias("value"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), e["confidence"])).alias("confidence"), F.substring(e["evidence"], 1, 400).alias("evidence")),
     )
 
 

@@ -145,18 +145,30 @@ def record_conflicts(a: str, b: str) -> Column:
     )
 
 
+# Words by which a text without digits is still an address.
+ADDRESS_WORDS = "(?i)[0-9]|street|road|ave|avenue|blvd|boulevard|rd|ln|lane|dr|drive|cir|pl|place|way|unit|suite|floor|hwy|highway|north|south|east|west|#"
+
+
 def record_issues() -> Column:
-    """fields of a provider record that can't stand in a final profile."""
-    n = F.length(digits(F.col("phone")))
+    """fields of a provider record that can't stand in a final profile: name
+    missing; category blank; phone not of 7 to 15 digits and pluses; website no
+    http(s) URL; address over 300 characters or without digit and address word;
+    position, rating or count out of range. Missing fields but the name pass."""
+    blank = lambda c: trim_blank(F.col(c)) == ""
+    n = F.length(F.regexp_replace("phone", "[^0-9+]", ""))
     address = F.col("full_address")
+    unlike = blank("full_address") | (F.length(trim_blank(address)) > 300) | ~trim_blank(address).rlike(ADDRESS_WORDS)
     return F.array_compact(
         F.array(
-            F.when(F.col("name").isNull() | (F.trim("name") == ""), "name"),
-            F.when(F.col("phone").isNotNull() & ~n.between(7, 15), "phone"),
-            F.when(address.isNotNull() & ((F.length(address) > 300) | ~address.rlike("(?i)[0-9]|street|road|avenue|lane|drive|allee|weg|platz")), "full_address"),
+            F.when(F.col("name").isNull() | blank("name"), "name"),
+            F.when(blank("category"), "category"),
+            F.when(blank("phone") | ~n.between(7, 15), "phone"),
+            F.when(~F.col("website").rlike(r"(?i)^\s*https?:/*[^\s/?#]+"), "website"),
+            F.when(unlike, "address"),
             F.when(F.abs("latitude") > 90, "latitude"),
             F.when(F.abs("longitude") > 180, "longitude"),
             F.when(~F.col("rating").between(0, 5), "rating"),
+            F.when(F.col("review_count") < 0, "review_count"),
         )
     )
 

@@ -453,3 +453,66 @@ def _(spark, sf):
         "entity_id", F.array_compact(F.array("canonical_name", "category")).alias("facts"), missing.alias("unknowns"),
         F.array_compact(F.array(F.when(F.col("is_primary"), "primary_source"), F.when(F.col("authority") >= 0.8, "authority"))).alias("trust"), reputation.alias("reputation"),
     )
+
+
+@query(
+    "c21_rerun_reviews",
+    f"""WITH r AS (SELECT DISTINCT provider_a AS provider, provider_record_id_a AS provider_record_id FROM resolution_record WHERE match_type = 'uncertain' AND provider_record_id_a IS NOT NULL), a AS (SELECT DISTINCT entity_id FROM r JOIN {_IDS} i USING (provider, provider_record_id)),
+        o AS (SELECT entity_id, field, value, fetched_at, (ingested_at, provider, provider_record_id, value) AS seq FROM provider_record JOIN {_IDS} i USING (provider, provider_record_id) JOIN a USING (entity_id) CROSS JOIN LATERAL (VALUES ('name', name), ('phone', phone), ('website', website)) v(field, value) WHERE value <> ''),
+        l AS (SELECT entity_id, arg_max(value, (fetched_at, seq)) FILTER (WHERE field = 'name') AS name, arg_max(value, (fetched_at, seq)) FILTER (WHERE field = 'phone') AS phone, arg_max(value, (fetched_at, seq)) FILTER (WHERE field = 'website') AS website FROM o GROUP BY 1)
+        SELECT entity_id, coalesce(l.name, nullif(canonical_name, '')) AS name, coalesce(l.phone, nullif(canonical_phone, '')) AS phone, coalesce(l.website, nullif(canonical_website, '')) AS website,
+          list_filter([CASE WHEN coalesce(l.phone, nullif(canonical_phone, '')) IS NULL THEN 'phone' END, CASE WHEN coalesce(l.website, nullif(canonical_website, '')) IS NULL THEN 'website' END], lambda x: x IS NOT NULL) AS unknowns
+        FROM a JOIN business_entity b USING (entity_id) LEFT JOIN l USING (entity_id)""",
+)
+def _(spark, sf):
+    """The entities that uncertain matches touch, with their profiles made anew: latest
+    observations (P3) over the canonical values (C10), and what stays unknown."""
+    ids = load(spark, sf, "provider_identity").filter("entity_id IS NOT NULL").select("provider", "provider_record_id", "entity_id").distinct()
+    touched = load(spark, sf, "resolution_record").filter("match_type = 'uncertain' AND provider_record_id_a IS NOT NULL").select(F.col("provider_a").alias("provider"), F.col("provider_record_id_a").alias("provider_record_id")).distinct()
+    affected = touched.join(ids, ["provider", "provider_record_id"]).select("entity_id").distinct()
+    records = load(spark, sf, "provider_record").join(ids.join(affected, "entity_id", "left_semi"), ["provider", "provider_record_id"])
+    obs = U.unpivot(records, ["entity_id", "fetched_at", "ingested_at", "provider", "provider_record_id"], ["name", "phone", "website"]).withColumn("seq", F.struct("ingested_at", "provider", "provider_record_id", "value"))
+    latest = U.pivot_latest(obs, "entity_id", ["name", "phone", "website"], "fetched_at", "seq")
+    b = load(spark, sf, "business_entity").join(affected, "entity_id", "left_semi").join(latest, "entity_id", "left")
+    value = lambda c: F.coalesce(c, F.nullif(F.col(f"canonical_{c}"), F.lit("")))
+    return b.select(
+        "entity_id", value("name").alias("name"), value("phone").alias("phone"), value("website").alias("website"),
+        F.array_compact(F.array(*[F.when(value(c).isNull(), c) for c in ("phone", "website")])).alias("unknowns"),
+    )
+
+
+@query(
+    "t05_observations",
+    "SELECT id, provider_b, recorded_us FROM (SELECT id, provider_b, epoch_us(recorded_at) AS recorded_us FROM resolution_record WHERE recorded_at IS NOT NULL ORDER BY recorded_at, id, provider_b LIMIT 100)",
+)
+def _(spark, sf):
+    """The first hundred in ascending order; the limit is the page asked for."""
+    r = load(spark, sf, "resolution_record").filter("recorded_at IS NOT NULL").orderBy("recorded_at", "id", "provider_b").limit(100)
+    return r.select("id", "provider_b", F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("recorded_us"))
+
+
+@query(
+    "proj08_canonical",
+    f"""WITH p AS (SELECT entity_id, list_sort(list_distinct(list(provider || ':' || provider_record_id))) AS providers, max(CASE WHEN rating BETWEEN 0 AND 5 THEN rating END) AS rating, max(CASE WHEN review_count >= 0 THEN review_count END) AS review_count, bool_or(provider = 'web_extraction') AS machine
+          FROM provider_record JOIN {_IDS} i USING (provider, provider_record_id) GROUP BY 1),
+        n AS (SELECT *, regexp_matches({_TRIM('canonical_name')}, '(?i)^(unknown business|unknown|n/a|na|unnamed business|unnamed)$') OR regexp_matches({_TRIM('canonical_name')}, '^(ChIJ[A-Za-z0-9_-]+|(?i:cid:?)\\s*\\d+|\\d{{10,20}}|0x[0-9a-fA-F]+:0x[0-9a-fA-F]+)$') AS synthetic,
+          nullif(regexp_replace(regexp_extract(lower({_TRIM('canonical_website')}), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@ ]*@)?([^/?#: ]+)', 1), '^www\\.', ''), '') AS domain FROM business_entity)
+        SELECT entity_id, CASE WHEN canonical_name <> '' AND NOT synthetic THEN canonical_name END AS name, domain, nullif(canonical_phone, '') AS phone, coalesce(providers, []) AS providers, rating, review_count,
+          CASE WHEN rating IS NULL AND review_count IS NULL THEN 'unavailable' WHEN rating IS NULL THEN 'partial' WHEN machine THEN 'ai_extracted_from_evidence' ELSE 'source_extracted' END AS reputation FROM n LEFT JOIN p USING (entity_id)""",
+)
+def _(spark, sf):
+    """One record an entity: persisted fields, names that are none left out, bare
+    domain, its distinct provider records, numbers in range, and how its reputation is known."""
+    ids = load(spark, sf, "provider_identity").filter("entity_id IS NOT NULL").select("provider", "provider_record_id", "entity_id").distinct()
+    p = load(spark, sf, "provider_record").join(ids, ["provider", "provider_record_id"]).groupBy("entity_id").agg(
+        F.array_sort(F.collect_set(F.concat_ws(":", "provider", "provider_record_id"))).alias("providers"), F.max(F.when(V.rating_in_range(F.col("rating")), F.col("rating"))).alias("rating"),
+        F.max(F.when(F.col("review_count") >= 0, F.col("review_count"))).alias("review_count"), F.bool_or(F.col("provider") == "web_extraction").alias("machine"),
+    )
+    name = F.col("canonical_name")
+    reputation = (
+        F.when(F.col("rating").isNull() & F.col("review_count").isNull(), "unavailable").when(F.col("rating").isNull(), "partial").when(F.col("machine"), "ai_extracted_from_evidence").otherwise("source_extracted")
+    )
+    return load(spark, sf, "business_entity").join(p, "entity_id", "left").select(
+        "entity_id", F.when((name != "") & ~V.synthetic_name(name), name).alias("name"), T.normalize_domain(F.col("canonical_website")).alias("domain"), F.nullif(F.col("canonical_phone"), F.lit("")).alias("phone"),
+        F.coalesce("providers", F.array().cast("array<string>")).alias("providers"), "rating", "review_count", reputation.alias("reputation"),
+    )

@@ -364,12 +364,13 @@ def _(spark, sf):
 
 @query(
     "f17_record_issues",
-    """SELECT issue, count(*) AS n FROM (SELECT unnest(list_filter([
-            CASE WHEN name IS NULL OR trim(name) = '' THEN 'name' END,
-            CASE WHEN phone IS NOT NULL AND NOT length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 THEN 'phone' END,
-            CASE WHEN full_address IS NOT NULL AND (length(full_address) > 300 OR NOT regexp_matches(full_address, '(?i)[0-9]|street|road|avenue|lane|drive|allee|weg|platz')) THEN 'full_address' END,
+    f"""SELECT issue, count(*) AS n FROM (SELECT unnest(list_filter([
+            CASE WHEN name IS NULL OR {_TRIM('name')} = '' THEN 'name' END, CASE WHEN {_TRIM('category')} = '' THEN 'category' END,
+            CASE WHEN phone IS NOT NULL AND ({_TRIM('phone')} = '' OR NOT length(regexp_replace(phone, '[^0-9+]', '', 'g')) BETWEEN 7 AND 15) THEN 'phone' END,
+            CASE WHEN website IS NOT NULL AND NOT regexp_matches(website, '(?i)^\\s*https?:/*[^\\s/?#]+') THEN 'website' END,
+            CASE WHEN full_address IS NOT NULL AND ({_TRIM('full_address')} = '' OR length({_TRIM('full_address')}) > 300 OR NOT regexp_matches({_TRIM('full_address')}, '{V.ADDRESS_WORDS}')) THEN 'address' END,
             CASE WHEN abs(latitude) > 90 THEN 'latitude' END, CASE WHEN abs(longitude) > 180 THEN 'longitude' END,
-            CASE WHEN NOT rating BETWEEN 0 AND 5 THEN 'rating' END], lambda x: x IS NOT NULL)) AS issue FROM provider_record) GROUP BY 1""",
+            CASE WHEN NOT rating BETWEEN 0 AND 5 THEN 'rating' END, CASE WHEN review_count < 0 THEN 'review_count' END], lambda x: x IS NOT NULL)) AS issue FROM provider_record) GROUP BY 1""",
 )
 def _(spark, sf):
     return load(spark, sf, "provider_record").select(F.explode(V.record_issues()).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))

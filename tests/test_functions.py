@@ -143,3 +143,49 @@ def test_json_repairs_and_schema():
     assert J.schema_error({"a": 1}, schema) is None and J.schema_error({"a": None}, schema) is None
     assert J.schema_error({"a": -1}, schema) == "$.a: range" and J.schema_error({}, schema) == "$.a: required" and J.schema_error({"a": 1, "b": 2}, schema) == "$.b: unknown"
     assert J.semantic_error({"x": [{"confidence": 1.5}]}) == "$.x.0.confidence: range"
+
+
+# pages and reviews
+
+
+def test_map_pages(spark):
+    page = "![x](https://a.example/y.png)\nSave, Directions, 12 Main,   Old Town, Rudim, West State 123456, India\n(tel:+1 (415) 555-0134), rated 4.5 Bakery Monday 9 AM–5 PM"
+    rows = values(spark, [page, "nothing here", "pin 560001 5.9 Directions +44 2079460958", "", None], X.map_page_fields(F.col("x")))
+    full = rows[0][0]
+    assert (full["city"], full["state"], full["postal_code"], full["country"], full["category"], full["rating"]) == ("Rudim", "West State", "123456", "India", "Bakery", 4.5)
+    assert full["address"] == "12 Main, Old Town, Rudim, West State 123456, India" and full["phone"] == "+14155550134" and full["hours"] == {"monday": "9 AM-5 PM"}
+    assert all(v in (None, {}) for v in rows[1][0]) and all(v in (None, {}) for v in rows[3][0]) and all(v in (None, {}) for v in rows[4][0])
+    assert (rows[2][0]["postal_code"], rows[2][0]["rating"], rows[2][0]["phone"]) == ("560001", None, "+442079460958")
+
+
+def test_raw_pages(spark):
+    html = '<p>98765 43210</p><p>Main Road, Rudim, Bay, India 560001</p>"ratingValue": "4.3" with 1,234 reviews'
+    rows = values(spark, [html, "", None], X.raw_page_fields(F.col("x")))
+    got = rows[0][0]
+    assert (got["phone"], got["city"], got["state"], got["postal_code"], got["rating"], got["review_count"]) == ("98765 43210", "Rudim", "Bay", "560001", 4.3, 1234)
+    assert all(v is None for v in rows[1][0]) and all(v is None for v in rows[2][0])
+
+
+def test_reviews_that_say_nothing_are_dropped(spark):
+    schema = "x array<struct<rating: double, text: string, author: string, author_name: string, published_at: string, relative_time: string, publish_time: string, confidence: double>>"
+    reviews = [(4.25, " fine ", " ", "Ada", None, " ", "2024", 7.0), (9.0, " ", None, None, None, None, None, None), (None, None, "Bo", None, None, None, None, None)]
+    (kept,) = values(spark, [(reviews,)], X.clean_reviews(F.col("x")), schema=schema)[0]
+    assert [tuple(r) for r in kept] == [(4.3, "fine", "Ada", "2024", 1.0), (None, None, "Bo", None, 0.5)]
+
+
+def test_hours_values(spark):
+    got = values(spark, ["Closed", " OFF ", "day off", "none", "09:00 - 17:00", "", "[object Object]", None], H.hours_value(F.col("x")))
+    assert [g[0] for g in got] == ["closed", "closed", "closed", "none", "09:00 - 17:00", None, None, None]
+    rows = values(spark, [(["09:00-12:00", " ", "13:00-17:00 "],), ([],), (None,)], H.hours_list(F.col("x")), schema="x array<string>")
+    assert [r[0] for r in rows] == ["09:00-12:00, 13:00-17:00", None, None]
+    rows = values(spark, [("9", "17"), ("9", None), ("", "17"), (None, None)], H.interval(F.col("a"), F.col("b")), schema="a string, b string")
+    assert [r[0] for r in rows] == ["9-17", "9", None, None]
+
+
+def test_conflicts_of_records(spark):
+    fields = ["city", "state", "postal_code", "latitude", "longitude", "provider_record_id", "phone"]
+    schema = ", ".join(f"{p}_{f} {'double' if f in ('latitude', 'longitude') else 'string'}" for p in "ab" for f in fields)
+    a = ("Town", "NV", "1", 10.0, 10.0, "p1", "415-555-0134")
+    rows = [a + a, a + ("town ", "CA", "2", 10.2, 10.3, "p2", "4155550135"), a + (None, "", None, None, None, None, "555"), (None,) * 14, a + (*a[:3], 95.0, 10.0, *a[5:])]
+    got = values(spark, rows, V.record_conflicts("a_", "b_"), schema=schema)
+    assert [g[0] for g in got] == [[], ["state", "postalCode", "coordinates", "providerId", "phone"], [], [], []]

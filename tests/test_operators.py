@@ -304,3 +304,45 @@ def test_exact_and_near_positions_identify(spark):
     bare = {"phone": None, "website": None, "place_id": None}
     kinds = [pair(spark, bare, {**bare, "lat": 1.0 + metres / 111_195})["match_type"] for metres in (5, 30, 80)]
     assert kinds[1] != "same_entity" and kinds == [kinds[0], "uncertain", kinds[2]]
+
+
+def test_failure_labels(spark):
+    schema = "id string, ok boolean, error string, invented int, entity_wrong int, other_wrong int, missed int, bold int, coverage double, unsupported int, schema_compliant boolean, schema_errors string"
+    none = (0, 0, 0, 0, 0, None, 0, True, None)
+    rows = [
+        ("a", True, None, *none), ("b", False, "no parseable JSON", *none), ("c", False, "contract: name is required", *none), ("d", False, None, *none), ("e", True, None, 1, 1, 1, 0, 1, 0.5, 1, False, "x.status: value not in enum"),
+        ("f", True, None, 0, 0, 0, 1, 0, None, None, True, None),
+    ]
+    got = {r["id"]: (r["labels"], r["severity"]) for r in E.failure_labels(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        "a": ([], "LOW"), "b": (["FORMAT_ERROR"], "CRITICAL"), "c": (["SCHEMA_ERROR"], "HIGH"), "d": (["OTHER"], "HIGH"), "f": (["EXTRACTION_ERROR"], "MEDIUM"),
+        "e": (["HALLUCINATION", "ENTITY_RESOLUTION_ERROR", "EXTRACTION_ERROR", "EVIDENCE_ERROR", "SCHEMA_ERROR", "CONFIDENCE_ERROR", "UNKNOWN_HANDLING_ERROR"], "CRITICAL"),
+    }
+
+
+def test_review_decisions(spark):
+    from amalgam.operators import candidates as P
+
+    reviews = spark.createDataFrame(
+        [("a", "pending", "uncertain", "x"), ("b", "pending", "uncertain", None), ("c", "approved", "same_entity", "x"), ("d", "approved", "same_entity", "x"), ("e", "pending", "relocated_entity", None), ("f", "pending", "relocated_entity", "x"),
+         ("g", "pending", "same_brand_different_location", "x"), ("h", "pending", "uncertain", "x"), ("i", "pending", "uncertain", "x"), ("j", "pending", "uncertain", "x"), ("k", "pending", None, None)],
+        "review_id string, status string, match_type string, related_entity_id string",
+    )
+    made = [(x, "approved") for x in "abcefgik"] + [("d", "rejected"), ("h", "rejected"), ("i", "rejected"), ("z", "approved")]
+    got = {r["review_id"]: (r["new_status"], r["action"], r["error"]) for r in P.decide_reviews(reviews, spark.createDataFrame(made, "review_id string, decision string")).collect()}
+    assert got == {
+        "a": ("approved", "merge", None), "b": ("approved", "none", None), "c": ("approved", "none", None), "d": ("approved", "none", "already_resolved"), "e": ("approved", "relocate", None), "f": ("pending", "none", "ambiguous_merge"),
+        "g": ("approved", "none", None), "h": ("rejected", "none", None), "i": ("pending", "none", "invalid_decision"), "j": ("pending", "none", None), "k": ("approved", "none", None),
+    }
+
+
+def test_manifest_counts_every_file_in_one_read(spark, tmp_path):
+    for name, n in (("a b.jsonl", 3), ("c.jsonl", 2)):
+        (tmp_path / name).write_text("".join(json.dumps({"exampleId": f"{name}{i}", "split": "train"}) + "\n" for i in range(n)))
+    manifest = tmp_path / "manifest.json"
+    manifest.write_text(json.dumps({"datasets": [{"path": "a b.jsonl", "split": "train", "examples": 3}, {"path": "c.jsonl", "split": "train", "examples": 2}]}))
+    assert sorted(r["path"] for r in I.read_manifest(spark, str(manifest)).collect()) == ["a b.jsonl"] * 3 + ["c.jsonl"] * 2
+    manifest.write_text(json.dumps({"datasets": [{"path": "c.jsonl", "split": "train", "examples": 4}]}))
+    with pytest.raises(ValueError, match="c.jsonl: 2 rows"):
+        I.read_manifest(spark, str(manifest))
+    assert I.read_manifest(spark, str(manifest), split="none").count() == 0
