@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from amalgam.operators import evaluate as E
-from amalgam.operators.fuse import unpivot
 from amalgam.plans.resolution import _IDS
 from amalgam.runtime import load
 

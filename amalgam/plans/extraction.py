@@ -8,6 +8,7 @@ from amalgam.functions import compat as C, extract as X, hours as H, jsonx as J,
 from amalgam.operators import store as S
 from amalgam.plans.scalars import _TRIM
 from amalgam.runtime import load
+from amalgam.sources.tables import feature_records, hydrate, user_records
 
 QUERIES, SQL = {}, {}
 
@@ -367,16 +368,12 @@ def _(spark, sf):
     "SELECT id, json_type(metadata) AS kind FROM source_ref WHERE json_valid(metadata) AND metadata IS NOT NULL AND trim(metadata) <> ''",
 )
 def _(spark, sf):
-    from amalgam.sources.tables import hydrate
-
     rows = load(spark, sf, "source_ref").select("id", F.col("metadata").alias("payload"))
     return hydrate(rows, "payload", "_none string").select("id", F.lit("OBJECT").alias("kind"))
 
 
 @query("s06_s07_adapters", "SELECT DISTINCT name, phone, website, full_address, latitude, longitude FROM provider_record WHERE name <> ''")
 def _(spark, sf):
-    from amalgam.sources.tables import feature_records, user_records
-
     p = load(spark, sf, "provider_record").filter("name <> ''")
     nested = p.select(
         F.struct("name", "phone", "website", F.col("full_address").alias("formatted"), "city", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")).alias("properties"),

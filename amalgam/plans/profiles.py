@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from amalgam.functions import compat as C, geo as G, text as T
-from amalgam.operators import candidates as P, fuse as U, resolve as R, validate as V
+from amalgam.functions import compat as C, text as T
+from amalgam.operators import candidates as P, fuse as U, validate as V
 from amalgam.operators.breaker import backoff_ms
-from amalgam.operators.joins import chunked_join
-from amalgam.plans.resolution import _IDS, _OF_ENTITY, _fuzzy, records_of_entities
+from amalgam.operators.running import nearest_rank
+from amalgam.operators.store import relocate
+from amalgam.plans.resolution import _IDS, _fuzzy
 from amalgam.plans.scalars import _NANP, _TRIM, _WEB
 from amalgam.runtime import load
+from amalgam.sources.tables import hints, lookup
 
 QUERIES, SQL = {}, {}
 
@@ -311,8 +313,6 @@ def _(spark, sf):
     """WITH m AS (SELECT entity_id, min(notes) AS new_address FROM resolution_record WHERE match_type = 'relocated_entity' AND notes <> '' GROUP BY 1) SELECT entity_id, coalesce(new_address, canonical_address) AS canonical_address FROM business_entity LEFT JOIN m USING (entity_id)""",
 )
 def _(spark, sf):
-    from amalgam.operators.store import relocate
-
     moves = load(spark, sf, "resolution_record").filter("match_type = 'relocated_entity' AND notes <> ''").groupBy("entity_id").agg(F.min("notes").alias("new_address"))
     return relocate(load(spark, sf, "business_entity"), moves).select("entity_id", "canonical_address")
 
@@ -391,8 +391,6 @@ def _(spark, sf):
     """WITH p AS (SELECT user_id, count(*) AS calls, quantile_disc(value, 0.5) AS p50, count(*) FILTER (WHERE event_type = 'error') AS bad, round(sum(value), 6) AS cost FROM events GROUP BY 1) SELECT user_id, round(cost, 4) AS cost, p50 FROM p WHERE bad < 5 AND cost <= 5000 AND p50 <= 100""",
 )
 def _(spark, sf):
-    from amalgam.operators.running import nearest_rank
-
     e = load(spark, sf, "events")
     p50 = nearest_rank(e, "user_id", "value", {"p50": 0.5})
     p = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("bad"), F.round(F.sum("value"), 6).alias("cost")).join(p50, "user_id")
@@ -403,8 +401,6 @@ def _(spark, sf):
 @query("s05_lookups", "SELECT b.entity_id, s.id, s.url FROM business_entity b JOIN source_ref s ON s.id = b.source_id WHERE b.entity_id = (SELECT min(entity_id) FROM business_entity WHERE source_id IS NOT NULL)")
 def _(spark, sf):
     """A row by its key, then the one it refers to by another; both filters reach the scans."""
-    from amalgam.sources.tables import lookup
-
     b = load(spark, sf, "business_entity")
     key = b.filter("source_id IS NOT NULL").agg(F.min("entity_id").alias("k")).first()["k"]
     row = lookup(b, entity_id=key).select("entity_id", "source_id").first()
@@ -414,8 +410,6 @@ def _(spark, sf):
 
 @query("s08_hints", "SELECT DISTINCT provider_record_id, name, city, latitude AS lat, longitude AS lng FROM provider_record WHERE provider = 'user_provided' OR provider = 'google_maps'")
 def _(spark, sf):
-    from amalgam.sources.tables import hints
-
     return hints(load(spark, sf, "provider_record").filter("provider IN ('user_provided', 'google_maps')").select("provider_record_id", "name", "city", "latitude", "longitude")).distinct()
 
 

@@ -1,5 +1,3 @@
-from datetime import datetime, timedelta
-
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
