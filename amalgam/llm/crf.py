@@ -29,11 +29,14 @@ class ChainCRF:
         full batches. ``allowed`` has, per sequence, a matrix (length x labels) of
         prior odds: zero rules a label out, one entry above it is a label, several
         leave it open among them."""
-        ids = np.array([f for s in sequences for p in s for f, _ in p], dtype=np.int64)
-        values = np.array([v for s in sequences for p in s for _, v in p])[:, None]
-        sizes = np.array([len(p) for s in sequences for p in s], dtype=np.int64)
-        if not len(sizes):
+        # Positions of the same features are scored once.
+        known: dict[tuple, int] = {}
+        which = np.array([known.setdefault(tuple(p), len(known)) for s in sequences for p in s], dtype=np.int64)
+        if not len(which):
             return self
+        ids = np.array([f for p in known for f, _ in p], dtype=np.int64)
+        values = np.array([v for p in known for _, v in p])[:, None]
+        sizes = np.array([len(p) for p in known], dtype=np.int64)
         begin = np.cumsum(sizes) - sizes
         odds = np.concatenate([np.asarray(x, dtype=float) for x in allowed])
         closed = np.where(odds > 0, np.log(np.maximum(odds, 1e-300)), _NEVER)
@@ -45,16 +48,17 @@ class ChainCRF:
         n_features, n_labels = self.emit.shape
         m, v = [np.zeros_like(self.emit), np.zeros_like(self.move)], [np.zeros_like(self.emit), np.zeros_like(self.move)]
         for step in range(1, steps + 1):
-            score = np.add.reduceat(self.emit[ids] * values, begin, axis=0)
+            score = np.add.reduceat(self.emit[ids] * values, begin, axis=0)[which]
             diff, moves = np.zeros_like(score), np.zeros_like(self.move)
             for at in batches:
                 near, near_moves = self._expected(score[at] + closed[at])
                 free, free_moves = self._expected(score[at])
                 diff[at] = near - free
                 moves += near_moves - free_moves
-            spread = np.repeat(diff, sizes, axis=0) * values
+            summed = np.stack([np.bincount(which, weights=diff[:, k], minlength=len(known)) for k in range(n_labels)], 1)
+            spread = np.repeat(summed, sizes, axis=0) * values
             emit = np.stack([np.bincount(ids, weights=spread[:, k], minlength=n_features) for k in range(n_labels)], 1)
-            grads = [emit / len(sizes) - l2 * self.emit, moves / len(sizes) - l2 * self.move]
+            grads = [emit / len(which) - l2 * self.emit, moves / len(which) - l2 * self.move]
             for k, param in enumerate((self.emit, self.move)):
                 m[k] = 0.9 * m[k] + 0.1 * grads[k]
                 v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2

@@ -39,7 +39,7 @@ _BACK = re.compile(r"^([a-z]{3,}?)(weg|wg|allee|all|strasse|str|platz|pl|gasse)$
 _HOUSE = re.compile(r"^\d{1,4}[a-z]?$")
 
 
-_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x20000)) if unicodedata.combining(c)) + "]+")
+_MARKS = {c: None for c in range(0x20000) if unicodedata.combining(chr(c))}
 
 
 def fold(text: str) -> str:
@@ -49,7 +49,7 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = re.sub("[’´‘ʼ]", "'", text).replace("ß", "ss").replace("ẞ", "ss")
         text = unicodedata.normalize("NFKD", text)
-        text = _MARKS.sub("", text)
+        text = text.translate(_MARKS)
     return " ".join(text.replace("`", "'").lower().split())
 
 

@@ -338,7 +338,7 @@ def planted(sample: list[tuple[str, str]], reader: Reader, random_: random.Rando
             others = [k for k in by if k is not None and k != wanted]
             if wanted and others:
                 out.append((prompt, random_.choice(by[random_.choice(sorted(others))]), "foreign"))
-    declined = [r for _, r in told if any(x in fold(r) for x in refusals)]
+    declined = [r for _, r in told if (plain := fold(r)) and any(x in plain for x in refusals)]
     # Refusals in any language and to any prompt, rare ones as often as common ones.
     worded = sorted({skeleton(r): r for r in declined}.items()) + [(x, x) for x in refusals]
     for at in range(max(len(declined), len(told) // 3) if told else 0):
