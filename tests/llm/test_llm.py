@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,15 +305,6 @@ def test_incomplete_addresses_keep_their_links(spark, monkeypatch, chunk):
     assert sorted(map(sorted, (p for p in places.values() if len(p) > 1))) == [["a", "b"], ["c", "d"], ["e", "f", "g"]] and len(got) == len(rows)
 
 
-def test_chunked_join_is_the_whole_join(spark):
-    from amalgam.operators.joins import chunked_join
-
-    left = spark.createDataFrame([(i % 3, i) for i in range(60)], "k int, l int")
-    right = spark.createDataFrame([(0 if i % 4 else i, i) for i in range(40)], "k int, r int")
-    rows = lambda df: sorted((r["k"], r["l"], r["r"]) for r in df.collect())
-    assert rows(chunked_join(left, right, ["k"], "l", "r", 7)) == rows(left.join(right, "k"))
-
-
 # 2: matches
 
 
