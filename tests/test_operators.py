@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from amalgam.operators import breaker as B, evaluate as E, fuse as U, resolve as R, running as N, store as S
+from amalgam.operators.joins import chunked_join
 from amalgam.plans import resolution
 from amalgam.sources import tables as I
 from tests.oracle import assert_same, connect
@@ -346,3 +347,15 @@ def test_manifest_counts_every_file_in_one_read(spark, tmp_path):
     with pytest.raises(ValueError, match="c.jsonl: 2 rows"):
         I.read_manifest(spark, str(manifest))
     assert I.read_manifest(spark, str(manifest), split="none").count() == 0
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_chunked_join_is_the_whole_join(spark, turned):
+    """Keys that are hot on one side, on both and on none, and null keys."""
+    many = spark.createDataFrame([(None if i % 10 == 3 else 0 if i % 4 else i % 3, i) for i in range(80)], "k int, x int")
+    few = spark.createDataFrame([(i % 5, i) for i in range(12)] + [(None, 99)] + [(2, 200 + i) for i in range(20)], "k int, y int")
+    rows = lambda df: sorted((r["k"], r["x"], r["y"]) for r in df.collect())
+    got = chunked_join(few, many, ["k"], "y", "x", 7) if turned else chunked_join(many, few, ["k"], "x", "y", 7)
+    assert rows(got) == rows(many.join(few, "k"))
+    assert rows(chunked_join(many, few, ["k"], "x", "y")) == rows(many.join(few, "k"))
+    assert chunked_join(many.limit(0), few, ["k"], "x", "y", 7).count() == 0
