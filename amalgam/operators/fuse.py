@@ -5,6 +5,9 @@ Everything runs on long tables; no record is a mutable object.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from amalgam.functions.compat import clamp01
@@ -78,13 +81,14 @@ def upsert_gate(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def canonical_fold(obs: DataFrame, keys: list[str], identity: Column) -> DataFrame:
-    """Folds observations in order of ``seq`` into the canonical
-    value of a field and counts conflicts.
+    """Folds observations in order of ``seq`` (then value, confidence
+    and tier) into the canonical value of a field and counts conflicts.
 
     Identity fields change only for a strength gain of more than 0.2; descriptive
-    fields only if the upsert gate lets them. Equal consecutive observations are
-    merged first: the fold depends on order, so a field's changes pass one task,
-    but repeats, however many, do not."""
+    fields only if the upsert gate lets them. Observations that can't change the
+    result are dropped first, in the JVM. The fold depends on order, so what is left
+    of a field streams through one task in batches, sorted by the shuffle, and is
+    never held together. Rows without key or value are left out."""
     strength = evidence_strength(F.col("provenance"), F.lit(None).cast("double"), F.col("confidence"))
     ranked = obs.select(
         *keys, "seq", "value", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), rank_of(F.col("provenance"), UPSERT_RANK).alias("tier"), strength.alias("strength"), identity.alias("identity")
@@ -92,23 +96,30 @@ def canonical_fold(obs: DataFrame, keys: list[str], identity: Column) -> DataFra
     # A value that comes again with no higher tier or confidence than before never changes the result.
     before = W.partitionBy(*keys, "value", "tier").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     fresh = ranked.withColumn("seen", F.max("confidence").over(before)).filter(F.col("seen").isNull() | (F.col("confidence") > F.col("seen")))
-    rows = fresh.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "value", "confidence", "tier", "strength", "identity"))).alias("rows"))
-    start = F.struct(
-        F.lit(None).cast("string").alias("value"), F.lit(-1.0).alias("confidence"), F.lit(-1.0).alias("tier"), F.lit(-1.0).alias("strength"), F.lit(0).alias("conflicts")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["value"].isNull()
-        differs = ~first & (acc["value"] != x["value"])
-        gate = (x["tier"] > acc["tier"]) | ((x["tier"] == acc["tier"]) & (x["confidence"] > acc["confidence"]))
-        change = first | F.when(differs & x["identity"], x["strength"] > acc["strength"] + F.lit(0.2)).otherwise(gate)
-        pick = lambda f: F.when(change, x[f]).otherwise(acc[f])
-        return F.struct(
-            pick("value").alias("value"), pick("confidence").alias("confidence"), pick("tier").alias("tier"), pick("strength").alias("strength"),
-            (acc["conflicts"] + F.when(differs, 1).otherwise(0)).alias("conflicts"),
-        )
-
-    return rows.select(*keys, F.aggregate("rows", start, step).alias("s")).select(*keys, "s.value", "s.tier", "s.confidence", "s.conflicts")
+    types = dict(obs.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "value string", "tier double", "confidence double", "conflicts int"])
+    names = [*keys, "value", "tier", "confidence", "conflicts"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            done = []
+            for *key, value, confidence, tier, gain, firm in pdf.itertuples(index=False):
+                if key != current:
+                    done += [(*current, *state[:4])] if current is not None else []
+                    current, state = key, [value, tier, confidence, 0, gain]
+                    continue
+                differs = value != state[0]
+                state[3] += differs
+                if gain > state[4] + 0.2 if differs and firm else (tier, confidence) > (state[1], state[2]):
+                    state[:3], state[4] = [value, tier, confidence], gain
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if current is not None:
+            yield pd.DataFrame([(*current, *state[:4])], columns=names)
+
+    ordered = fresh.dropna(subset=[*keys, "value"]).repartition(*keys).sortWithinPartitions(*keys, "seq", "value", "confidence", "tier")
+    return ordered.select(*keys, "value", "confidence", "tier", "strength", "identity").mapInPandas(fold, schema)
 
 
 def resolve_conflicts(values: DataFrame, keys: list[str], seq: str) -> DataFrame:
