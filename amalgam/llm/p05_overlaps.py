@@ -2,20 +2,23 @@
 
 Evidence is read item by item; items that the pages of many businesses carry
 (notices) are set aside. Records with the same items in any order form one class.
-Classes are sketched by minwise hashes over word shingles and meet in banded
-buckets; only pairs of a training and an evaluation class are kept, and each is
-verified by the exact Jaccard similarity of its word pairs, which three quarters
-of kept words bring to about 0.42. Shingles of nothing but the commonest words
-say little about a copy and are left out of the sketch (not of the
-verification), unless a text has hardly any others.
-
-Bands of three hashes pass a pair of similarity 0.42 with probability 0.99 (64
-bands) and one of 0.1 with 0.06. Buckets travel as two longs; hot ones are split.
+Every pair of a training and an evaluation class whose word pairs have a Jaccard
+similarity of 0.42 or more (three quarters of kept words bring about that) is
+found: candidates leave out only pairs that can't reach it.
+
+A pair of sizes m and n must share s / (1 + s) * (m + n) word pairs. Word pairs
+that stand in one split only are shared by none. The others are put in one order,
+the rarest first. If a pair of classes shares a rare one, it meets at the first of
+them; if not, all it shares is common, and it meets at the first two of the common
+ones, which stand among the few that either class can spare. Where classes meet,
+what is left behind the place of meeting and a bit mask of the common word pairs
+bound what they can share; the rest is verified on the words. Hot places are split.
 Copies never make pairs: what is counted, is counted by class.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,11 +31,13 @@ from amalgam.llm.normal import fold, name_tokens
 from amalgam.operators.joins import chunked_join
 from amalgam.runtime import cut, load, scratched
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 2, 64, 3, 0.42
-#: A notice or common word is carried by at least this share of businesses or texts, and by this many.
-COMMON_SHARE, NOTICE_LEAST, WORD_LEAST, FEW_SHINGLES, SEED = 0.002, 4, 20, 6, 53
-#: Shingles sketched at once: bounds the memory of a task whatever the texts.
-_SKETCHED = 20_000
+SHINGLE, SIMILARITY = 2, 0.42
+#: A notice or common shingle is carried by at least this share of businesses or texts, and by this many.
+COMMON_SHARE, NOTICE_LEAST, WORD_LEAST = 0.002, 4, 20
+#: Bits of the filter of rare shingles, at most (16 MB); a full one lets more through and loses none.
+_FILTER_BITS = 27
+#: Meetings written at once: bounds a batch whatever the texts.
+_WRITTEN = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -48,24 +53,64 @@ def shingles(items: list[str], size: int) -> set[str]:
     return out
 
 
-def chosen_hashes(items: list[str], common: set[str]) -> list[int]:
-    found = shingles(items, SHINGLE)
-    telling = {s for s in found if any(w not in common for w in s.split(" "))}
-    return [xxhash.xxh64_intdigest(s) for s in (telling if len(telling) >= FEW_SHINGLES else found)]
+def least_shared(similarity: float, size: int, other: np.ndarray | int) -> np.ndarray | int:
+    """Shingles that sets of these sizes share at least at this Jaccard similarity."""
+    return np.maximum(1, np.ceil(similarity / (1 + similarity) * (size + other) - 1e-9)).astype(np.int64)
 
 
-def sketches(hashes: list[list[int]], factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """Minwise hashes (texts x functions) of texts of at least one shingle each."""
-    out = np.full((len(hashes), len(factors)), np.iinfo(np.uint64).max, dtype=np.uint64)
-    flat = np.fromiter((h for x in hashes for h in x), dtype=np.uint64)
-    sizes = np.array([len(x) for x in hashes])
-    owner = np.repeat(np.arange(len(hashes)), sizes)
-    for at in range(0, len(flat), _SKETCHED):
-        part, who = flat[at : at + _SKETCHED], owner[at : at + _SKETCHED]
-        begin = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-        rows = who[begin]
-        out[rows] = np.minimum(out[rows], np.minimum.reduceat(part[:, None] * factors + shifts, begin, axis=0))
-    return out
+class Meetings:
+    """The keys at which a text meets the others, with bounds on what they share.
+
+    ``common`` are the tokens of common shingles, the rarest first; ``rare`` has a
+    bit for every token (modulo its length) that is rare and stands in both splits.
+    Any order and any tokens give the same pairs: they decide the cost alone.
+    """
+
+    def __init__(self, similarity: float, common: np.ndarray, rare: np.ndarray):
+        self.similarity, self.rare = similarity, rare
+        self.order = np.argsort(common, kind="stable").astype(np.int64)
+        self.common = common[self.order]
+
+    def split(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rare tokens of both splits and the ranks of the common ones, ascending."""
+        at = np.minimum(np.searchsorted(self.common, tokens), max(0, len(self.common) - 1))
+        known = self.common[at] == tokens if len(self.common) else np.zeros(len(tokens), dtype=bool)
+        low = tokens[~known].astype(np.int64) & (len(self.rare) * 64 - 1)
+        both = (self.rare[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return np.sort(tokens[~known][both]).astype(np.int64), np.sort(self.order[at[known]])
+
+    def least_common(self, size: int, sizes: np.ndarray, most: np.ndarray) -> int | None:
+        """Common shingles that a text of this size shares at least with one with which it
+        shares no rare one; ``most`` is the greatest number of them in a text of each of ``sizes``."""
+        needs = least_shared(self.similarity, size, sizes)
+        needs = needs[most >= needs]
+        return int(needs.min()) if len(needs) else None
+
+    def keys(self, size: int, rare: np.ndarray, ranks: np.ndarray, least: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, rest, tail): of the rare shingles at most rest and of the common ones at
+        most tail are shared with a text first met at the key."""
+        n, c = len(rare), len(ranks)
+        # No partner shares less than it would at the least size that can be similar.
+        single = max(0, min(n, n + c - math.ceil(self.similarity * size - 1e-9) + 1))
+        key, rest, tail = [rare[:single]], [n - np.arange(single)], [np.full(single, c)]
+        if least is not None and (window := c - least + 2) >= 2:
+            window = min(window, c)
+            i, j = np.triu_indices(window, 1)
+            key.append(((ranks[i] + 1) << 32) | ranks[j])
+            rest.append(np.zeros(len(i), dtype=np.int64))
+            tail.append(c - j + 1)
+        if least_shared(self.similarity, size, 1) == 1:  # one shared shingle may do
+            key.append(-(1 << 32) - ranks)
+            rest.append(np.zeros(c, dtype=np.int64))
+            tail.append(c - np.arange(c))
+        return np.concatenate(key), np.concatenate(rest), np.concatenate(tail)
+
+
+def mask(ranks: np.ndarray) -> np.ndarray:
+    """128 bits, as two longs, of which every rank sets one."""
+    bits = np.zeros(128, dtype=np.uint8)
+    bits[ranks % 128] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,27 +159,61 @@ def overlapping_classes(rows: DataFrame, train: str = "train", similarity: float
     )
     members = kept.select("record", "split", "key").join(classes.select("key", "class"), "key").select("record", "split", "class")
     n = classes.count()
-    vocabulary = classes.select(F.explode(F.array_distinct(F.split(F.array_join("items", " "), " "))).alias("w"))
-    # Words carried by a fixed share of texts are at most (words a text) / share, whatever the number of texts.
-    common = {r["w"] for r in vocabulary.groupBy("w").count().filter(F.col("count") >= max(WORD_LEAST, COMMON_SHARE * n)).collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(common)
-    random = np.random.default_rng(SEED)
-    factors = random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-    mixers = random.integers(1, 1 << 63, ROWS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tokens = [np.fromiter((xxhash.xxh32_intdigest(s) for s in shingles(list(x), SHINGLE)), dtype=np.uint32).view(np.int32) for x in pdf["items"]]
+            yield pdf[["class", "in_train", "in_eval"]].assign(tokens=tokens)
+
+    texts = cut(classes.select("class", "in_train", "in_eval", "items").mapInPandas(hashed, "class long, in_train boolean, in_eval boolean, tokens array<int>"))
+    both = cut(
+        texts.select("in_train", "in_eval", F.explode("tokens").alias("token"))
+        .groupBy("token").agg(F.count("*").alias("n"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
+        .filter("in_train AND in_eval").select("token", "n")
+    )
+    # Shingles carried by a fixed share of texts are at most (shingles a text) / share, whatever the number of texts.
+    often = F.col("n") >= max(WORD_LEAST, COMMON_SHARE * n)
+    common = both.filter(often).toPandas().sort_values(["n", "token"])["token"].to_numpy(dtype=np.int32)
+    bits = min(_FILTER_BITS, max(10, (32 * both.filter(~often).count()).bit_length()))
+    rare = np.zeros((1 << bits) // 64, dtype=np.uint64)
+    low = F.col("token").bitwiseAND((1 << bits) - 1)
+    words_of = both.filter(~often).groupBy(F.shiftright(low, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, token & 63))").alias("set")).toPandas()
+    rare[words_of["word"].to_numpy(dtype=np.int64)] = words_of["set"].to_numpy(dtype=np.int64).view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(Meetings(similarity, common, rare))
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            found = sketches([chosen_hashes(list(x), shared.value) for x in pdf["items"]], factors, shifts)
-            bands = found.reshape(len(pdf), BANDS, ROWS)
-            # One number a band: a mixed sum of its hashes and of the band itself.
-            mixed = (bands ^ (bands >> np.uint64(29))) * mixers[:ROWS]
-            bucket = ((mixed ^ (mixed >> np.uint64(32))).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * mixers[ROWS]).view(np.int64)
-            yield pd.DataFrame(
-                {"bucket": bucket.ravel(), "class": np.repeat(pdf["class"].to_numpy(), BANDS), "in_train": np.repeat(pdf["in_train"].to_numpy(), BANDS), "in_eval": np.repeat(pdf["in_eval"].to_numpy(), BANDS)}
-            )
+            if len(pdf):
+                found = pd.DataFrame([(len(x), len(shared.value.split(x)[1])) for x in pdf["tokens"]], columns=["size", "most"])
+                yield found.groupby("size", as_index=False)["most"].max()
+
+    # One row for each size of a text.
+    most = texts.select("tokens").mapInPandas(held, "size int, most int").groupBy("size").agg(F.max("most").alias("most")).toPandas().to_numpy(dtype=np.int64).T
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        meetings, least = shared.value, {}
+
+        def table(found: list[tuple]) -> pd.DataFrame:
+            times = [len(x[-1][0]) for x in found]
+            out = {name: np.repeat([x[k] for x in found], times) for k, name in enumerate(["class", "in_train", "in_eval", "size", "common", "m1", "m2"])}
+            return pd.DataFrame({name: np.concatenate([x[-1][k] for x in found]) for k, name in enumerate(["key", "rest", "tail"])} | out)
+
+        for pdf in batches:
+            found, many = [], 0
+            for class_, in_train, in_eval, tokens in pdf[["class", "in_train", "in_eval", "tokens"]].itertuples(index=False):
+                size, (single, ranks) = len(tokens), meetings.split(tokens)
+                if size not in least:
+                    least[size] = meetings.least_common(size, *most)
+                keys = meetings.keys(size, single, ranks, least[size])
+                for at in range(0, len(keys[0]), _WRITTEN):
+                    part = [x[at : at + _WRITTEN] for x in keys]
+                    found.append((class_, in_train, in_eval, size, len(ranks), *mask(ranks), part))
+                    many += len(part[0])
+                    if many >= _WRITTEN:
+                        yield table(found)
+                        found, many = [], 0
+            if found:
+                yield table(found)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,11 +225,16 @@ def overlapping_classes(rows: DataFrame, train: str = "train", similarity: float
             out = pdf[["a", "b"]].assign(similarity=of)
             yield out[np.array(kept, dtype=bool)]
 
-    schema = "bucket long, class long, in_train boolean, in_eval boolean"
-    buckets = cut(classes.select("class", "items", "in_train", "in_eval").mapInPandas(banded, schema))
-    left = buckets.filter("in_train").select("bucket", F.col("class").alias("a"))
-    right = buckets.filter("in_eval").select("bucket", F.col("class").alias("b"))
-    candidates = chunked_join(left, right, ["bucket"], "a", "b").filter("a <> b").select("a", "b").distinct()
+    schema = "key long, class long, in_train boolean, in_eval boolean, size int, common int, rest int, tail int, m1 long, m2 long"
+    places = cut(texts.mapInPandas(met, schema))
+    side = lambda flag, id_, at: places.filter(flag).select("key", F.col("class").alias(id_), *[F.col(c).alias(f"{c}_{at}") for c in ("size", "common", "rest", "tail", "m1", "m2")])
+    lacks = lambda x, y: f"common_{x} - bit_count(m1_{x} & ~m1_{y}) - bit_count(m2_{x} & ~m2_{y})"
+    most_shared = F.expr(f"least(rest_a, rest_b) + least(tail_a, tail_b, {lacks('a', 'b')}, {lacks('b', 'a')})")
+    candidates = (
+        chunked_join(side("in_train", "a", "a"), side("in_eval", "b", "b"), ["key"], "a", "b")
+        .filter((F.col("a") != F.col("b")) & (most_shared * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6))
+        .select("a", "b").distinct()
+    )
     near = (
         candidates.join(classes.select(F.col("class").alias("a"), F.col("items").alias("items_a")), "a")
         .join(classes.select(F.col("class").alias("b"), F.col("items").alias("items_b")), "b")

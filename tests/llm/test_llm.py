@@ -487,6 +487,58 @@ def test_overlaps(spark):
     assert all(r["same_text"] <= same.get((r["record"], r["split"]), 0) for r in counts)
 
 
+def test_overlaps_are_all_pairs(spark):
+    """Every pair a full comparison finds: also where all that a pair shares are the
+    commonest word pairs, at similarities just above the limit, and in the shortest texts."""
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(30)]
+    base = [[rng.choice(common) for _ in range(k)] for k in [1, 1, 2, 2, 3, 4, 6, *[20] * 10, *[40] * 10]]
+    texts = [" ".join(common)] * 3
+    for i in range(360):
+        w = list(rng.choice(base))
+        share = rng.choice([0, 0.1, 0.2, 0.3])
+        texts.append(" ".join(f"u{i}x{k}" if rng.random() < share else rng.choice(common) if rng.random() < share else x for k, x in enumerate(w)))
+    # Copies that share only the commonest word pairs, each with eight words of its own.
+    for i in range(30):
+        texts.append(" ".join([*common, *(f"o{i}x{k}" for k in range(8))]))
+    texts = [t for t, n in Counter(texts).items() for _ in range(min(n, P5.NOTICE_LEAST - 1))]
+    rows = [(f"r{i:03}", ("train", "holdout", "validation")[i % 3], f"Tola{i} Books", [("web", t, None)]) for i, t in enumerate(texts)]
+    sets = {r: (split, P5.shingles([e[0][1]], 2)) for r, split, _, e in rows}
+    held, tested = ([(r, x) for r, (split, x) in sets.items() if (split == "train") == side] for side in (True, False))
+    want = {(a, b): len(x & y) / len(x | y) for a, x in held for b, y in tested}
+    want = {pair: round(s, 6) for pair, s in want.items() if s >= P5.SIMILARITY}
+    schema = "record string, split string, name string, evidence array<struct<source: string, text: string, url: string>>"
+    got = {(r["train_record"], r["eval_record"]): r["similarity"] for r in P5.cross_split_pairs(spark.createDataFrame(rows, schema)).collect()}
+    assert want.keys() - got.keys() == set() and got == want and len(want) > 300
+
+
+def test_overlaps_meet_whatever_the_filter():
+    """A full filter of rare shingles, tokens that collide and the share that makes one common change no pair."""
+    rng = random.Random(5)
+    texts = [[rng.randrange(40) for _ in range(rng.choice([2, 5, 30]))] for _ in range(40)]
+    texts += [[rng.randrange(40) if rng.random() < 0.2 else x for x in t] for t in texts]
+    sets = [np.array([hash((x, y)) % 97 for x, y in zip(t, t[1:])] or [0], dtype=np.int32) for t in texts]
+    multi = [Counter(t.tolist()) for t in sets]
+    want = {(i, j) for i in range(40) for j in range(40, 80) if (n := (multi[i] & multi[j]).total()) >= 0.42 * (len(sets[i]) + len(sets[j]) - n) and n}
+    counts = Counter(x for t in multi for x in t)
+    for least, full in ((0, True), (20, False), (20, True), (1000, True)):
+        common = np.array(sorted((x for x, n in counts.items() if n >= least), key=lambda x: (counts[x], x)), dtype=np.int32)
+        rare = np.full(16, ~np.uint64(0) if full else np.uint64(0))
+        for x in counts:
+            rare[x >> 6] |= np.uint64(1) << np.uint64(x & 63)
+        meetings = P5.Meetings(0.42, common, rare)
+        halves = [meetings.split(t) for t in sets]
+        most = Counter()
+        for t, (_, ranks) in zip(sets, halves):
+            most[len(t)] = max(most[len(t)], len(ranks))
+        sizes = np.array(sorted(most)), np.array([most[s] for s in sorted(most)])
+        keys = [meetings.keys(len(t), *h, meetings.least_common(len(t), *sizes)) for t, h in zip(sets, halves)]
+        for i, j in want:
+            a, b = ({k: (int(r), int(t)) for k, r, t in sorted(zip(*x), key=lambda y: y[1:])} for x in (keys[i], keys[j]))
+            bounds = [min(a[k][0], b[k][0]) + min(a[k][1], b[k][1]) for k in a.keys() & b.keys()]
+            assert bounds and max(bounds) >= (multi[i] & multi[j]).total()
+
+
 # 1: pairs
 
 
